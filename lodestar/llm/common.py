@@ -155,3 +155,16 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
         at = np.where(h[right] <= h[left], right, left)
         span += step
     return at
+
+
+def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 4 << 20):
+    """Slices of a batch whose texts have about ``limit`` bytes together, one document at least."""
+    size = np.diff(np.frombuffer(batch.column(text_at).buffers()[1], np.int32, batch.num_rows + 1 + batch.column(text_at).offset)[batch.column(text_at).offset :]) if batch.num_rows else np.zeros(0)
+    at = 0
+    while at < batch.num_rows:
+        end, total = at, 0
+        while end < batch.num_rows and (end == at or total + size[end] <= limit):
+            total += size[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end

@@ -1,10 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact, simhash
+from . import decontaminate, exact, mixing, quality, simhash
 
 QUERIES = {
+    "op3_mix": mixing.op3_mix,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
+    "op8_quality": quality.op8_quality,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-SQL = {"op10_exact_dedup": exact.SQL}
+SQL = {"op6_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact.SQL}
