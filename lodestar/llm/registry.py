@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact, mixing, quality, simhash
+from . import decontaminate, exact, lm, mixing, quality, simhash
 
 QUERIES = {
+    "op1_lm": lm.op1_lm,
     "op3_mix": mixing.op3_mix,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
