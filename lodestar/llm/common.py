@@ -168,3 +168,17 @@ def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 4 << 20):
             end += 1
         yield batch.slice(at, end - at)
         at = end
+
+
+def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (null ids as NULL_ID), th (a hash of the text), doc_id, text: id and th together name a
+    row; rows that share both are alike."""
+    d = id_and_text(docs, id_col, text_col)
+    return d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text")
+
+
+def only(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of keyed ``docs`` whose (id, th) is among ``keys``: where the keys are few enough to be
+    broadcast, other texts are left out before any shuffle; else they are left to the join."""
+    names = keys.select("id", "th").distinct()
+    return docs.join(F.broadcast(names), ["id", "th"], "left_semi") if small_enough(names, broadcast_rows) else docs

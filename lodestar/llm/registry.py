@@ -1,13 +1,15 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact, lm, mixing, quality, simhash
+from . import decontaminate, exact, lm, mixing, pii, quality, simhash, substring
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
+    "op2_substring": substring.op2_substring,
     "op3_mix": mixing.op3_mix,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality": quality.op8_quality,
+    "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
