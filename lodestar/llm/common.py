@@ -106,7 +106,17 @@ def hashed(words: list[bytes], seed: int = 0) -> tuple[np.ndarray, pa.Dictionary
     return (of[ids] if len(words) else np.zeros(0, np.uint64)), coded
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
+    """base**0 ... base**n modulo 2**64; the longest asked for is kept."""
+    if base not in _POWERS or len(_POWERS[base]) <= n:
+        _POWERS[base] = _powers(max(n, 1 << 17), base)
+    return _POWERS[base][: n + 1]
+
+
+def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n + 1, base, dtype=np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
@@ -141,20 +151,20 @@ class Roller:
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """For each window of ``w`` consecutive values the position of its smallest value, the
-    rightmost one on ties; as fewer values than ``w`` make one window of them all."""
+    """For each window of ``w`` consecutive hashes the position of the one whose upper half is
+    least, the rightmost on ties; fewer hashes than ``w`` make one window of them all."""
     n = len(h)
     if n == 0:
         return np.zeros(0, np.int64)
     w = min(w, n)
-    at = np.arange(n)
-    span = 1  # at[i]: of h[i : i + span]
+    low = np.uint64(0xFFFFFFFF)
+    best = (h & ~low) | (low - np.arange(n, dtype=np.uint64))  # one number orders hash and place
+    span = 1  # best[i]: of h[i : i + span]
     while span < w:
         step = min(span, w - span)
-        left, right = at[: n - (span + step) + 1], at[step : step + n - (span + step) + 1]
-        at = np.where(h[right] <= h[left], right, left)
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    return at
+    return (low - (best & low)).astype(np.int64)
 
 
 def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 4 << 20):
