@@ -1,4 +1,5 @@
 """Registered queries over the supplied tables, with the SQL of their results."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
