@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, hashed, id_and_text, without, written
+from .common import chunks, id_and_text, without, written
 
-DIM = 32  # of index and word vectors
+DIM = 16  # of index and word vectors
 SLOTS = 1 << 15  # word vectors: words share slots by hash, so the table's size is fixed
 REACH = 2  # words to either side that count as context
 SAMPLE = 20_000  # labelled rows fitted on, at most
@@ -22,53 +23,49 @@ _TOKEN = re.compile(rb"[A-Z]?[a-z\x80-\xff]+|[A-Z]+|[0-9]+|[^\x00-\x20A-Za-z0-9\
 _CAPITAL = re.compile(rb"[A-Z][a-z\x80-\xff]")
 
 
+def _index_places() -> np.ndarray:
+    """SLOTS x 4: a fixed sparse ternary vector for each slot, +1 at the first two places, -1 at
+    the others."""
+    return np.random.default_rng(20240607).random((SLOTS, DIM)).argsort(axis=1)[:, :4]
+
+
 def _index_vectors() -> np.ndarray:
-    """A fixed sparse ternary vector for each slot: two +1, two -1."""
-    rng = np.random.default_rng(20240607)
-    at = rng.random((SLOTS, DIM)).argsort(axis=1)[:, :4]
     out = np.zeros((SLOTS, DIM), np.float32)
-    np.put_along_axis(out, at, np.array([1, 1, -1, -1], np.float32), axis=1)
+    np.put_along_axis(out, _index_places(), np.array([1, 1, -1, -1], np.float32), axis=1)
     return out
 
 
-def slots_of(text: str | None) -> list[bytes]:
-    words = _TOKEN.findall((text or "").encode())
-    return [w.lower() if _CAPITAL.match(w) else w for w in words]
-
-
 def _slotted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    split = [slots_of(t) for t in texts]
-    h, _ = hashed([w for ws in split for w in ws])
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64), np.fromiter(map(len, split), np.int64, len(split))
-
-
-def _neighbours(v: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """For each word the sum of its neighbours' index vectors within its document."""
-    doc = np.repeat(np.arange(len(length)), length)
-    out = np.zeros_like(v)
-    for k in range(1, REACH + 1):
-        same = (doc[k:] == doc[:-k])[:, None]
-        out[k:] += v[:-k] * same
-        out[:-k] += v[k:] * same
-    return out
+    """The slot of each word of all texts, and each text's number of words."""
+    split = [_TOKEN.findall((t or "").encode()) for t in texts]
+    coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
+    words = (w.lower() if _CAPITAL.match(w) else w for w in coded.dictionary.to_pylist())
+    slot = np.array([xxhash.xxh64_intdigest(w) & (SLOTS - 1) for w in words], dtype=np.int64)
+    length = np.fromiter(map(len, split), np.int64, len(split))
+    return (slot[coded.indices.to_numpy(zero_copy_only=False)] if length.sum() else slot), length
 
 
 def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Context vectors of all slots, over all documents: SLOTS x DIM, each of length one.
 
-    Each task sums up what it reads and sends one row for each slot; rows are added by slot."""
+    A word's context vector adds up its neighbours' index vectors.  Each task sums up what it reads
+    and sends one row for each slot; rows are added by slot."""
 
     def count(batches):
-        index, total = _index_vectors(), np.zeros((SLOTS, DIM), np.int64)
+        places, total = _index_places(), np.zeros(SLOTS * DIM, np.int64)
         for b in batches:
             for c in chunks(b):
                 slot, length = _slotted(c.column(1).to_pylist())
-                if len(slot):
-                    near = _neighbours(index[slot], length)
-                    for d in range(DIM):
-                        total[:, d] += np.bincount(slot, near[:, d], SLOTS).astype(np.int64)
-        used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(total[used, d], pa.int64()) for d in range(DIM))], ["slot", *names])
+                doc = np.repeat(np.arange(len(length)), length)
+                for k in range(1, REACH + 1):
+                    same = doc[k:] == doc[:-k]
+                    left, right = slot[:-k][same], slot[k:][same]
+                    for word, near in ((left, right), (right, left)):
+                        for j, sign in enumerate((1, 1, -1, -1)):
+                            total += sign * np.bincount(word * DIM + places[near, j], minlength=SLOTS * DIM)
+        table = total.reshape(SLOTS, DIM)
+        used = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, d], pa.int64()) for d in range(DIM))], ["slot", *names])
 
     names = [f"c{d}" for d in range(DIM)]
     rows = id_and_text(docs, id_col, text_col).mapInArrow(count, "slot int, " + ", ".join(f"{c} long" for c in names))
@@ -81,25 +78,29 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 N_FEATURES = 2 * DIM + 4
 
 
-def features(texts: list[str | None], vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Pooled over a text's words: the mean word vector, the mean of its squares, the mean
-    vector's length, how far words point to themselves, how alike neighbours are, the size."""
+def pooling_table(vectors: np.ndarray) -> np.ndarray:
+    """What a word adds to its text: its vector, the squares, how far it points to itself."""
+    own = (vectors * _index_vectors()).sum(axis=1, keepdims=True)
+    return np.hstack([vectors, vectors**2, own]).astype(np.float32)
+
+
+def features(texts: list[str | None], table: np.ndarray) -> np.ndarray:
+    """Pooled over a text's words: the mean word vector, the mean of its squares, how far words
+    point to themselves, how often a word repeats the one before, the mean vector's length, the
+    size."""
     slot, length = _slotted(texts)
     out = np.zeros((len(texts), N_FEATURES), np.float64)
     full = np.flatnonzero(length)
     if not len(full):
         return out
-    v, own = vectors[slot], index[slot]
     at = (np.cumsum(length) - length)[full]
     n = length[full][:, None]
-    mean = np.add.reduceat(v.astype(np.float64), at, axis=0) / n
-    squares = np.add.reduceat(v.astype(np.float64) ** 2, at, axis=0) / n
-    self_like = np.add.reduceat((v * own).sum(axis=1, dtype=np.float64), at)[:, None] / n
-    pair = np.zeros(len(slot))
-    pair[1:] = (own[1:] * own[:-1]).sum(axis=1)
-    pair[at] = 0
-    alike = np.add.reduceat(pair, at)[:, None] / n
-    out[full] = np.hstack([mean, squares, np.linalg.norm(mean, axis=1, keepdims=True), self_like, alike, np.log1p(n)])
+    mean = np.stack([table[slot[a : a + k]].sum(axis=0, dtype=np.float64) for a, k in zip(at.tolist(), length[full].tolist())]) / n
+    again = np.zeros(len(slot))
+    again[1:] = slot[1:] == slot[:-1]
+    again[at] = 0
+    again = np.add.reduceat(again, at)[:, None] / n
+    out[full] = np.hstack([mean, again, np.linalg.norm(mean[:, :DIM], axis=1, keepdims=True), np.log1p(n)])
     return out
 
 
@@ -169,13 +170,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     vectors = word_vectors(corpus, id_col, text_col)
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.min(label_col) > 0).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(sample)
-    shared = spark.sparkContext.broadcast(vectors)
+    shared = spark.sparkContext.broadcast(pooling_table(vectors))
 
     def pool(batches):
-        own = _index_vectors()
         for b in batches:
             for c in chunks(b):
-                x = features(c.column(1).to_pylist(), shared.value, own)
+                x = features(c.column(1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([r.astype(np.float64).tobytes() for r in x], pa.binary()), c.column(2)], ["doc_id", "x", "y"])
 
     known = id_and_text(corpus, id_col, text_col).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
@@ -185,10 +185,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     model = spark.sparkContext.broadcast(net)
 
     def score(batches):
-        own = _index_vectors()
         for b in batches:
             for c in chunks(b):
-                s = model.value.score(features(c.column(1).to_pylist(), shared.value, own))
+                s = model.value.score(features(c.column(1).to_pylist(), shared.value))
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
