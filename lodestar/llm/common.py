@@ -178,6 +178,7 @@ def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 4 << 20):
             end += 1
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
