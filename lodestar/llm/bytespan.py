@@ -62,7 +62,7 @@ def _segments(window: int):
     def run(batches):
         for b in batches:
             for c in chunks(b, 2, 1 << 20):
-                cols = [[] for _ in range(6)]
+                cols = [[] for _ in range(7)]
                 parts = []
                 for d, (text, known) in enumerate(zip(c.column(2).to_pylist(), c.column(3).to_pylist())):
                     data = _bytes(text)
@@ -74,13 +74,13 @@ def _segments(window: int):
                         salt = ((at - first).astype(np.uint64) << np.uint64(20)) ^ size.astype(np.uint64)
                         one = mix(roller.at(first, size) ^ mix(salt))
                     two = (Roller(_VALUES[data], 1).at(first, size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    for col, x in zip(cols, (np.full(len(at), d), h.view(np.int64), one.view(np.int64), two, first.astype(np.int32), n.astype(np.int32))):
+                    for col, x in zip(cols, (np.full(len(at), d), h.view(np.int64), one.view(np.int64), two, first.astype(np.int32), n.astype(np.int32), (at - first).astype(np.int32))):
                         col.append(x)
                     raw = data.tobytes()
                     parts += [raw[x : x + y] for x, y in zip(first.tolist(), size.tolist())]
-                doc, h, one, two, first, n = map(np.concatenate, cols)
+                doc, h, one, two, first, n, off = map(np.concatenate, cols)
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([c.column(0).take(take), c.column(1).take(take), *map(pa.array, (h, one, two, first, n)), pa.array(parts, pa.binary())], ["id", "th", "h", "seg", "check", "first", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([c.column(0).take(take), c.column(1).take(take), *map(pa.array, (h, one, two, first, n, off)), pa.array(parts, pa.binary())], ["id", "th", "h", "seg", "check", "first", "n", "off", "bytes"])
 
     return run
 
@@ -137,26 +137,79 @@ def _transform(window: int):
     return run
 
 
+STEP = 8  # windows of a piece of a segment
+
+
+def _pieces(window: int):
+    """A segment's windows in pieces of STEP, counted from the anchor, so that pieces of all segments
+    of an anchor match; the first and last may be cut.  Each has the hash of all its bytes and that
+    of its core, the bytes that all STEP windows of the piece share, also where it is cut."""
+
+    def run(batches):
+        for b in batches:
+            for c in chunks(b, 3, 1 << 20):
+                row, lo, n, whole, core, parts = [], [], [], [], [], []
+                for i, (s, off) in enumerate(zip(c.column(3).to_pylist(), c.column(5).to_pylist())):
+                    v = _VALUES[np.frombuffer(s, np.uint8)]
+                    full = np.arange(off % STEP - STEP, len(v) - window + 1, STEP)
+                    full = full[full > -STEP]
+                    at = np.maximum(full, 0)
+                    w = np.minimum(full + STEP, len(v) - window + 1) - at
+                    rollers = Roller(v), Roller(v, 1)
+                    whole.append([r.at(at, w + window - 1) for r in rollers])
+                    core.append([r.at(full + STEP - 1, window - STEP + 1) for r in rollers])
+                    row.append(np.full(len(at), i))
+                    lo.append(at)
+                    n.append(w)
+                    parts += [s[x : x + y + window - 1] for x, y in zip(at.tolist(), w.tolist())]
+                if not row:
+                    continue
+                take = pa.array(np.concatenate(row))
+                sums = [np.concatenate([x[k] for x in part]).view(np.int64) for part in (whole, core) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(c.column(i).take(take) for i in range(3)), pa.array(np.concatenate(lo), pa.int32()), pa.array(np.concatenate(n), pa.int32()), *map(pa.array, sums), pa.array(parts, pa.binary()), c.column(4).take(take)], ["h", "seg", "check", "lo", "w", "one", "two", "core", "core2", "bytes", "n"])
+
+    return run
+
+
 def _spread(window: int):
-    """Every window of a segment, by hash."""
+    """Every window of a piece, by hash."""
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                c = b.slice(lo, 256)
+            for c in chunks(b, 4, 1 << 16):
                 one, two, at, row = [], [], [], []
-                for i, s in enumerate(c.column(3).to_pylist()):
+                for i, (s, lo) in enumerate(zip(c.column(4).to_pylist(), c.column(3).to_pylist())):
                     v = _VALUES[np.frombuffer(s, np.uint8)]
                     one.append(Roller(v).windows(window))
                     two.append(Roller(v, 1).windows(window))
-                    at.append(np.arange(len(one[-1])))
+                    at.append(lo + np.arange(len(one[-1])))
                     row.append(np.full(len(one[-1]), i))
                 take = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([*(c.column(i).take(take) for i in range(3)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(at), pa.int32()), c.column(4).take(take)], ["h", "seg", "check", "one", "two", "at", "n"])
+                yield pa.RecordBatch.from_arrays([*(c.column(i).take(take) for i in range(3)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(at), pa.int32()), c.column(5).take(take)], ["h", "seg", "check", "one", "two", "at", "n"])
 
     return run
 
 
+def _hot_runs(hot: DataFrame, window: int) -> DataFrame:
+    """h, seg, check, lo, hi: repeated windows of segments (h, seg, check, bytes, times) of which one
+    anchor has very many, found by counting hashes alone.  A piece that occurs twice whole repeats
+    whole; one whose core occurs once can't repeat; only the windows of the others are counted."""
+    key = ["h", "seg", "check"]
+    twice = lambda df, a, b: df.groupBy(a, b).agg(F.sum("n").alias("n")).filter("n > 1").select(a, b)
+    pieces = written(hot.mapInArrow(_pieces(window), "h long, seg long, check int, lo int, w int, one long, two long, core long, core2 long, bytes binary, n long"), "bwt-pieces")
+    whole = written(twice(pieces, "one", "two"), "bwt-whole-pieces")
+    core = written(twice(pieces, "core", "core2"), "bwt-cores")
+    done = pieces.join(whole, ["one", "two"]).select(*key, "lo", (F.col("lo") + F.col("w")).alias("hi"))
+    open_ = pieces.join(core, ["core", "core2"]).join(whole.withColumn("done", F.lit(True)), ["one", "two"], "left").select(*key, "lo", "bytes", F.when(F.col("done"), F.lit(True)).otherwise(F.lit(False)).alias("done"), "n")
+    open_ = written(open_, "bwt-open")
+    # pieces that repeat whole stay in the count, since part of an open one may repeat in them: once each is enough
+    kept = open_.filter("NOT done").select(*key, "lo", "bytes", "n").unionByName(open_.filter("done").groupBy("bytes").agg(F.min(F.struct(*key, "lo")).alias("x"), F.count("*").alias("n")).select(*(f"x.{k}" for k in key), "x.lo", "bytes", "n"))
+    spread = written(kept.mapInArrow(_spread(window), "h long, seg long, check int, one long, two long, at int, n long"), "bwt-spread")
+    again = written(twice(spread, "one", "two"), "bwt-twice")
+    single = spread.join(again, ["one", "two"]).select(*key, F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    return done.unionByName(single)
+
+
 def _remove(window: int):
     def run(batches):
         for b in batches:
@@ -190,21 +243,20 @@ def repeated_runs(pool: DataFrame, window: int = WINDOW) -> DataFrame:
     again = written(anchors.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "bwt-again")
     live = written(anchors.join(again, "h").groupBy("id", "th").agg(F.collect_set("h").alias("known")), "bwt-live")
     forget(anchors, again)
-    seg = only(src, live).join(live, ["id", "th"]).select("id", "th", "text", "known").mapInArrow(_segments(window), "id long, th long, h long, seg long, check int, first int, n int, bytes binary")
+    seg = only(src, live).join(live, ["id", "th"]).select("id", "th", "text", "known").mapInArrow(_segments(window), "id long, th long, h long, seg long, check int, first int, n int, off int, bytes binary")
     seg = written(seg.withColumn("nr", F.monotonically_increasing_id()), "bwt-segments")
     forget(live)
     kinds = written(seg.groupBy("h", "seg", "check").agg(F.count("*").alias("times"), F.min("nr").alias("nr"), F.min("n").alias("n")), "bwt-kinds")
     width = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "bwt-width")
     picked = written(kinds.join(width, "h").select("nr", "kinds", "times"), "bwt-picked")
     hint = F.broadcast if small_enough(picked, 1_000_000) else lambda df: df
-    texts = written(seg.select("nr", "h", "seg", "check", "bytes").join(hint(picked), "nr"), "bwt-texts")
+    texts = written(seg.select("nr", "h", "seg", "check", "off", "bytes").join(hint(picked), "nr"), "bwt-texts")
     total = texts.filter(F.col("kinds") <= HOT).agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     n = max(64, int(total // SHARD_BYTES) + 1)
     shard = F.pmod(F.xxhash64("h"), F.lit(n))
     found = texts.filter(F.col("kinds") <= HOT).withColumn("shard", shard).groupBy("shard").applyInArrow(_transform(window), f"h long, seg long, check int, runs {RUNS}")
-    spread = written(texts.filter(F.col("kinds") > HOT).select("h", "seg", "check", "bytes", "times").mapInArrow(_spread(window), "h long, seg long, check int, one long, two long, at int, n long"), "bwt-spread")
-    twice = written(spread.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").select("one", "two"), "bwt-twice")
-    hot = spread.join(twice, ["one", "two"]).groupBy("h", "seg", "check").agg(F.transform(F.array_sort(F.collect_set("at")), lambda x: F.struct(x.alias("lo"), (x + 1).alias("hi"))).alias("runs"))
+    hot = _hot_runs(texts.filter(F.col("kinds") > HOT).select("h", "seg", "check", "bytes", "times", "off"), window)
+    hot = hot.groupBy("h", "seg", "check").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
     found = written(found.unionByName(hot).filter(F.size("runs") > 0), "bwt-found")
     key = ["h", "seg", "check"]
     whole = F.when(F.col("times") > 1, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))))
@@ -212,7 +264,7 @@ def repeated_runs(pool: DataFrame, window: int = WINDOW) -> DataFrame:
     each = seg.select("id", "th", "first", *key).join(marked, key)
     moved = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi")))
     out = written(each.select("id", "th", moved.alias("runs")).groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")), "bwt-runs")
-    forget(seg, kinds, width, picked, texts, found, marked, spread, twice)
+    forget(seg, kinds, width, picked, texts, found, marked)
     return out
 
 
