@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,9 +121,21 @@ def format_controls(x) -> Column:
     return F.regexp_extract_all(x, F.lit(r"\p{Cf}"), F.lit(0))
 
 
-#: Code points refused in data files, fixed values: U+0000-0008, 000B, 000C, 000E-001F, 007F, the
-#: bidi controls, zero-width characters and line separators, and the byte order mark.
-FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
+#: Code points that have names in reports; fixed values.
+NAMED_CONTROLS = (0xAD, 0x61C, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF)
+
+
+def first_format_control(x) -> Column:
+    """struct(char, code_point, name) of the first format control of a text; null without one."""
+    x = F.col(x) if isinstance(x, str) else x
+    hit = F.get(format_controls(x), F.lit(0))
+    code = F.conv(F.hex(F.encode(hit, "UTF-32")), 16, 10).cast("int")
+    names = F.create_map(*(v for c in NAMED_CONTROLS for v in (F.lit(c), F.lit(unicodedata.name(chr(c))))))
+    return F.when(hit.isNotNull(), F.struct(hit.alias("char"), code.alias("code_point"), F.coalesce(F.try_element_at(names, code), F.format_string("U+%04X", code)).alias("name")))
+
+
+#: Code points refused in data files, fixed values.
+FORBIDDEN = r"[\x{200B}-\x{200D}\x{2028}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
 
 
 def forbidden_code_points(text) -> Column:

@@ -493,7 +493,7 @@ def placeholder_scan(t):
 
 @query("SELECT event_id, coalesce(regexp_extract(v, '\\p{Cf}'), '') AS first_hit, regexp_matches(v, '\\p{Cf}') AS found FROM (SELECT event_id, event_type || CASE WHEN event_id % 3 = 0 THEN chr(8203) || 'x' ELSE '' END AS v FROM events)")
 def cf_scan(t):
-    v = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "​x").otherwise(""))
+    v = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "\u200bx").otherwise(""))
     hits = T.format_controls(v)
     return t.events.select("event_id", F.coalesce(F.get(hits, F.lit(0)), F.lit("")).alias("first_hit"), (F.size(hits) > 0).alias("found"))
 
@@ -505,7 +505,7 @@ def html_escape(t):
 
 @query("SELECT event_id, regexp_replace(regexp_replace(v, '^\\x{FEFF}', ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS clean FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN chr(65279) ELSE '' END || chr(CAST(event_id % 31 + 1 AS INTEGER)) || props AS v FROM events)")
 def repair_bom_ctrl(t):
-    v = F.concat(F.when(F.col("event_id") % 2 == 0, "﻿").otherwise(""), F.chr(F.col("event_id") % 31 + 1), "props")
+    v = F.concat(F.when(F.col("event_id") % 2 == 0, "\ufeff").otherwise(""), F.chr(F.col("event_id") % 31 + 1), "props")
     return t.events.select("event_id", T.remove_control_chars(T.strip_bom(v)).alias("clean"))
 
 
@@ -536,7 +536,7 @@ def replies(t) -> DataFrame:
         F.when(m == 0, good)
         .when(m == 1, F.concat(F.lit("Here it is:\n```json\n"), good, F.lit("\n```\nDone.")))
         .when(m == 2, F.replace(good, F.lit("}]}"), F.lit("},]}")))
-        .when(m == 3, F.concat(F.lit("﻿\x01"), good))
+        .when(m == 3, F.concat(F.lit("\ufeff\x01"), good))
         .when(m == 4, F.replace(good, F.lit('"k"'), F.lit("\"k\\'s\"")))
         .when(m == 5, F.expr("substr(g, 1, length(g) - 5)"))
         .when(m == 6, F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), quoted, F.lit('"}}]}\n\ndata: [DONE]\n')))

@@ -251,3 +251,22 @@ def test_report(spark, tmp_path):
     assert "\\u003c/script" in html and html.count("<section") == 2
     viz.write_text(spark, f"file://{tmp_path}/r.html", html)
     assert (tmp_path / "r.html").read_text() == html
+
+
+def test_trials(spark, tmp_path):
+    from lodestar import schemas
+    from lodestar.plans import trial
+
+    reply = lambda start: json.dumps([{"extractionClass": "w", "quote": "Beta", "charStart": start, "charEnd": start + 4}])
+    script = json.dumps({"kind": "multi_pass_v1", "draft": "oops", "repair": reply(6), "failureKind": "json_pipeline_failure"})
+    gold = [{"extractionClass": "w", "quote": "Beta", "charStart": 6, "charEnd": 10}]
+    smoke = [{"caseId": "a", "documentText": "Alpha Beta", "instructions": "i", "targetSchema": '{"type":"object"}', "providerResponseText": script, "goldSpans": gold}, {"caseId": "b", "documentText": "x", "instructions": "i", "targetSchema": "{}", "providerResponseText": '{"extractions":[]}', "goldSpans": []}]
+    expected = {"emptyResultKind": "empty_by_failure", "minExtractions": 0, "maxExtractions": 0}
+    regression = [RECORD | {"targetSchema": "{}", "providerResponseText": "prose", "expected": expected}]
+    sets = [spark.createDataFrame(smoke, schemas.SMOKE), spark.createDataFrame(regression, schemas.REGRESSION)]
+    scores = trial.run_trials(sets, options(tmp_path), 2)
+    assert {(r.case_id, r.success, r.coverage_rate, r.extraction_count) for r in scores.collect()} == {("a", True, 1.0, 1), ("b", True, 1.0, 0), ("a--b--1--deadbeef", True, 1.0, 0)}
+    out = trial.summary(scores)
+    M.check_gates(out, minima={"success_rate": 1, "total_case_count": 3})
+    trial.write_result(out, f"file://{tmp_path}/result")
+    assert spark.read.json(f"file://{tmp_path}/result").first().case_outcome_drift_rate == 0

@@ -253,3 +253,21 @@ def test_prng(spark):
 
 def test_markers_spaced():
     assert re.sub(" ", "", T.spaced(T.DOC_START)) == T.DOC_START
+
+
+def test_prng_class(spark):
+    from lodestar.functions.prng import Prng, fnv1a
+
+    p = Prng("seed-1")
+    assert [p.uint32() for _ in range(5)] == spark.range(1).select(T.prng_draws(F.lit("seed-1"), 5).alias("x")).first().x
+    assert Prng(0).initial == 0x6D2B79F5 and Prng(-1).initial == 2**32 - 1 and fnv1a("") == 0x811C9DC5
+    assert all(3 <= Prng(i).between(3, 9) < 9 and Prng(i).float() < 1 for i in range(50))
+    for bad in ("", float("inf")):
+        with pytest.raises(ValueError):
+            Prng(bad)
+
+
+def test_first_control(spark):
+    df = spark.createDataFrame([("a\u200bb",), ("plain",), ("\u00ad",), ("\U000e0001",)], "x string")
+    got = [r.c and (r.c.code_point, r.c.name) for r in df.select(T.first_format_control("x").alias("c")).collect()]
+    assert got == [(0x200B, "ZERO WIDTH SPACE"), None, (0xAD, "SOFT HYPHEN"), (0xE0001, "U+E0001")]
