@@ -42,10 +42,11 @@ def u16_bytes(text, start, end) -> Column:
     return F.substring(F.encode(text, "UTF-16BE"), start * 2 + 1, (end - start) * 2)
 
 
-def slice_equals(text, start, end, quote) -> Column:
-    """Whether text[start:end] by UTF-16 offsets is the quote."""
+def slice_equals(text, start, end, quote, astral=None) -> Column:
+    """Whether text[start:end] by UTF-16 offsets is the quote.  ``astral``: whether the text has
+    characters beyond the basic plane, if that is known."""
     plain = F.substr(text, start + 1, end - start) == quote
-    return F.when(has_astral(text), u16_bytes(text, start, end) == F.encode(quote, "UTF-16BE")).otherwise(plain)
+    return F.when(has_astral(text) if astral is None else astral, u16_bytes(text, start, end) == F.encode(quote, "UTF-16BE")).otherwise(plain)
 
 
 # ---------------------------------------------------------------- normalisation
@@ -142,8 +143,13 @@ def forbidden_code_points(text) -> Column:
     """array of struct(char, byte_offset) of refused characters, offsets in UTF-8 bytes."""
     text = F.col(text) if isinstance(text, str) else text
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)({FORBIDDEN})"), F.lit(0))
-    ends = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.octet_length(x))
-    return F.transform(pieces, lambda p, i: F.struct(F.right(p, F.lit(1)).alias("char"), (ends(i) - F.octet_length(F.right(p, F.lit(1)))).alias("byte_offset")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char:string,byte_offset:int>>").alias("out"))
+
+    def step(s, p):
+        end, char = s["at"] + F.octet_length(p), F.right(p, F.lit(1))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(char.alias("char"), (end - F.octet_length(char)).alias("byte_offset")))).alias("out"))
+
+    return F.aggregate(pieces, zero, step, lambda s: s["out"])
 
 
 def escape_html(x) -> Column:

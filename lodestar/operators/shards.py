@@ -62,15 +62,17 @@ def span_error(start, end, shard_start, shard_end) -> Column:
     )
 
 
-def quote_error(text, quote, offset_mode, start, end, span_mode, span_start, span_end) -> Column:
+def quote_error(text, quote, offset_mode, start, end, span_mode, span_start, span_end, length=None, astral=None) -> Column:
     """Code of the first rule that an extraction breaks; null if it stands.  A code column, never a
-    filter, so that no rule is evaluated ahead of its turn."""
+    filter, so that no rule is evaluated ahead of its turn.  ``length`` (in UTF-16 units) and
+    ``astral``, columns made once for each document, spare measuring its text for each extraction."""
+    length = T.u16_len(text) if length is None else length
     return (
         F.when(offset_mode != T.OFFSET_MODE, "UNSUPPORTED_OFFSET_MODE")
         .when(start.isNull() | end.isNull() | (start > end), "INVALID_OFFSETS")
         .when(~(span_mode.eqNullSafe(offset_mode) & span_start.eqNullSafe(start) & span_end.eqNullSafe(end)), "OFFSET_MISMATCH")
-        .when((start < 0) | (end > T.u16_len(text)), "OFFSETS_OUT_OF_RANGE")
-        .when(~T.slice_equals(text, start, end, quote), "QUOTE_MISMATCH")
+        .when((start < 0) | (end > length), "OFFSETS_OUT_OF_RANGE")
+        .when(~T.slice_equals(text, start, end, quote, astral), "QUOTE_MISMATCH")
     )
 
 

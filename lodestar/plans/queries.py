@@ -59,29 +59,46 @@ def shards_sql(size=512, overlap=64, name="w", table="documents", text="text") -
 # ---------------------------------------------------------------- grounding
 
 
+def measured(d: DataFrame) -> DataFrame:
+    """Adds what is measured once for each text: its length in UTF-16 units, characters beyond the
+    basic plane."""
+    return d.withColumn("n_units", T.u16_len(F.col("text"))).withColumn("astral", F.length("text") != F.col("n_units"))
+
+
 def passages(t, size=2048, overlap=512, limit=10_000):
     """(document, item) occurrences: the first in each shard, in document offsets, overlap
     duplicates removed.
 
-    Items are one row with an array, broadcast after their number has been checked, and tested in a
-    Generate, so that nothing costlier moves ahead of the test; the whole text isn't carried, and
-    the few rows left meet the document again for the quote check."""
-    items = t.benchmark.filter(F.length("text") > 0)
+    An item with four words or more has two neighbours within it that stand whole wherever it
+    occurs; the longest such pair is its key.  Keys and shorter items are one broadcast row, after
+    their number has been checked.  A shard intersects its pairs of words with the keys, so that
+    items are looked up rather than tried; few shards go on, and their hits meet the document again
+    for the quote check."""
+    words = lambda c: F.split(c, "[ \n]")
+    # the lambda sees elements alone: an expression within it would be evaluated for each of them
+    inner = lambda w: F.when(F.size(w) >= 4, F.zip_with(F.slice(w, F.lit(2), F.size(w) - 3), F.slice(w, F.lit(3), F.size(w) - 3), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
+    items = t.benchmark.filter(F.length("text") > 0).select("item_id", F.col("text").alias("q"), words("text").alias("w"))
+    longest = F.array_max(F.transform(inner(F.col("w")), lambda p: F.struct(F.length(p).alias("n"), p.alias("key"))))
+    items = items.select("item_id", "q", longest["key"].alias("key"))
     n = items.count()
     if n > limit:
         raise ValueError(f"{n} items; split them into blocks of {limit}")
-    one = items.agg(F.collect_list(F.struct("item_id", F.col("text").alias("q"))).alias("items"))
+    short = F.filter(F.collect_list(F.when(F.col("key").isNull(), F.struct("item_id", "q"))), lambda x: x.isNotNull())
+    one = F.broadcast(items.agg(F.collect_set("key").alias("keys"), short.alias("short")))
     d = docs(t).withColumn("text", T.normalize_newlines("text"))
-    s = S.shard_documents(d, HASH, size, overlap, ids=False).crossJoin(F.broadcast(one))
-    hit = s.select("document_id", F.col("start").alias("shard_start"), F.col("end").alias("shard_end"), "text", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["q"]))).alias("x"))
-    local = F.expr("locate(x.q, text) - 1")
-    hit = hit.select("document_id", "shard_start", "shard_end", "x.item_id", F.col("x.q").alias("quote"), local.alias("local_start"))
+    s = S.shard_documents(d, HASH, size, overlap, ids=False).crossJoin(one)
+    s = s.withColumn("met", F.array_intersect(inner(words("text")), F.col("keys"))).filter((F.size("met") > 0) | (F.size("short") > 0))
+    s = s.select("document_id", F.col("start").alias("shard_start"), "text", "short", "met")
+    by_key = s.select("document_id", "shard_start", "text", F.explode("met").alias("key")).join(F.broadcast(items), "key").select("document_id", "shard_start", "text", "item_id", "q")
+    tried = s.select("document_id", "shard_start", "text", F.explode("short").alias("x")).select("document_id", "shard_start", "text", "x.item_id", "x.q")
+    hit = by_key.unionByName(tried).filter(F.contains(F.col("text"), F.col("q")))
+    hit = hit.select("document_id", "shard_start", "item_id", F.col("q").alias("quote"), F.expr("locate(q, text) - 1").alias("local_start"))
     a = F.col("shard_start") + F.col("local_start")
     found = hit.select("document_id", "item_id", "quote", a.cast("int").alias("char_start"), (a + F.length("quote")).cast("int").alias("char_end"), F.lit("passage").alias("extraction_class"), F.lit(T.OFFSET_MODE).alias("offset_mode"), F.lit("explicit").alias("grounding"), F.lit(None).cast("string").alias("attributes_json"))
     found = S.dedupe(found, ["document_id", "item_id"])
     mode = F.col("offset_mode")
-    error = S.quote_error(F.col("text"), F.col("quote"), mode, F.col("char_start"), F.col("char_end"), mode, F.col("char_start"), F.col("char_end"))
-    return found.join(d, "document_id").withColumn("error", error).drop("text")
+    error = S.quote_error(F.col("text"), F.col("quote"), mode, F.col("char_start"), F.col("char_end"), mode, F.col("char_start"), F.col("char_end"), F.col("n_units"), F.col("astral"))
+    return found.join(measured(d), "document_id").withColumn("error", error).drop("text", "n_units", "astral")
 
 
 PASSAGES_SQL = f"""WITH n AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents), {shards_sql(2048, 512, table="n")},
@@ -161,11 +178,11 @@ def span_resolve(t):
 @query(f"""WITH {_RAW_SQL}, x AS (SELECT r.*, text, CASE WHEN doc_id % 23 = 0 THEN 'bytes' ELSE 'utf16_code_unit' END AS mode, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE substr(body, greatest(a, 0) + 1, greatest(b - a, 0)) END AS quote, s + a + CAST(doc_id % 29 = 0 AS INTEGER) AS span_a FROM r JOIN documents USING (doc_id))
 SELECT doc_id, shard_index, CASE WHEN mode <> 'utf16_code_unit' THEN 'UNSUPPORTED_OFFSET_MODE' WHEN s + a > s + b THEN 'INVALID_OFFSETS' WHEN span_a <> s + a THEN 'OFFSET_MISMATCH' WHEN s + a < 0 OR s + b > length(text) THEN 'OFFSETS_OUT_OF_RANGE' WHEN substr(text, s + a + 1, b - a) <> quote THEN 'QUOTE_MISMATCH' ELSE 'OK' END AS code FROM x""")
 def quote_invariant(t):
-    r = raws(t).join(t.documents.select("doc_id", "text"), "doc_id")
+    r = raws(t).join(measured(t.documents.select("doc_id", "text")), "doc_id")
     d, a, b, s = (F.col(c) for c in ("doc_id", "a", "b", "s"))
     mode = F.when(d % 23 == 0, "bytes").otherwise(T.OFFSET_MODE)
     quote = F.when(d % 7 == 0, "other").otherwise(F.substr("body", F.greatest(a, F.lit(0)) + 1, F.greatest(b - a, F.lit(0))))
-    code = S.quote_error(F.col("text"), quote, mode, s + a, s + b, mode, s + a + (d % 29 == 0).cast("int"), s + b)
+    code = S.quote_error(F.col("text"), quote, mode, s + a, s + b, mode, s + a + (d % 29 == 0).cast("int"), s + b, F.col("n_units"), F.col("astral"))
     return r.select("doc_id", "shard_index", F.coalesce(code, F.lit("OK")).alias("code"))
 
 
