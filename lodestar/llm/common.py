@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -167,7 +168,7 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return (low - (best & low)).astype(np.int64)
 
 
-def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 4 << 20):
+def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 2 << 20):
     """Slices of a batch whose texts have about ``limit`` bytes together, one document at least."""
     size = np.diff(np.frombuffer(batch.column(text_at).buffers()[1], np.int32, batch.num_rows + 1 + batch.column(text_at).offset)[batch.column(text_at).offset :]) if batch.num_rows else np.zeros(0)
     at = 0
@@ -178,7 +179,21 @@ def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 4 << 20):
             end += 1
         yield batch.slice(at, end - at)
         at = end
+    give_back()
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between tasks, and an executor's memory
+    is shared by all of them."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
