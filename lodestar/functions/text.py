@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lazy import column_function
-
 OFFSET_MODE = "utf16_code_unit"
 DOC_START, DOC_END = "BEGIN_UNTRUSTED_DOCUMENT", "END_UNTRUSTED_DOCUMENT"
 REPLY_START, REPLY_END = "PREVIOUS_RESPONSE_TEXT_BEGIN", "PREVIOUS_RESPONSE_TEXT_END"
@@ -24,17 +21,19 @@ def has_astral(text) -> Column:
     return F.length(text) != u16_len(text)
 
 
-@column_function("string")
-def _u16_slice(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    out = []
-    for t, a, b in zip(text, start, end):
-        out.append(None if t is None else t.encode("utf-16-le", "surrogatepass")[2 * int(a) : 2 * int(b)].decode("utf-16-le", "replace"))
-    return pd.Series(out, dtype=object)
-
-
 def u16_slice_lossy(text, start, end) -> Column:
-    """Slice by UTF-16 offsets; half a surrogate pair becomes U+FFFD, as an encoder would write it."""
-    return _u16_slice(text, start, end)
+    """Slice by UTF-16 offsets; half a surrogate pair becomes U+FFFD, as an encoder would write it.
+    Such a half can only be the first unit (a low one) or the last (a high one)."""
+    raw = u16_bytes(text, start, end)
+    half = F.lit(b"\xff\xfd")
+    unit = lambda at: F.hex(F.substring(raw, at, 2))
+    size = (end - start) * 2
+    head = unit(F.lit(1)).between("DC00", "DFFF")
+    tail = unit(F.greatest(size - 1, F.lit(1))).between("D800", "DBFF")
+    middle = F.substring(raw, F.when(head, 3).otherwise(1), size - F.when(head, 2).otherwise(0) - F.when(tail, 2).otherwise(0))
+    none = F.lit(b"")
+    whole = F.concat(F.when(head, half).otherwise(none), middle, F.when(tail, half).otherwise(none))
+    return F.when(size <= 0, F.lit("")).otherwise(F.decode(whole, "UTF-16BE"))
 
 
 def u16_bytes(text, start, end) -> Column:

@@ -35,22 +35,19 @@ def shard_documents(docs: DataFrame, program_hash: str, size: int, overlap: int,
     """document_id, shard_index, shard_id, start, end, text from document_id, text (normalised).
 
     Offsets count UTF-16 code units.  Texts without characters beyond the basic plane, where code
-    units are characters, are sliced by built-in functions; the others by a pandas UDF, since a
-    window may cut a surrogate pair."""
+    units are characters, are sliced as text; the others as UTF-16, since a window may cut a
+    surrogate pair.  Both ways are built-in functions of one scan."""
     check_options(size, overlap)
-
-    def cut(df: DataFrame, length: Column, piece) -> DataFrame:
-        df = df.select("document_id", "text", F.explode(windows(length, size, overlap)).alias("w"))
-        df = df.select("document_id", "w.shard_index", "w.start", "w.end", piece(F.col("text"), F.col("w.start"), F.col("w.end")).alias("text"))
-        if not ids:
-            return df
-        key = shard_id(program_hash, F.col("document_id"), size, overlap, F.col("start"), F.col("end"), F.col("text"))
-        return df.select("document_id", "shard_index", key.alias("shard_id"), "start", "end", "text")
-
-    docs = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
-    plain = cut(docs.filter(~T.has_astral(F.col("text"))), F.length("text"), lambda t, a, b: F.substr(t, a + 1, b - a))
-    wide = cut(docs.filter(T.has_astral(F.col("text"))), T.u16_len(F.col("text")), T.u16_slice_lossy)
-    return plain.unionByName(wide)
+    d = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("document_id", "text", T.u16_len(F.col("text")).alias("n_units"), T.has_astral(F.col("text")).alias("astral"))
+    d = d.select("document_id", "text", "astral", F.explode(windows(F.col("n_units"), size, overlap)).alias("w"))
+    a, b = F.col("w.start"), F.col("w.end")
+    piece = F.when(F.col("astral"), T.u16_slice_lossy(F.col("text"), a, b)).otherwise(F.substr("text", a + 1, b - a))
+    d = d.select("document_id", "w.shard_index", a.alias("start"), b.alias("end"), piece.alias("text"))
+    if not ids:
+        return d
+    key = shard_id(program_hash, F.col("document_id"), size, overlap, F.col("start"), F.col("end"), F.col("text"))
+    return d.select("document_id", "shard_index", key.alias("shard_id"), "start", "end", "text")
 
 
 def span_error(start, end, shard_start, shard_end) -> Column:

@@ -80,18 +80,20 @@ def passages(t, size=2048, overlap=512, limit=10_000):
     items = t.benchmark.filter(F.length("text") > 0).select("item_id", F.col("text").alias("q"), words("text").alias("w"))
     longest = F.array_max(F.transform(inner(F.col("w")), lambda p: F.struct(F.length(p).alias("n"), p.alias("key"))))
     items = items.select("item_id", "q", longest["key"].alias("key"))
-    n = items.count()
+    n, n_short = items.agg(F.count("*"), F.count_if(F.col("key").isNull())).first()
     if n > limit:
         raise ValueError(f"{n} items; split them into blocks of {limit}")
-    short = F.filter(F.collect_list(F.when(F.col("key").isNull(), F.struct("item_id", "q"))), lambda x: x.isNotNull())
-    one = F.broadcast(items.agg(F.collect_set("key").alias("keys"), short.alias("short")))
     d = docs(t).withColumn("text", T.normalize_newlines("text"))
-    s = S.shard_documents(d, HASH, size, overlap, ids=False).crossJoin(one)
-    s = s.withColumn("met", F.array_intersect(inner(words("text")), F.col("keys"))).filter((F.size("met") > 0) | (F.size("short") > 0))
-    s = s.select("document_id", F.col("start").alias("shard_start"), "text", "short", "met")
-    by_key = s.select("document_id", "shard_start", "text", F.explode("met").alias("key")).join(F.broadcast(items), "key").select("document_id", "shard_start", "text", "item_id", "q")
-    tried = s.select("document_id", "shard_start", "text", F.explode("short").alias("x")).select("document_id", "shard_start", "text", "x.item_id", "x.q")
-    hit = by_key.unionByName(tried).filter(F.contains(F.col("text"), F.col("q")))
+    s = S.shard_documents(d, HASH, size, overlap, ids=False)
+    keys = F.broadcast(items.agg(F.collect_set("key").alias("keys")))
+    met = F.explode(F.array_intersect(inner(words("text")), F.col("keys")))
+    by_key = s.crossJoin(keys).select("document_id", F.col("start").alias("shard_start"), "text", met.alias("key")).join(F.broadcast(items), "key")
+    hit = by_key.select("document_id", "shard_start", "text", "item_id", "q")
+    if n_short:
+        short = F.broadcast(items.filter("key IS NULL").agg(F.collect_list(F.struct("item_id", "q")).alias("short")))
+        tried = s.crossJoin(short).select("document_id", F.col("start").alias("shard_start"), "text", F.explode("short").alias("x"))
+        hit = hit.unionByName(tried.select("document_id", "shard_start", "text", "x.item_id", "x.q"))
+    hit = hit.filter(F.contains(F.col("text"), F.col("q")))
     hit = hit.select("document_id", "shard_start", "item_id", F.col("q").alias("quote"), F.expr("locate(q, text) - 1").alias("local_start"))
     a = F.col("shard_start") + F.col("local_start")
     found = hit.select("document_id", "item_id", "quote", a.cast("int").alias("char_start"), (a + F.length("quote")).cast("int").alias("char_end"), F.lit("passage").alias("extraction_class"), F.lit(T.OFFSET_MODE).alias("offset_mode"), F.lit("explicit").alias("grounding"), F.lit(None).cast("string").alias("attributes_json"))
