@@ -169,12 +169,12 @@ def span_map(t):
 
 
 @query(f"""WITH {_RAW_SQL}, g AS (SELECT doc_id, shard_index, CASE WHEN shard_index % 3 = 0 THEN a END AS top_a, CASE WHEN shard_index % 2 = 0 THEN a + CAST(doc_id % 19 = 0 AS INTEGER) END AS in_a FROM r)
-SELECT doc_id, shard_index, coalesce(top_a, in_a) AS char_start, CASE WHEN coalesce(top_a, in_a) IS NULL THEN 'missing' WHEN top_a <> in_a THEN 'mismatch' ELSE 'ok' END AS verdict FROM g""")
+SELECT doc_id, shard_index, coalesce(top_a, in_a, -1) AS char_start, CASE WHEN coalesce(top_a, in_a) IS NULL THEN 'missing' WHEN top_a <> in_a THEN 'mismatch' ELSE 'ok' END AS verdict FROM g""")
 def span_resolve(t):
     i, a = F.col("shard_index"), F.col("a")
     g = raws(t).select("doc_id", "shard_index", F.when(i % 3 == 0, a).alias("top_a"), F.when(i % 2 == 0, a + (F.col("doc_id") % 19 == 0).cast("int")).alias("in_a"))
     start = F.coalesce("top_a", "in_a")
-    return g.select("doc_id", "shard_index", start.alias("char_start"), F.when(start.isNull(), "missing").when(F.col("top_a") != F.col("in_a"), "mismatch").otherwise("ok").alias("verdict"))
+    return g.select("doc_id", "shard_index", F.coalesce(start, F.lit(-1)).alias("char_start"), F.when(start.isNull(), "missing").when(F.col("top_a") != F.col("in_a"), "mismatch").otherwise("ok").alias("verdict"))
 
 
 @query(f"""WITH {_RAW_SQL}, x AS (SELECT r.*, text, CASE WHEN doc_id % 23 = 0 THEN 'bytes' ELSE 'utf16_code_unit' END AS mode, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE substr(body, greatest(a, 0) + 1, greatest(b - a, 0)) END AS quote, s + a + CAST(doc_id % 29 = 0 AS INTEGER) AS span_a FROM r JOIN documents USING (doc_id))
