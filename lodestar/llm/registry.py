@@ -1,11 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bytespan, decontaminate, exact, lm, mixing, pii, quality, simhash, substring
+from . import bytespan, decontaminate, exact, lm, mixing, pii, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
     "op2_substring": substring.op2_substring,
     "op3_mix": mixing.op3_mix,
+    "op4_tokens": tokens.op4_tokens,
     "op5_bytespan": bytespan.op5_bytespan,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,

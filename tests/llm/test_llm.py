@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bwt, bytespan, common, decontaminate, exact, graph, lm, mixing, pii, quality, registry, simhash, substring
+from lodestar.llm import bwt, bytespan, common, decontaminate, exact, graph, lm, mixing, pii, quality, registry, simhash, substring, tokens
 from tests.oracle import connect, same
 
 LONG = " ".join(f"word{i % 97}x{i}" for i in range(260))
@@ -216,6 +216,29 @@ def test_mix(spark, documents, edge, empty):
     assert mixing.mix_rows(edge).agg(F.sum("copies")).first()[0] == twice.agg(F.sum("c")).first()[0]
 
 
+# ---------------------------------------------------------------- 4
+
+
+def test_tokens_like_brute_force(documents, edge, empty):
+    encode = tokens.encoder(open(tokens.RANKS, "rb").read())
+    assert encode.decode(encode.encode_ordinary("a <|endoftext|> é🙂")) == "a <|endoftext|> é🙂"
+    for df in (documents, edge):
+        n = sorted(len(encode.encode_ordinary(t or "")) for _, t in pairs(df))
+        lengths = tokens.token_lengths(df)
+        assert sorted(r.n_tokens for r in lengths.collect()) == n
+        got = {r.length: r for r in tokens.context_limits(lengths).collect()}
+        assert set(got) == set(n)
+        for k, r in got.items():
+            assert (r.n_docs, r.docs_from, r.tokens_from, r.docs_cut) == (n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k), sum(x > k for x in n))
+            assert (r.truncated_total, r.total_docs, r.total_tokens) == (sum(min(x, k) for x in n), len(n), sum(n))
+            assert [r.p50, r.p90, r.p99] == [n[math.ceil(q * len(n)) - 1] for q in (0.5, 0.9, 0.99)]
+        hist = tokens.histogram(lengths)
+        sums, total = tokens.suffix_sums(hist), tokens.totals(hist)
+        for limit in (0, 7, 1500, 10**6):
+            assert tokens.truncated_total(sums, total, limit) == sum(min(x, limit) for x in n)
+    assert tokens.context_limits(tokens.token_lengths(empty)).count() == 0
+
+
 # ---------------------------------------------------------------- 5
 
 
