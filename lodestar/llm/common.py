@@ -64,11 +64,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out first if it is read as fewer partitions than the cluster has cores; tables
+    of many files are left as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads; extra columns, whatever their names, play no part."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def dealt_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same, for operators that work on texts in Python and so gain from every core."""
+    return spread(id_and_text(docs, id_col, text_col))
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` (a written table) has at most ``rows`` rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows
@@ -199,7 +211,7 @@ def give_back() -> None:
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (null ids as NULL_ID), th (a hash of the text), doc_id, text: id and th together name a
     row; rows that share both are alike."""
-    d = id_and_text(docs, id_col, text_col)
+    d = dealt_texts(docs, id_col, text_col)
     return d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, chunks, hashed, id_and_text, window_minima, without, written
+from .common import Roller, chunks, dealt_texts, hashed, window_minima, without, written
 
 WINDOW = 10  # words that must be shared
 GRAM = 5  # words of a fingerprint
@@ -149,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     compared whole.  A null text has no words and matches nothing; an item without an id is called
     ``null``; repeated items count once by id; repeated documents are returned as often as they
     come; an empty benchmark hits nothing."""
-    out = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
     sc = docs.sparkSession.sparkContext
     for block in blocks(benchmark, id_col=item_col, text_col=item_text, limit=block_bytes):
         if block:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, forget, small_enough, written
+from .common import WORD, forget, small_enough, spread, written
 
 CAP = 3.0
 DRAWS = 16  # random offsets drawn for each source
@@ -49,7 +49,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, cap: float = CAP, id_col: str =
     without words have target 0; an empty table gives no rows."""
     spark = docs.sparkSession
     n_words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words.alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    sized = spread(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words.alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = written(sized, "mix-sizes")
     ranged = written(sized.repartitionByRange(n, F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "mix-ranged")

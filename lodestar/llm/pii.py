@@ -116,14 +116,14 @@ def revealing(near: DataFrame, docs: DataFrame, text_col: str = "text", support:
     each = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
     wanted = written(joint.select("term").distinct(), "pii-terms")
     words = docs.select(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(TERM), F.lit(0)).alias("w"))
-    total = written(words.agg(F.sum(F.size("w")).alias("n")), "pii-total")
+    total = words.agg(F.sum(F.size("w"))).first()[0] or 0
     words = words.select(F.explode("w").alias("term"))
     if small_enough(wanted, 1_000_000):
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    pmi = F.log2(F.col("c_et") * F.col("n") / (F.col("c_e") * F.greatest("c_t", "c_et")))
-    rated = joint.join(counts, "term").join(each, "entity").crossJoin(F.broadcast(total))
-    return rated.select("entity", "term", F.coalesce(pmi / F.nullif(F.log2(F.col("n") / F.col("c_e")), F.lit(0.0)), F.lit(0.0)).alias("disclosure"))
+    pmi = F.log2(F.col("c_et") * F.lit(float(total)) / (F.col("c_e") * F.greatest("c_t", "c_et")))
+    rated = joint.join(counts, "term").join(each, "entity")
+    return rated.select("entity", "term", F.coalesce(pmi / F.nullif(F.log2(F.lit(float(total)) / F.col("c_e")), F.lit(0.0)), F.lit(0.0)).alias("disclosure"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_text, without, written
+from .common import chunks, dealt_texts, without, written
 
 DIM = 16  # of index and word vectors
 SLOTS = 1 << 15  # word vectors: words share slots by hash, so the table's size is fixed
@@ -68,7 +68,7 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, d], pa.int64()) for d in range(DIM))], ["slot", *names])
 
     names = [f"c{d}" for d in range(DIM)]
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(count, "slot int, " + ", ".join(f"{c} long" for c in names))
+    rows = dealt_texts(docs, id_col, text_col).mapInArrow(count, "slot int, " + ", ".join(f"{c} long" for c in names))
     out = np.zeros((SLOTS, DIM), np.float64)
     for r in rows.groupBy("slot").agg(*(F.sum(c).alias(c) for c in names)).collect():  # SLOTS rows at most
         out[r.slot] = r[1:]
@@ -178,7 +178,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
                 x = features(c.column(1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([r.astype(np.float64).tobytes() for r in x], pa.binary()), c.column(2)], ["doc_id", "x", "y"])
 
-    known = id_and_text(corpus, id_col, text_col).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+    known = dealt_texts(corpus, id_col, text_col).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
     rows = known.mapInArrow(pool, "doc_id long, x binary, y int").orderBy("doc_id", "x").collect()
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(-1, N_FEATURES)
     net = fit(x, np.array([r.y for r in rows], dtype=np.float64))
@@ -190,7 +190,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
                 s = model.value.score(features(c.column(1).to_pylist(), shared.value))
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
+    return dealt_texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
 
 
 def held_out(id_col: str = "doc_id"):

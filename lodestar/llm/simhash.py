@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, id_and_text, without, written
+from .common import dealt_texts, forget, without, written
 from .graph import components
 
 SHINGLE = 3
@@ -44,7 +44,7 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return dealt_texts(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, chunk: int = 200_000):

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, id_and_text, written
+from .common import chunks, dealt_texts, written
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the public byte-level vocabularies split a text before merging; a fixed value.
@@ -45,7 +45,7 @@ def token_lengths(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, i
                 n = np.fromiter((len(encode(t)) for t in c.column(1).to_pylist()), np.int64, c.num_rows)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")
+    return dealt_texts(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -85,12 +85,13 @@ def context_limits(lengths: DataFrame, quantiles=QUANTILES) -> DataFrame:
     one for each token.  An empty table gives no rows; nulls among lengths are no documents."""
     hist = written(histogram(lengths.filter("n_tokens IS NOT NULL")), "token-histogram")
     sums = written(suffix_sums(hist), "token-sums")
-    total = totals(hist)
+    total = totals(hist).first()
     cut = F.col("docs_from") - F.col("n_docs")
-    t = sums.crossJoin(F.broadcast(total))  # one row
+    t = sums.withColumn("total_docs", F.lit(total.total_docs)).withColumn("total_tokens", F.lit(total.total_tokens))
     t = t.withColumn("truncated_total", F.col("total_tokens") - F.col("tokens_from") + F.col("length") * F.col("docs_from")).withColumn("docs_cut", cut)
-    reached = [F.min(F.when(F.col("total_docs") - F.col("docs_cut") >= F.ceil(F.lit(q) * F.col("total_docs")), F.col("length"))).alias(f"p{round(q * 100)}") for q in quantiles]
-    return t.crossJoin(F.broadcast(t.agg(*reached)))  # one row
+    least = [F.min(F.when(F.col("total_docs") - F.col("docs_cut") >= F.ceil(F.lit(q) * F.col("total_docs")), F.col("length"))) for q in quantiles]
+    found = t.agg(*least).first()
+    return t.select("*", *(F.lit(v).cast("long").alias(f"p{round(q * 100)}") for q, v in zip(quantiles, found)))
 
 
 def truncated_total(sums: DataFrame, total: DataFrame, limit: int) -> int:
