@@ -15,6 +15,7 @@ from ..functions.salvage import Budget
 from ..operators import metrics as M
 from ..operators import outcomes as O
 from ..operators import shards as S
+from ..operators.partitions import dealt
 from ..program import normalize_program, prompt_column, request_hash_column
 from ..sources import providers as PR
 
@@ -43,7 +44,7 @@ def query(sql: str | None = None):
 
 
 def docs(t) -> DataFrame:
-    return t.documents.select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    return dealt(t.documents.select(F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
 def shards(t, size=512, overlap=64) -> DataFrame:
@@ -561,7 +562,7 @@ def replies(t) -> DataFrame:
         .when(m == 6, F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), quoted, F.lit('"}}]}\n\ndata: [DONE]\n')))
         .otherwise(F.concat(F.lit('{"choices":[{"message":{"content":"'), quoted, F.lit('"}}]}')))
     )
-    return t.events.withColumn("g", good).select("event_id", "event_type", bad.alias("reply"))
+    return dealt(t.events.withColumn("g", good).select("event_id", "event_type", bad.alias("reply")))
 
 
 @query()
@@ -619,7 +620,7 @@ def toolcall_assemble(t):
 @query()
 def attest_verify(t):
     key = {"kty": "oct", "k": "bG9kZXN0YXIgdGVzdCBrZXk"}
-    b = t.events.select("event_id", F.to_json(F.struct(F.lit("1").alias("bundleVersion"), "event_id", "event_type", "props")).alias("bundle"))
+    b = dealt(t.events).select("event_id", F.to_json(F.struct(F.lit("1").alias("bundleVersion"), "event_id", "event_type", "props")).alias("bundle"))
     signed = b.select("event_id", A.attest_udf(key, "k1", "2025-01-01T00:00:00.000Z")("bundle").alias("signed"))
     broken = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("signed", '"event_type":"', '"event_type":"x')).otherwise(F.col("signed"))
     return signed.select("event_id", A.verify_udf(key)(broken).alias("v")).select("event_id", "v.valid", "v.reason", "v.payload_hash")
