@@ -212,7 +212,7 @@ def _hot_runs(hot: DataFrame, window: int) -> DataFrame:
 
 def _remove(window: int):
     def run(batches):
-        for b in batches:
+        for b in (c for b in batches for c in chunks(b, 2)):
             out = []
             for text, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 data = _bytes(text)

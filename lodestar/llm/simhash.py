@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt_texts, forget, without, written
+from .common import chunks, dealt_texts, forget, without, written
 from .graph import components
 
 SHINGLE = 3
@@ -38,7 +38,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in (c for b in batches for c in chunks(b)):
         f = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.int64())], ["doc_id", "fp"])
 

@@ -25,7 +25,7 @@ def _sha(words: list[bytes]) -> str:
 
 def _whole(batches):
     """Count and digest of each text's words."""
-    for b in batches:
+    for b in (c for b in batches for c in chunks(b, 3)):
         split = [words_of(t) for t in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(w) for w in split], pa.int64()), pa.array([_sha(w) for w in split])], ["id", "th", "doc_id", "n_words", "digest"])
 
@@ -89,7 +89,7 @@ def _extend(window: int):
 
 def _remove(window: int):
     def run(batches):
-        for b in batches:
+        for b in (c for b in batches for c in chunks(b, 3)):
             out = []
             for text, starts in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 words = words_of(text)
