@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, dealt_texts, without, written
 
-DIM = 16  # of index and word vectors
+DIM = 32  # of index and word vectors
 SLOTS = 1 << 15  # word vectors: words share slots by hash, so the table's size is fixed
 REACH = 2  # words to either side that count as context
 SAMPLE = 20_000  # labelled rows fitted on, at most
@@ -35,6 +35,19 @@ def _index_vectors() -> np.ndarray:
     return out
 
 
+def _index_masks() -> np.ndarray:
+    """2 x SLOTS: the places of each slot's +1 and -1 as bits."""
+    bits = np.uint64(1) << _index_places().astype(np.uint64)
+    return np.stack([bits[:, 0] | bits[:, 1], bits[:, 2] | bits[:, 3]])
+
+
+def _alike(slot: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """For each word the dot product of its index vector and the one before; 0 for the first."""
+    plus, minus = masks[:, slot]
+    ones = lambda a, b: np.bitwise_count(a[1:] & b[:-1]).astype(np.int64)
+    return np.concatenate([np.zeros(min(1, len(slot)), np.int64), ones(plus, plus) + ones(minus, minus) - ones(plus, minus) - ones(minus, plus)])
+
+
 def _slotted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The slot of each word of all texts, and each text's number of words."""
     split = [_TOKEN.findall((t or "").encode()) for t in texts]
@@ -84,10 +97,9 @@ def pooling_table(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, vectors**2, own]).astype(np.float32)
 
 
-def features(texts: list[str | None], table: np.ndarray) -> np.ndarray:
+def features(texts: list[str | None], table: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Pooled over a text's words: the mean word vector, the mean of its squares, how far words
-    point to themselves, how often a word repeats the one before, the mean vector's length, the
-    size."""
+    point to themselves, how alike neighbours are, the mean vector's length, the size."""
     slot, length = _slotted(texts)
     out = np.zeros((len(texts), N_FEATURES), np.float64)
     full = np.flatnonzero(length)
@@ -96,11 +108,10 @@ def features(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     at = (np.cumsum(length) - length)[full]
     n = length[full][:, None]
     mean = np.stack([table[slot[a : a + k]].sum(axis=0, dtype=np.float64) for a, k in zip(at.tolist(), length[full].tolist())]) / n
-    again = np.zeros(len(slot))
-    again[1:] = slot[1:] == slot[:-1]
-    again[at] = 0
-    again = np.add.reduceat(again, at)[:, None] / n
-    out[full] = np.hstack([mean, again, np.linalg.norm(mean[:, :DIM], axis=1, keepdims=True), np.log1p(n)])
+    alike = _alike(slot, masks)
+    alike[at] = 0
+    alike = np.add.reduceat(alike, at)[:, None] / n
+    out[full] = np.hstack([mean, alike, np.linalg.norm(mean[:, :DIM], axis=1, keepdims=True), np.log1p(n)])
     return out
 
 
@@ -173,9 +184,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     shared = spark.sparkContext.broadcast(pooling_table(vectors))
 
     def pool(batches):
+        masks = _index_masks()
         for b in batches:
             for c in chunks(b):
-                x = features(c.column(1).to_pylist(), shared.value)
+                x = features(c.column(1).to_pylist(), shared.value, masks)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([r.astype(np.float64).tobytes() for r in x], pa.binary()), c.column(2)], ["doc_id", "x", "y"])
 
     known = dealt_texts(corpus, id_col, text_col).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
@@ -185,9 +197,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     model = spark.sparkContext.broadcast(net)
 
     def score(batches):
+        masks = _index_masks()
         for b in batches:
             for c in chunks(b):
-                s = model.value.score(features(c.column(1).to_pylist(), shared.value))
+                s = model.value.score(features(c.column(1).to_pylist(), shared.value, masks))
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return dealt_texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")

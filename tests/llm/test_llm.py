@@ -413,6 +413,23 @@ def test_quality_edges(spark, edge, empty):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
+def test_quality_features():
+    """The mean of what is alike in neighbours' index vectors, word by word, not only of repeats."""
+    texts = ["the quick brown fox, the THE quick quick", None, "", "one", "5 5 6 and more words of all kinds"]
+    own = quality._index_vectors()
+    assert own.shape[1] == 32 and (abs(own).sum(axis=1) == 4).all()
+    vectors = np.random.default_rng(1).normal(size=own.shape).astype(np.float32)
+    got = quality.features(texts, quality.pooling_table(vectors), quality._index_masks())
+    for text, x in zip(texts, got):
+        slot = quality._slotted([text])[0]
+        if not len(slot):
+            assert not x.any()
+            continue
+        alike = sum(float(own[a] @ own[b]) for a, b in zip(slot, slot[1:])) / len(slot)
+        mean, squares, self_like = vectors[slot].mean(axis=0), (vectors[slot] ** 2).mean(axis=0), (vectors[slot] * own[slot]).sum(axis=1).mean()
+        assert np.allclose(x, [*mean, *squares, self_like, alike, np.linalg.norm(mean), np.log1p(len(slot))], atol=1e-4)
+
+
 def test_temperature_and_training():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, quality.N_FEATURES))
