@@ -1,4 +1,5 @@
-"""SimHash near-duplicates by a binary-trie self-join (operator 7)."""
+"""SimHash near-duplicates by a binary-trie self-join (operator 7); near copies by verified Jaccard
+similarity of five-word shingles (the pipeline's stage)."""
 
 from __future__ import annotations
 
@@ -8,12 +9,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dealt_texts, forget, without, written
+from .common import Roller, chunks, dealt_texts, forget, hashed, mix, without, written
 from .graph import components
 
 SHINGLE = 3
 SEED = 42
 STEP = 4  # bits from one level of the distributed trie to the next
+WORDS = 5  # of a shingle of the pipeline's stage
+BANDS, ROWS = 20, 4  # a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997
 ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -213,11 +216,107 @@ def simhash_groups(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_
     return each.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose document gives its component the name; the rest of each component goes.
-    Rows that share one id stand or fall together; rows with a null id stay only if their whole
-    component has no id."""
-    groups = simhash_groups(docs, bits, id_col, text_col)
+def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of all texts, one text behind the other, and their number in
+    each.  Fewer words than a shingle: all of them; no words: none."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    count = np.fromiter(map(len, split), np.int64, len(split))
+    roll = Roller(hashed([w for ws in split for w in ws])[0])
+    size = np.minimum(WORDS, count)
+    n = np.where(count > 0, count - size + 1, 0)
+    starts = np.repeat(np.cumsum(count) - count - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    size, out = np.repeat(size, n), np.empty(n.sum(), np.uint64)
+    for k in np.unique(size).tolist():
+        out[size == k] = roll.at(starts[size == k], k)
+    return out, n
+
+
+def band_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """texts x BANDS: a hash of ROWS minima of differently seeded orders of each text's shingles.
+    Texts without words share all of theirs."""
+    rng = np.random.default_rng(20240611)
+    full = np.flatnonzero(n)
+    at = (np.cumsum(n) - n)[full]
+    out = np.zeros((len(n), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(n), band, np.uint64)
+        for flip, odd in rng.integers(0, 1 << 64, (ROWS, 2), dtype=np.uint64):
+            with np.errstate(over="ignore"):
+                low = np.zeros(len(n), np.uint64)
+                if len(full):
+                    low[full] = np.minimum.reduceat((h ^ flip) * (odd | np.uint64(1)), at)
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+        out[:, band] = key
+    return out
+
+
+def _banded(batches):
+    for b in (c for b in batches for c in chunks(b)):
+        keys = band_keys(*shingles(b.column(1).to_pylist())).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "node", "keys"])
+
+
+def _sets(batches):
+    for b in (c for b in batches for c in chunks(b)):
+        h, n = shingles(b.column(1).to_pylist())
+        sets = [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "s"])
+
+
+def _alike(batches):
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(5 * both >= 4 * (len(x) + len(y) - both))  # Jaccard similarity of 0.8 or more
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id for every row: component_id is the smallest doc_id that is reached over
+    pairs of texts with at least 0.8 of their five-word shingles in common (Jaccard, sets, A-Z
+    lower-cased).  Nulls and repeated rows as in :func:`simhash_groups`.
+
+    Candidates share one of BANDS keys of minima; each link is verified on the whole sets.  Texts meet
+    once however many copies they have (a 64-bit hash names a text).  First each text of a bucket
+    meets the bucket's least; then all pairs that this has left in different components, so a crowd of
+    copies doesn't make pairs of all with all."""
+    src = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("node"))
+    each = written(src.mapInArrow(_banded, "doc_id long, node long, keys array<long>"), "banded")
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "near-nodes")
+    placed = nodes.select("node", F.explode("keys").alias("k"))
+    shared = placed.groupBy("k").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = written(placed.join(shared, "k"), "near-members")
+    wanted = written(members.select("node").distinct(), "near-wanted")
+    texts = src.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInArrow(_sets, "node long, s binary"), "near-sets")
+    stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(_verified(stars, sets), "near-links")
+    roots = written(components(links), "near-roots")
+    rooted = written(members.join(roots, members.node == roots.u, "left").select("k", "node", F.coalesce("m", "node").alias("root")), "near-rooted")
+    x, y = (rooted.select("k", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
+    rest = x.join(y, "k").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
+    links = written(links.unionByName(_verified(rest, sets)), "near-links")
+    stars = written(components(links), "near-stars")
+    named = written(nodes.join(stars, nodes.node == stars.u, "left").select("node", "least", F.coalesce("m", "node").alias("root")), "near-named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(named.join(least, "root").select("node", "component_id"), "near-of")
+    forget(nodes, members, wanted, sets, roots, rooted, links, stars, named)
+    return each.join(of, "node").select("doc_id", "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose document gives its component of :func:`near_groups` the name; the rest of each
+    component goes.  Rows that share one id stand or fall together; rows with a null id stay only if
+    their whole component has no id."""
+    groups = near_groups(docs, id_col, text_col)
     lost = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "near-lost")
     return without(docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")), lost, ["__id"]).drop("__id")
 

@@ -392,6 +392,34 @@ def test_simhash_edges(empty, edge):
     assert 4 in kept and 5 not in kept and 10 not in kept and kept.count(1) == 1 and 2 not in kept
 
 
+def model_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_like_brute_force(spark, edge):
+    """Every pair from 0.8 on is linked, none below it, with chains and crowds."""
+    rng = np.random.default_rng(11)
+    rows = [(i, t) for i, t in pairs(edge) if i]
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for _ in range(6):  # each a few words off the one before
+            rows.append((100 + len(rows), " ".join(words)))
+            words = list(words)
+            for at in rng.integers(0, 120, 1 + base % 5):
+                words[at] = f"new{len(rows)}x{at}"
+    sets = [model_shingles(t) for _, t in rows]
+    like = {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] or sets[b] else 1 for a in range(len(rows)) for b in range(a)}
+    links = [p for p, j in like.items() if j >= 0.8]
+    assert len([p for p in links if like[p] < 0.9]) > 40 and len([j for j in like.values() if 0.5 < j < 0.8]) > 40
+    at, least = brute_components(len(rows), links), {}
+    for (i, _), c in zip(rows, at):
+        least[c] = min(least.get(c, i), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_groups(df).collect()}
+    assert got == {(i, least[c]) for (i, _), c in zip(rows, at)}
+
+
 # ---------------------------------------------------------------- 8
 
 
