@@ -11,7 +11,6 @@ from ..functions import attest as A
 from ..functions import envelope as E
 from ..functions import schema as SC
 from ..functions import text as T
-from ..functions.salvage import Budget
 from ..operators import metrics as M
 from ..operators import outcomes as O
 from ..operators import shards as S
@@ -577,7 +576,7 @@ def json_flavor(t):
 
 @query()
 def json_repair(t):
-    r = replies(t).select("event_id", E.repair_udf(Budget(2000, 2000))("reply").alias("r"))
+    r = replies(t).select("event_id", E.repair_udf()("reply").alias("r"))
     return r.select("event_id", "r.text", "r.changed", F.filter("r.steps", lambda s: s["applied"]).alias("applied"))
 
 

@@ -21,6 +21,12 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_repair_keeps_long_replies(spark, tmp_path):
+    spark.sql("SELECT 2L AS event_id, 'click' AS event_type, concat('{\"k\":\"', repeat('x', 5000), '\"}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = QUERIES["json_repair"](spark, str(tmp_path)).collect()
+    assert "x" * 5000 in got.text and got.text.endswith("}]}")
+
+
 def test_entry(spark):
     import __spark_entry__
 
