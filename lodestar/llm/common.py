@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,37 +22,61 @@ NULL_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one is
-    made only where the session names none, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).  Where the session names
+    none a local one is made, but only if driver and executors are one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         handle = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = handle.get() if handle.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths of the tables made by :func:`written` that still exist.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.  Cuts the lineage: what follows
     survives lost executors without recomputing what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in _TABLES:
+            _TABLES.remove(p)
 
 
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root in parent:
-                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, [df.table_path] if "table_path" in vars(df) else [])
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Deletes, at its end, the tables that operators have written within it and not yet deleted.  An
+    operator's result reads such tables: write it to a place of its own before the block ends, or call
+    ``keep`` (what the block is given) with a table that shall stay."""
+    before, kept = set(_TABLES), set()
+    try:
+        yield lambda df: kept.add(df.table_path)
+    finally:
+        _delete(spark, [p for p in _TABLES if p not in before and p not in kept])
 
 
 def shards(spark: SparkSession, factor: int = 4, least: int = 64) -> int:
@@ -65,10 +90,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs``, dealt out first if it is read as fewer partitions than the cluster has cores; tables
-    of many files are left as they are."""
+    """``docs``, dealt out first if it is read from fewer files than the cluster has cores, and is
+    small; tables of many files are left as they are.  Looks at the plan alone and runs nothing."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * (64 << 20) and len(docs.inputFiles()) < cores else docs
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,6 +234,10 @@ def give_back() -> None:
         _trim(0)
 
 
+def text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (null ids as NULL_ID), th (a hash of the text), doc_id, text: id and th together name a
     row; rows that share both are alike."""
@@ -215,6 +245,45 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), "doc_id", "text")
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` doesn't have, whatever its own columns are called."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those that ``verdict`` names: a written table
+    doc_id, th (hash of the text), keep.  Rows it doesn't name stay.  A null id is an id like any
+    other, so rows without one are told apart by their text.  ``once``: of kept rows that are named by
+    one id and text and that ``verdict`` counts (column n) more than once, a single one stays."""
+    a, b = spare(docs, "row_id", "row_text")
+    keyed = docs.withColumns({a: F.col(f"`{id_col}`").cast("long"), b: text_hash(text_col)})
+    names = lambda part: part.select(F.col("doc_id").alias(a), F.col("th").alias(b))
+    left = without(keyed, written(names(verdict.filter("NOT keep")).distinct(), "lost-rows"), [a, b])
+    if once:
+        again = written(names(verdict.filter("keep AND n > 1")), "repeated-rows")
+        if not again.isEmpty():
+            on = left[a].eqNullSafe(again[a]) & (left[b] == again[b])
+            left = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates([a, b]))
+    return left.drop(a, b)
+
+
+def alike_once(src: DataFrame, whole: DataFrame) -> DataFrame:
+    """Of keyed rows (id, th, text) that are alike a single one; ``whole`` (written) has a row for each.
+    Only rows that do repeat are moved."""
+    again = written(whole.groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1").select("id", "th"), "alike")
+    if again.isEmpty():
+        return src
+    on = ["id", "th"]
+    repeated = src.join(F.broadcast(again) if small_enough(again, 1_000_000) else again, on, "left_semi")
+    return without(src, again, on).unionByName(repeated.groupBy(*on).agg(*(F.first(c).alias(c) for c in src.columns if c not in on)).select(*src.columns))
+
+
 def only(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of keyed ``docs`` whose (id, th) is among ``keys``: where the keys are few enough to be
     broadcast, other texts are left out before any shuffle; else they are left to the join."""

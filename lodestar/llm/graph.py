@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and the number of rounds grows with the logarithm of the longest path.  Vertices and edges
     stay in tables; minima are combined before the shuffle, and the join that hands a minimum back
     can be split where a vertex has very many neighbours.  Loops and repeated edges are harmless;
-    an edge with a null end is ignored."""
+    an edge with a null end is ignored; no edges give no rows."""
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
