@@ -12,14 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, give_back, mix, shards, spread, written
+from .common import chunks, give_back, mix, spread, written
 
 END = b"\n"  # no word holds one
 PROBES = 6  # hash functions of one membership
 BITS = 8.66  # for each entry: PROBES / ln 2
 LAMBDA = 0.4  # weight of the bigram estimate
-FILTER_BYTES = 128 << 20  # the largest filter that is broadcast
-BLOCK = 2 << 20  # bytes of text tokenised at a time
+BLOCK = 4 << 20  # bytes of text whose n-grams are looked up together
+SEGMENT = 12 << 20  # bytes of text to one segment of the filter
+KEY = 5  # bytes that name a pair within its segment
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,10 +76,10 @@ def _spots(h: np.ndarray, level: int | np.ndarray, m: np.ndarray):
             yield (((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * m) >> np.uint64(32)
 
 
-def build_segment(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+def build_segment(h: np.ndarray, counts: np.ndarray, each: float = BITS) -> tuple[np.ndarray, int]:
     """Bits (packed) and their number: an n-gram of level q is entered as (n-gram, 1) ... (n-gram, q)."""
     level = level_of(counts)
-    m = max(64, int(np.ceil(level.sum() * BITS / 64)) * 64)
+    m = max(64, int(np.ceil(level.sum() * each / 64)) * 64)
     bits = np.zeros(m, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         for spot in _spots(h[level >= q], q, np.uint64(m)):
@@ -88,29 +89,26 @@ def build_segment(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Filter:
-    """All segments, one behind the other; an n-gram's segment follows from its hash."""
+    """One segment of the filter: its bits, packed, and their number."""
 
     bits: np.ndarray
-    start: np.ndarray  # of each segment, in bits
-    m: np.ndarray
+    m: int
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The quantum of each n-gram's count: membership of (n-gram, 1), (n-gram, 2), ... is probed
         until one fails."""
         part = 1 << 16  # keeps what is worked on within the processor's cache
-        return np.concatenate([self._levels(h[at : at + part]) for at in range(0, len(h), part)] or [np.zeros(0, np.int64)])
+        return np.concatenate([self._levels(h[at : at + part]) for at in range(0, len(h), part)] or [np.zeros(0, np.uint8)])
 
     def _levels(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
+        out = np.zeros(len(h), np.uint8)
         alive, level = np.arange(len(h)), 0
-        seg = segment_of(h, len(self.m))
         while len(alive):
             level += 1
-            s = seg[alive]
             ok = np.ones(len(alive), bool)
             rest = np.arange(len(alive))
-            for spot in _spots(h[alive], level, self.m[s]):
-                at = self.start[s[rest]] + spot[rest].astype(np.int64)
+            for spot in _spots(h[alive], level, np.uint64(self.m)):
+                at = spot[rest].astype(np.int64)
                 hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
                 ok[rest[hit == 0]] = False
                 rest = rest[hit == 1]
@@ -125,178 +123,199 @@ def segment_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((mix(h) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
-def _by_shard(which: np.ndarray, n: int):
-    """order, bounds: positions by shard."""
-    order = np.argsort(which, kind="stable")
-    return order, np.searchsorted(which[order], np.arange(n + 1))
+def prob(pair, past, word, n: float, v: float):
+    """Interpolated probability of a token from the counts of the pair, its history, itself."""
+    single = (word + 1) / (n + v + 1)
+    both = np.minimum(1.0, pair / np.maximum(past, 1e-9))
+    return np.where(past > 0, LAMBDA * both + (1 - LAMBDA) * single, single)
 
 
-def ngram_table(train: DataFrame, n: int) -> DataFrame:
-    """seg, h, c: hashes and counts of the 1- and 2-grams of each block of text, by segment."""
+def _in_blocks(batches):
+    """Rows with the block of text they belong to and their number."""
+    part, nth, nr = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        for c in chunks(b, 2, BLOCK):
+            k = c.num_rows
+            size = pc.binary_length(c.column(2)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, (part << 32) | nth)), pa.array(np.arange(nr, nr + k)), c.column(0), c.column(1), size, c.column(2)], ["block", "nr", "doc_id", "held", "size", "text"])
+            nth, nr = nth + 1, nr + k
 
-    def count(batches):
-        for b in batches:
-            for c in chunks(b, 0, BLOCK):
-                h, token, words, length = _flat(c.column(0))
-                u, k = np.unique(_bigrams(h, length)[1], return_counts=True)
-                single = np.zeros(len(words), np.uint64)
-                single[token] = h
-                u, k = np.concatenate([u, single]), np.concatenate([k, np.bincount(token, minlength=len(single))])
-                order, at = _by_shard(segment_of(u, n), n)
-                u, k = u[order], k[order].astype(np.int32)
-                full = [s for s in range(n) if at[s] < at[s + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([u[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()), pa.array([k[at[s] : at[s + 1]].tobytes() for s in full], pa.binary())], ["seg", "h", "c"])
 
-    return train.mapInArrow(count, "seg int, h binary, c binary")
+def _pieces(b: pa.RecordBatch):
+    """Slices of consecutive rows of one block: whole blocks, unless a batch's end cuts one."""
+    block = b.column(0).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+    return (b.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x)
 
 
-def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
-    c = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("c").to_pylist()]).astype(np.int64)
-    u, inverse = np.unique(h, return_inverse=True)
-    return u, np.bincount(inverse, c, len(u)).astype(np.int64)
+class Grams:
+    """The distinct tokens and pairs of a piece of text, both ordered by the segment of the filter that
+    they belong to."""
 
+    def __init__(self, texts: pa.Array, n: int):
+        h, token, self.words, self.length = _flat(texts)
+        of = np.zeros(len(self.words), np.uint64)
+        of[token] = h
+        self.word_seg = segment_of(of, n)
+        self.word_order = np.argsort(self.word_seg, kind="stable")
+        self.pairs, self.pair = np.unique(_bigrams(h, self.length)[1], return_inverse=True)
+        self.pair_seg = segment_of(self.pairs, n)
+        self.pair_order = np.argsort(self.pair_seg, kind="stable")
+        self.token = token
 
-def _segment(table: pa.Table) -> pa.Table:
-    u, c = _counted(table)
-    bits, m = build_segment(u, c)
-    give_back()
-    single = (u & np.uint64(1)) == 0
-    return pa.table({"seg": table.column("seg")[:1].cast(pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "m": pa.array([m], pa.int64()), "v": pa.array([int(single.sum())], pa.int64()), "n": pa.array([int(c[single].sum())], pa.int64())})
 
+def _ask(n: int):
+    """seg, block, first, pairs, pair_counts, words, sizes, word_counts: what a piece of a block (named by
+    its first row) asks each segment, and how often its training texts have it."""
 
-def _levels(table: pa.Table) -> pa.Table:
-    u, c = _counted(table)
-    return pa.table({"h": pa.array(u.view(np.int64), pa.int64()), "q": pa.array(level_of(c), pa.int32())})
+    def run(batches):
+        for b in batches:
+            for c in _pieces(b):
+                g = Grams(c.column(3), n)
+                train = np.repeat(~c.column(2).to_numpy(zero_copy_only=False).astype(bool), g.length)
+                word_counts = np.bincount(g.token, train, len(g.words)).astype(np.int32)
+                pair_counts = np.bincount(g.pair, train, len(g.pairs)).astype(np.int32)
+                ws, ps = g.word_seg[g.word_order], g.pair_seg[g.pair_order]
+                segs = np.unique(np.concatenate([ws, ps]))
+                edges = [np.append(np.searchsorted(x, segs), len(x)).tolist() for x in (ws, ps)]
+                keys = _short(g.pairs[g.pair_order])
+                pair_counts = pair_counts[g.pair_order]
+                cols = [[] for _ in range(5)]
+                for i in range(len(segs)):
+                    own, lo, hi = g.word_order[edges[0][i] : edges[0][i + 1]], edges[1][i], edges[1][i + 1]
+                    for col, x in zip(cols, (keys[lo:hi].tobytes(), pair_counts[lo:hi].tobytes(), *_packed(g.words, own), word_counts[own].tobytes())):
+                        col.append(x)
+                k = len(segs)
+                yield pa.RecordBatch.from_arrays([pa.array(segs), pa.array(np.full(k, c.column(0)[0].as_py())), pa.array(np.full(k, c.column(1)[0].as_py())), *(pa.array(x, pa.binary()) for x in cols)], ["seg", "block", "first", "pairs", "pair_counts", "words", "sizes", "word_counts"])
+            give_back()
+
+    return run
+
+
+def _short(pairs: np.ndarray) -> np.ndarray:
+    """KEY bytes of each pair's hash: within a segment, whose size is bounded, two pairs have the same
+    with a chance of some 4 in a million, far below the filter's own error."""
+    return (pairs >> np.uint64(1)).view(np.uint8).reshape(-1, 8)[:, :KEY]
+
+
+def _joined(column: pa.ChunkedArray, kind, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all values of a binary column, one behind the other, and how many each has."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+    width = width or np.dtype(kind).itemsize
+    size = np.array([len(x) // width for x in parts], np.int64)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    if width != np.dtype(kind).itemsize:
+        wide = np.zeros((len(flat) // width, np.dtype(kind).itemsize), np.uint8)
+        wide[:, :width] = flat.reshape(-1, width)
+        flat = wide.ravel()
+    return flat.view(kind), size
+
+
+def _answer(each: float):
+    """Builds a segment of the filter from the training counts of all blocks, probes it for what they ask,
+    and counts the words exactly.  block, first, seg, pair_levels, word_levels, word_counts; one row of
+    block -1 has the segment's distinct training words (v) and training tokens (n)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, many = _joined(table.column("pairs"), np.uint64, KEY)
+        pairs, at = np.unique(keys, return_inverse=True)
+        del keys
+        counts = np.bincount(at, _joined(table.column("pair_counts"), np.int32)[0], len(pairs)).astype(np.int64)
+        sizes, words_each = _joined(table.column("sizes"), np.int32)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+        text = b"".join(x.as_py() for x in table.column("words"))
+        coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
+        token = coded.indices.to_numpy(zero_copy_only=False)
+        exact = np.bincount(token, _joined(table.column("word_counts"), np.int32)[0], len(coded.dictionary)).astype(np.int64)
+        digest = xxhash.xxh64_intdigest
+        words = np.array([digest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64) & ~np.uint64(1)
+        with np.errstate(over="ignore"):
+            pairs = pairs * np.uint64(2) + np.uint64(1)  # odd; words are even
+        used, known = counts > 0, exact > 0
+        bits, m = build_segment(np.concatenate([pairs[used], words[known]]), np.concatenate([counts[used], exact[known]]), each)
+        model = Filter(bits, m)
+        pair_levels, word_levels = model.levels(pairs)[at], model.levels(words)[token]
+        exact_each = exact[token]
+        p, w = np.cumsum(many), np.cumsum(words_each)
+        cut = lambda x, ends: [x[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        rows = table.num_rows
+        none = pa.array([b""], pa.binary())
+        made = pa.table({
+            "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([-1])]) if rows else pa.array([-1]),
+            "first": pa.concat_arrays([table.column("first").combine_chunks(), pa.array([0])]),
+            "seg": pa.concat_arrays([table.column("seg").combine_chunks(), table.column("seg")[:1].combine_chunks()]),
+            "pair_levels": pa.concat_arrays([pa.array(cut(pair_levels, p), pa.binary()), none]),
+            "word_levels": pa.concat_arrays([pa.array(cut(word_levels, w), pa.binary()), none]),
+            "word_counts": pa.concat_arrays([pa.array(cut(exact_each, w), pa.binary()), none]),
+            "v": pa.array([0] * rows + [int(known.sum())], pa.int64()),
+            "n": pa.array([0] * rows + [int(exact.sum())], pa.int64()),
+        })
+        give_back()
+        return made
 
+    return run
+
+
+def _finish(segments: int, n: int, v: int):
+    """Scores a block's rows from the segments' answers."""
+    size = float(n + v + 1)
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nr").combine_chunks()
+        answers = answers.sort_by([("first", "ascending"), ("seg", "ascending")])
+        nr, first = rows.column("nr").to_numpy(), answers.column("first").to_numpy()
+        starts = np.unique(first)
+        edges = np.append(np.searchsorted(nr, starts), len(nr)).tolist()
+        made = []
+        for i, start in enumerate(starts):
+            piece = rows.slice(edges[i], edges[i + 1] - edges[i])
+            lo, hi = np.searchsorted(first, start), np.searchsorted(first, start, side="right")
+            own = answers.slice(lo, hi - lo)
+            g = Grams(piece.column("text").combine_chunks(), segments)
+            pair, word, exact = np.zeros(len(g.pairs), np.uint8), np.zeros(len(g.words), np.uint8), np.zeros(len(g.words), np.int64)
+            pair[g.pair_order] = _joined(own.column("pair_levels"), np.uint8)[0]
+            word[g.word_order] = _joined(own.column("word_levels"), np.uint8)[0]
+            exact[g.word_order] = _joined(own.column("word_counts"), np.int64)[0]
+            single, at = count_of(word), np.cumsum(g.length) - g.length
+            past = np.concatenate([g.token[-1:], g.token[:-1]])  # every text ends with END, so this is right at starts
+            p = prob(count_of(pair)[g.pair], single[past], single[g.token], n, v)
+            sums = lambda x: np.add.reduceat(x, at)  # noqa: E731, B023
+            base = sums(np.log10(exact + 1.0)[g.token]) - g.length * np.log10(size)
+            made.append(pa.table({
+                "doc_id": piece.column("doc_id"), "held_out": piece.column("held"), "n_tokens": pa.array(g.length, pa.int64()), "n_known": pa.array(sums((exact > 0)[g.token].astype(np.int64))),
+                "base_score": pa.array(base), "score": pa.array(sums(np.log10(p))),
+            }))
+        give_back()
+        return pa.concat_tables(made)
 
-def prob(pair, past, word, n: float, v: float):
-    """Interpolated probability of a token from the counts of the pair, its history, itself."""
-    single = (word + 1) / (n + v + 1)
-    both = np.minimum(1.0, pair / np.maximum(past, 1e-9))
-    return np.where(past > 0, LAMBDA * both + (1 - LAMBDA) * single, single)
+    return run
 
 
-def lm_scores(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS) -> DataFrame:
     """Scores every text under a bigram model of the texts for which the SQL condition ``held`` is
     not true.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Tokens are words, A-Z lower-cased, and one end.  Quantised counts of all 1- and 2-grams of the
-    training texts go to a Bloom filter, cut into segments that are built in parallel.  Up to
-    ``filter_bytes`` the filter is broadcast and probed for every token; a larger one can't be
-    broadcast, and the tokens are joined with the same quantised counts by a shuffle instead.
-    base_score needs exact counts: blocks of text send their distinct tokens, with how often each of
-    the block's documents has them, to the token's shard, which counts them over all blocks and
-    returns sums for each document; so the vocabulary is never in one place, and a frequent token
-    has one row for each block.  A null text is empty and has the end token alone; repeated rows
-    and null ids are scored like others; where nothing is trained on, base_score is 0."""
-    spark = docs.sparkSession
-    n = shards(spark, 1, 48)
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.expr(held), F.lit(False)).alias("held"), F.col(f"`{text_col}`").alias("text"))
-    src = spread(src)
-    grams = ngram_table(src.filter("NOT held").select("text"), n)
-    segments = written(grams.groupBy("seg").applyInArrow(_segment, "seg int, bits binary, m long, v long, n long"), "lm-segments")
-    stats = segments.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()
-    v, total = stats[0], stats[1]
-    fits = stats[2] <= filter_bytes
-    if fits:
-        src = src.withColumn("row", F.lit(0).cast("long"))
-        shared = spark.sparkContext.broadcast(_gather(segments, n))
-    else:
-        src = written(src.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-        shared = None
-    src = src.select("row", "doc_id", "held", "text")
-    parts = written(_exact_parts(src, n, shared, total, v), "lm-parts")
-    if shared:
-        shared.destroy()  # the parts are written and hold the scores
-    vocab, seen = (x or 0 for x in parts.filter("block = -1").agg(F.sum("v"), F.sum("n")).first())
-    out = parts.filter("block >= 0").groupBy("block").applyInArrow(_finish(float(seen + vocab + 1)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    if not fits:
-        out = out.drop("score").join(_joined_scores(src, grams, total, v), "row")
-    forget(segments)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(seen).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _gather(segments: DataFrame, n: int) -> Filter:
-    bits, m = [np.zeros(8, np.uint8)] * n, np.full(n, 64, np.uint64)
-    for r in segments.select("seg", "bits", "m").collect():  # their size has been checked
-        bits[r.seg], m[r.seg] = np.frombuffer(r.bits, np.uint8), r.m
-    return Filter(np.concatenate(bits), np.concatenate([[0], np.cumsum(m)[:-1]]).astype(np.int64), m)
-
-
-def _exact_parts(src: DataFrame, n: int, shared, total: int, v: int) -> DataFrame:
-    def send(batches):
-        part, nth = TaskContext.get().partitionId(), 0
-        model = shared.value if shared else None
-        for b in batches:
-            for c in chunks(b, 3, BLOCK):
-                rows, ids, held = (c.column(i) for i in range(3))
-                held = held.to_numpy(zero_copy_only=False).astype(bool)
-                h, token, words, length = _flat(c.column(3))
-                doc = np.repeat(np.arange(len(length)), length)
-                score = np.zeros(len(length))
-                if model:
-                    past, pair = _bigrams(h, length)
-                    of = np.zeros(len(words), np.uint64)
-                    of[token] = h
-                    single = count_of(model.levels(of))
-                    before = np.concatenate([token[-1:], token[:-1]])
-                    p = prob(count_of(model.levels(pair)), single[before], single[token], total, v)
-                    score = np.add.reduceat(np.log10(p), np.cumsum(length) - length)
-                key, tf = np.unique(token * len(length) + doc, return_counts=True)
-                t, d = key // len(length), key % len(length)
-                degree = np.bincount(t, minlength=len(words))
-                train = np.bincount(t, tf * ~held[d], len(words)).astype(np.int32)
-                ends = np.cumsum(degree)
-                of = np.zeros(len(words), np.uint64)
-                of[token] = h
-                order, at = _by_shard(segment_of(of, n), n)
-                block = (part << 32) | nth
-                nth += 1
-                cols = [[] for _ in range(9)]
-                for s in range(n):
-                    own = order[at[s] : at[s + 1]]
-                    if not len(own) and s:
-                        continue
-                    many = degree[own]
-                    pos = np.repeat(ends[own] - np.cumsum(many), many) + np.arange(many.sum())
-                    for col, x in zip(cols, (s, block, *_packed(words, own), train[own].tobytes(), degree[own].astype(np.int32).tobytes(), d[pos].astype(np.int32).tobytes(), tf[pos].astype(np.int32).tobytes(), len(length))):
-                        col.append(x)
-                meta = [[x] + [None] * (len(cols[0]) - 1) for x in (rows.to_numpy().tobytes(), _ids(ids), held.tobytes(), length.tobytes(), score.tobytes())]
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int32()]
-                made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)] + [pa.array(x, pa.binary()) for x in meta], [x.split()[0] for x in ddl.split(", ")])
-                del h, token, words, key, tf, t, d, cols, meta, order
-                yield made
-                del made
-
-    ddl = "shard int, block long, words binary, sizes binary, train binary, degree binary, docs binary, tf binary, n_docs int, rows binary, ids binary, held binary, length binary, score binary"
-
-    def count(table: pa.Table) -> pa.Table:
-        r = table.to_pylist()
-        sizes = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in r])
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(x["words"] for x in r))]).dictionary_encode()
-        token = coded.indices.to_numpy(zero_copy_only=False)
-        train = np.concatenate([np.frombuffer(x["train"], np.int32) for x in r])
-        c = np.bincount(token, train, len(coded.dictionary)).astype(np.int64)
-        logs = np.log10(c + 1.0)
-        out, at = [], 0
-        for x in r:
-            degree = np.frombuffer(x["degree"], np.int32)
-            own = token[at : at + len(degree)]
-            at += len(degree)
-            docs, tf = np.frombuffer(x["docs"], np.int32), np.frombuffer(x["tf"], np.int32)
-            sums = np.bincount(docs, np.repeat(logs[own], degree) * tf, x["n_docs"])
-            known = np.bincount(docs, np.repeat(c[own] > 0, degree) * tf, x["n_docs"]).astype(np.int32)
-            out.append({"block": x["block"], "sums": sums.tobytes(), "known": known.tobytes(), "v": 0, "n": 0} | {k: x[k] for k in ("rows", "ids", "held", "length", "score")})
-        out.append({"block": -1, "v": int((c > 0).sum()), "n": int(c.sum())})
-        made = pa.Table.from_pylist(out, schema)
-        del r, out, coded, token
-        give_back()
-        return made
-
-    schema = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("known", pa.binary()), ("v", pa.int64()), ("n", pa.int64())] + [(k, pa.binary()) for k in ("rows", "ids", "held", "length", "score")])
-    return src.mapInArrow(send, ddl).groupBy("shard").applyInArrow(count, "block long, sums binary, known binary, v long, n long, rows binary, ids binary, held binary, length binary, score binary")
+    Tokens are words, A-Z lower-cased, and one end.  Blocks of text send their distinct tokens and
+    pairs, with how often the training texts among them have each, to the segment of the filter that the
+    n-gram's hash names; the number of segments follows from the size of the texts.  A segment's task
+    enters the quantised counts of all blocks in a log-frequency Bloom filter of ``bits`` bits for each
+    entry, probes it for every n-gram asked for, and answers each block with levels, and with the exact
+    counts of tokens that base_score needs.  The blocks' texts meet the answers and are scored.  So
+    neither filter nor vocabulary is ever in one place, whatever their size, and an n-gram however
+    frequent has one entry for each block.
+
+    A null text is empty and has the end token alone; repeated rows and null ids are scored like others;
+    where nothing is trained on, base_score is 0; an empty table gives no rows."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.expr(held), F.lit(False)).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = written(spread(src).mapInArrow(_in_blocks, "block long, nr long, doc_id long, held boolean, size long, text string"), "lm-rows")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    segments = max(16, -(-total // SEGMENT))
+    asked = rows.select("block", "nr", "held", "text").mapInArrow(_ask(segments), "seg long, block long, first long, pairs binary, pair_counts binary, words binary, sizes binary, word_counts binary")
+    answers = written(asked.groupBy("seg").applyInArrow(_answer(bits), "block long, first long, seg long, pair_levels binary, word_levels binary, word_counts binary, v long, n long"), "lm-answers")
+    v, n = (x or 0 for x in answers.filter("block = -1").agg(F.sum("v"), F.sum("n")).first())
+    own = answers.filter("block >= 0").drop("v", "n")
+    out = rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_finish(segments, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _packed(words: pa.BinaryArray, own: np.ndarray) -> tuple[bytes, bytes]:
@@ -307,54 +326,9 @@ def _packed(words: pa.BinaryArray, own: np.ndarray) -> tuple[bytes, bytes]:
     return (data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(own) else b""), np.diff(at).astype(np.int32).tobytes()
 
 
-def _ids(column: pa.Array) -> bytes:
-    """Ids as pairs of value and presence."""
-    there = column.is_valid().to_numpy(zero_copy_only=False)
-    return np.stack([column.fill_null(0).to_numpy(), there.astype(np.int64)]).tobytes()
-
-
-def _finish(size: float):
-    def add(table: pa.Table) -> pa.Table:
-        r = table.to_pylist()
-        # shards are added in a fixed order, so reruns agree to the last bit
-        sums = np.sort(np.array([np.frombuffer(x["sums"]) for x in r]), axis=0).sum(axis=0)
-        known = np.sum([np.frombuffer(x["known"], np.int32) for x in r], axis=0, dtype=np.int64)
-        give_back()
-        m = next(x for x in r if x["ids"] is not None)
-        ids, there = np.frombuffer(m["ids"], np.int64).reshape(2, -1)
-        length = np.frombuffer(m["length"], np.int64)
-        return pa.table({
-            "row": pa.array(np.frombuffer(m["rows"], np.int64)), "doc_id": pa.array(ids, mask=there == 0), "held_out": pa.array(np.frombuffer(m["held"], bool)),
-            "n_tokens": pa.array(length), "n_known": pa.array(known), "base_score": pa.array(sums - length * np.log10(size)), "score": pa.array(np.frombuffer(m["score"])),
-        })
-
-    return add
-
-
-def _joined_scores(src: DataFrame, grams: DataFrame, total: int, v: int) -> DataFrame:
-    """row, score: as by the filter without its false positives, by joins with the counts."""
-
-    def spread(batches):
-        for b in batches:
-            for c in chunks(b, 1, BLOCK):
-                h, _, _, length = _flat(c.column(1))
-                past, pair = _bigrams(h, length)
-                row = np.repeat(c.column(0).to_numpy(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(x.view(np.int64)) for x in (pair, past, h))], ["row", "pair", "past", "word"])
-
-    counts = written(grams.groupBy("seg").applyInArrow(_levels, "h long, q int").select("h", F.expr("(power(2D, q - 1) + power(2D, q) - 1) / 2").alias("c")), "lm-counts")
-    r = src.select("row", "text").mapInArrow(spread, "row long, pair long, past long, word long").groupBy("row", "pair", "past", "word").agg(F.count("*").alias("k"))
-    for name in ("pair", "past", "word"):
-        c = counts.select(F.col("h").alias(f"{name}_h"), F.col("c").alias(f"{name}_c"))
-        r = r.join(c, F.col(name) == F.col(f"{name}_h"), "left").withColumn(f"{name}_c", F.coalesce(f"{name}_c", F.lit(0.0))).drop(f"{name}_h")
-    single = (F.col("word_c") + 1) / F.lit(float(total + v + 1))
-    both = F.least(F.lit(1.0), F.col("pair_c") / F.greatest("past_c", F.lit(1e-9)))
-    p = F.when(F.col("past_c") > 0, LAMBDA * both + (1 - LAMBDA) * single).otherwise(single)
-    return r.groupBy("row").agg(F.sum(F.log10(p) * F.col("k")).alias("score"))
-
-
 HELD = "crc32(cast(doc_id AS string)) % 7 = 2"
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, repeated rows and empty tables as in :func:`lm_scores`."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), HELD)
