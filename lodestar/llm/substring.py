@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, chunks, forget, hashed, keyed_text, only, window_minima, without, written
+from .common import Roller, alike_once, chunks, forget, hashed, keyed_text, only, window_minima, without, written
 
 WINDOW = 50
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -87,6 +88,25 @@ def _extend(window: int):
     return run
 
 
+def _double(length: int):
+    """Windows of twice the ``length`` both of whose halves repeat (known: where windows of ``length`` that
+    repeat start)."""
+
+    def run(batches):
+        for b in batches:
+            for c in chunks(b, 2):
+                for i, (text, known) in enumerate(zip(c.column(2).to_pylist(), c.column(3).to_pylist())):
+                    known = np.array(known, np.int64)
+                    at = np.intersect1d(known, known - length, assume_unique=True)
+                    if len(at):
+                        h, _ = hashed(words_of(text))
+                        one, two = Roller(h).at(at, 2 * length), Roller(h, 1).at(at, 2 * length)
+                        take = pa.array(np.full(len(at), i))
+                        yield pa.RecordBatch.from_arrays([c.column(0).take(take), c.column(1).take(take), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32))], ["id", "th", "h", "check", "at"])
+
+    return run
+
+
 def _remove(window: int):
     def run(batches):
         for b in (c for b in batches for c in chunks(b, 3)):
@@ -105,51 +125,82 @@ def _remove(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """id, th, starts: of each document of ``docs`` (keyed) with windows that also start in a
-    document of smaller id, where those windows start.
+def _repeating(windows: DataFrame) -> DataFrame:
+    """h, check, lo of the windows that occur in two documents or more; lo is the least id.  Combined
+    before the shuffle: a frequent window costs one row for each task."""
+    both = windows.groupBy("h", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return written(both.filter("lo < hi").select("h", "check", "lo"), "sub-least")
+
+
+_WINDOWS = "id long, th long, h long, check int, at int"
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Two written tables from keyed documents.  id, th, starts: where windows of ``window`` words start
+    that also start in a document of smaller id.  id, th, longest: the longest of the lengths window,
+    2 window, 4 window, ... of which a window also starts in a document with another id.
 
     Level one: short windows of half the length, those that are an anchor of a long one; the ones
     that occur in one document alone are dropped.  Level two: the long windows that hold a short
-    one that is left.  For each window the least id is found by combined minima before the
-    shuffle; a frequent window costs one row for each task, and Spark splits the join with it."""
+    one that is left.  Each further level: windows of twice the length whose halves are left, until none
+    repeats."""
     src = docs.select("id", "th", "text")
     anchors = written(src.mapInArrow(_anchors(window), "id long, th long, h long"), "sub-anchors")
-    again = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
-    live = anchors.join(written(again, "sub-again"), "h").groupBy("id", "th").agg(F.collect_set("h").alias("known"))
-    live = written(live, "sub-live")
-    forget(anchors)
-    long = only(src, live).join(live, ["id", "th"]).select("id", "th", "text", "known").mapInArrow(_extend(window), "id long, th long, h long, check int, at int")
-    long = written(long, "sub-windows")
-    least = long.groupBy("h", "check").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h", "check", "lo")
-    hits = long.join(written(least, "sub-least"), ["h", "check"]).filter("lo < id")
-    out = written(hits.groupBy("id", "th").agg(F.collect_list("at").alias("starts")), "sub-starts")
-    forget(live, long)
-    return out
+    again = written(anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h"), "sub-again")
+    live = written(anchors.join(again, "h").groupBy("id", "th").agg(F.collect_set("h").alias("known")), "sub-live")
+    forget(anchors, again)
+    extend = lambda live, how: written(only(src, live).join(live, ["id", "th"]).select("id", "th", "text", "known").mapInArrow(how, _WINDOWS), "sub-windows")
+    windows = extend(live, _extend(window))
+    starts, longest, length = None, [], window
+    while True:
+        least = _repeating(windows)
+        hits = written(windows.join(least, ["h", "check"]).select("id", "th", "at", (F.col("lo") < F.col("id")).alias("later")), "sub-hits")
+        forget(windows, least, live)
+        live = written(hits.groupBy("id", "th").agg(F.collect_set("at").alias("known")), "sub-live")
+        if starts is None:
+            starts = written(hits.filter("later").groupBy("id", "th").agg(F.collect_set("at").alias("starts")), "sub-starts")
+        forget(hits)
+        if live.isEmpty():
+            break
+        longest.append(written(live.select("id", "th", F.lit(length).cast("long").alias("longest")), "sub-longest"))
+        windows = extend(live, _double(length))
+        length *= 2
+    none = starts.limit(0).select("id", "th", F.lit(0).cast("long").alias("longest"))
+    best = written(reduce(DataFrame.unionByName, longest, none).groupBy("id", "th").agg(F.max("longest").alias("longest")), "sub-longest")
+    forget(live, *longest)
+    return starts, best
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by a space; null where nothing was
-    removed), kept_sha256: one row for each row of ``docs``.
+    """doc_id, n_words, n_removed, longest, kept (the words left, joined by a space; null where nothing
+    was removed), kept_sha256: one row for each row of ``docs``.
 
     A word goes if a window of ``window`` words of its document that covers it also starts in a
-    document with a smaller id.  A null or empty text has no words and loses none.  A null id is
+    document with a smaller id.  longest: the longest of the lengths window, 2 window, 4 window, ... of
+    which a window also starts in a document with another id, 0 if there is none.  A null or empty text
+    has no words and loses none.  A null id is
     smaller than any other.  Rows that share an id count as one document: they don't take words from
-    each other; rows that are alike are returned as often as they come.  Of documents with equal
-    words all but those of the smallest id lose everything, without being compared further, if they
-    have ``window`` words at least."""
+    each other; rows that are alike are compared once and returned as often as they come.  Of documents
+    with equal words all but those of the smallest id lose everything, without being compared further,
+    if they have ``window`` words at least.  An empty table gives no rows."""
     src = keyed_text(docs, id_col, text_col)
     whole = written(src.mapInArrow(_whole, "id long, th long, doc_id long, n_words long, digest string"), "sub-whole")
     groups = written(whole.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("digest", "lo"), "sub-groups")
-    copies = written(whole.join(groups, "digest").filter("id > lo").select("id", "th").distinct(), "sub-copies")
-    starts = repeated_windows(without(src, copies, ["id", "th"]), window)
+    members = whole.join(groups, "digest").select("id", "th", "n_words", (F.col("id") > F.col("lo")).alias("copy")).distinct()
+    members = written(members.withColumn("whole", F.lit(window) * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / window))).cast("long")).drop("n_words"), "sub-copies")
+    copies = written(members.filter("copy").select("id", "th"), "sub-extra")
+    starts, longest = repeated_windows(without(alike_once(src, whole), copies, ["id", "th"]), window)
     cut = only(src, starts).join(starts, ["id", "th"]).select("id", "th", "doc_id", "text", "starts").mapInArrow(_remove(window), "id long, th long, n_removed long, kept string")
     cut = written(cut, "sub-cut").dropDuplicates(["id", "th"])
-    gone = copies.select("id", "th", F.lit(True).alias("copy"))
-    out = whole.join(cut, ["id", "th"], "left").join(gone, ["id", "th"], "left")
+    out = whole.join(cut, ["id", "th"], "left").join(members, ["id", "th"], "left").join(longest, ["id", "th"], "left")
+    forget(groups, copies, starts)
     kept = F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept"))
-    return out.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), kept.alias("kept"), F.when(kept.isNull(), F.col("digest")).otherwise(F.sha2(kept, 256)).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.greatest(F.coalesce("whole", F.lit(0)), F.coalesce("longest", F.lit(0))).alias("longest"),
+        kept.alias("kept"), F.when(kept.isNull(), F.col("digest")).otherwise(F.sha2(kept, 256)).alias("kept_sha256"),
+    )
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, repeated rows and empty tables as in :func:`remove_repeats`."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
