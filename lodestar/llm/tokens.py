@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 QUANTILES = (0.5, 0.9, 0.99)
 BLOCK = 1024  # lengths whose sums are taken together
+LONG_SPACE = 4096  # white space from here on is cut out before the pattern sees it
+#: White space as the pattern's ``\\s`` means it; fixed values.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _ENCODERS: dict[bytes, tiktoken.Encoding] = {}
 
 
@@ -30,19 +34,35 @@ def encoder(ranks: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
+def encoded_length(encode: tiktoken.Encoding, text: str | None, long: int = LONG_SPACE) -> int:
+    """Tokens of the whole text under :data:`PATTERN` or one that splits white space alike.
+
+    The pattern looks ahead from white space and runs out of stack in very long runs of it.  A run is
+    one piece up to its last character, which goes with the word behind it; at the end of the text it
+    is one piece whole.  No other piece holds white space before its last character's neighbour, so
+    long runs are cut out, encoded as the piece they are, and the rest is encoded as it stands."""
+    text, at, n = text or "", 0, 0
+    for run in re.finditer(f"{_SPACE}{{{long},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(encode.encode_ordinary(text[at : run.start()])) + len(encode._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(encode.encode_ordinary(text[at:] if at else text))
+
+
 def token_lengths(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens for every row: the length of the whole text, encoded.
 
     ``ranks`` is the path of a rank file on the driver; its content, about a megabyte whatever the
-    corpus, is broadcast.  A null text is empty and has no tokens."""
+    corpus, is broadcast.  A null text is empty and has no tokens; white space of any length is counted;
+    repeated rows and null ids are kept; an empty table gives no rows."""
     with open(ranks, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches):
-        encode = encoder(shared.value, pattern).encode_ordinary
+        encode = encoder(shared.value, pattern)
         for b in batches:
             for c in chunks(b):
-                n = np.fromiter((len(encode(t)) for t in c.column(1).to_pylist()), np.int64, c.num_rows)
+                n = np.fromiter((encoded_length(encode, t) for t in c.column(1).to_pylist()), np.int64, c.num_rows)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
     return dealt_texts(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")
@@ -101,4 +121,5 @@ def truncated_total(sums: DataFrame, total: DataFrame, limit: int) -> int:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; null texts are empty, an empty table gives no rows."""
     return context_limits(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
