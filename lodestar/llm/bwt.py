@@ -22,7 +22,7 @@ def _ranges_min(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 class Collection:
     """bwt: symbol before each suffix, 0 where a text begins.  lcp: symbols shared with the suffix
-    before, at most 255.  The first suffixes are the empty ones, a text's end being its own."""
+    before, at most 2**31 - 1.  The first suffixes are the empty ones, a text's end being its own."""
 
     def __init__(self, symbols: np.ndarray, ends: np.ndarray):
         """symbols: all texts one behind the other, numbers from 1 on; ends: of each text."""
@@ -34,7 +34,7 @@ class Collection:
         text = np.append(symbols.astype(kind), kind(0))
         left = self.length.copy()  # symbols of each text not inserted yet
         bwt = np.where(left > 0, text[starts + np.maximum(left - 1, 0)], 0).astype(kind)
-        lcp = np.zeros(m, np.uint8)
+        lcp = np.zeros(m, np.int32)
         place, who = np.arange(m), np.arange(m)  # of the suffixes inserted last
         while True:
             going = left[who] > 0
@@ -50,7 +50,7 @@ class Collection:
             c = bwt[place]
             before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
             has_before, has_after = (r > 0) & (bwt[before] == c), (r + 1 < n) & (bwt[after] == c)
-            with_before, with_after = np.zeros(len(r), np.uint8), np.zeros(len(r), np.uint8)
+            with_before, with_after = np.zeros(len(r), np.int32), np.zeros(len(r), np.int32)
             for has, lo, hi, out in ((has_before, before, place, with_before), (has_after, place, after, with_after)):
                 i = np.flatnonzero(has)
                 if len(i):
@@ -59,7 +59,7 @@ class Collection:
                     out[i] = 1
                     i = i[near]
                     if len(i):
-                        out[i] = np.minimum(_ranges_min(lcp, lo[i] + 1, hi[i] + 1).astype(np.int64) + 1, 255)
+                        out[i] = _ranges_min(lcp, lo[i] + 1, hi[i] + 1) + 1
             new = m + r - zeros
             size = n + len(who)
             fresh = np.zeros(size, bool)
@@ -68,7 +68,7 @@ class Collection:
             grown = np.empty(size, kind)
             grown[~fresh] = bwt
             grown[new] = np.where(left[who] > 0, text[starts[who] + np.maximum(left[who] - 1, 0)], 0)
-            prefixes = np.empty(size, np.uint8)
+            prefixes = np.empty(size, np.int32)
             prefixes[~fresh] = lcp
             follows = np.flatnonzero(has_after)
             prefixes[new[follows] + 1] = with_after[follows]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import Collection
-from .common import Roller, chunks, forget, keyed_text, mix, only, small_enough, window_minima, without, written
+from .common import Roller, alike_once, chunks, forget, keyed_text, mix, only, small_enough, window_minima, without, written
 
 WINDOW = 200
 GRAM = 64  # bytes of an anchor
@@ -275,13 +275,17 @@ def remove_strings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Texts are UTF-8 bytes; a byte goes if a string of ``window`` bytes that covers it starts anywhere
     else too, in its own text or another.  A null or empty text loses nothing, nor does one of fewer
     bytes.  Each row is a text of its own, rows that are alike too; ids may be null or repeated.  Of
-    equal texts one stands for all when strings are compared, and all lose everything."""
+    equal texts one stands for all when strings are compared, and all lose everything.  ``window`` may be
+    of any length from GRAM on.  An empty table gives no rows."""
+    if window < GRAM:
+        raise ValueError(f"a window has {GRAM} bytes at least")
     src = keyed_text(docs, id_col, text_col)
     whole = written(src.select("id", "th", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")), "bwt-whole")
     groups = written(whole.filter(F.col("n_bytes") >= window).groupBy("digest").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("digest", "lo"), "bwt-groups")
     copies = written(whole.join(groups, "digest").select("id", "th", (F.col("id") > F.col("lo")).alias("extra")).distinct(), "bwt-copies")
     extra = written(copies.filter("extra").select("id", "th"), "bwt-extra")
-    runs = repeated_runs(without(src, extra, ["id", "th"]), window)
+    runs = repeated_runs(without(alike_once(src.select("id", "th", "text"), whole), extra, ["id", "th"]), window)
+    forget(groups, extra)
     cut = only(src, runs).join(runs, ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_remove(window), "id long, th long, n_removed long, n_spans long, kept binary, sha string")
     cut = written(cut, "bwt-cut").dropDuplicates(["id", "th"])
     out = whole.join(cut, ["id", "th"], "left").join(copies.select("id", "th", F.lit(True).alias("copy")), ["id", "th"], "left")
@@ -293,4 +297,5 @@ def remove_strings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 
 def op5_bytespan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; nulls, repeated rows and empty tables as in :func:`remove_strings`."""
     return remove_strings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
