@@ -2,160 +2,145 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, chunks, dealt_texts, hashed, window_minima, without, written
+from .common import Roller, chunks, forget, hashed, keep_rows, keyed_text, only, small_enough, spread, window_minima, written
 
 WINDOW = 10  # words that must be shared
 GRAM = 5  # words of a fingerprint
 SPAN = WINDOW - GRAM + 1  # fingerprints in a window: winnowing keeps the least of each
 #: Words: ASCII letters and digits, and everything beyond ASCII.
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-DDL = "doc_id long, text string, hits array<int>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_SPACED).split()
 
 
-@dataclass
-class Block:
-    """A part of the benchmark whose size is bounded, ready to be broadcast.
-
-    prints: sorted fingerprints of items of WINDOW words or more.  keys: by window length, sorted
-    hashes of the distinct windows; checks: a second hash of each; items: the ids of each."""
-
-    prints: np.ndarray
-    keys: dict[int, np.ndarray]
-    checks: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
-
-
-def build_block(rows: list[tuple[str, str | None]]) -> Block | None:
-    prints, found = [], {}
-    for item, text in rows:
-        words = words_of(text)
-        if not words:
-            continue
-        h, _ = hashed(words)
-        n = min(WINDOW, len(words))
-        one, two = Roller(h).windows(n), Roller(h, 1).windows(n)
-        for x, y in zip(one.tolist(), two.tolist()):
-            found.setdefault(n, {}).setdefault(x, (y, set()))[1].add(item)
-        if n == WINDOW:
-            grams = Roller(h).windows(GRAM)
-            prints.append(grams[np.unique(window_minima(grams, SPAN))])
-    if not found:
-        return None
-    keys, checks, items = {}, {}, {}
-    for n, table in found.items():
-        order = sorted(table)
-        keys[n] = np.array(order, dtype=np.uint64)
-        checks[n] = np.array([table[x][0] for x in order], dtype=np.uint64)
-        items[n] = [sorted(table[x][1]) for x in order]
-    return Block(np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), keys, checks, items)
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
-    """The benchmark's blocks of about ``limit`` bytes of text, one after the other."""
-    rows, size = [], 0
-    picked = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.col(f"`{text_col}`"))
-    for r in picked.toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= limit:
-            yield build_block(rows)
-            rows, size = [], 0
-    if rows:
-        yield build_block(rows)
-
-
-def _where(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Positions of x in the sorted keys, -1 where absent."""
-    if not len(keys) or not len(x):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at, -1)
-
-
-def find(texts: list[str | None], block: Block) -> list[tuple[list[int], set[str]]]:
-    """For each text the hit word positions and the ids of the items with occurring windows."""
+def _positions(texts: list[str | None]):
+    """The words of all texts as hashes, the number of the text each belongs to, each text's first
+    word, and how many words there are from each word to the end of its text."""
     split = [words_of(t) for t in texts]
     length = np.fromiter(map(len, split), np.int64, len(split))
     end = np.cumsum(length)
     h, _ = hashed([w for ws in split for w in ws])
-    n = len(h)
     doc = np.repeat(np.arange(len(split)), length)
-    room = end[doc] - np.arange(n)  # words from here to the end of the document
-    one, two = Roller(h), None
-    cover = np.zeros(n + 1, np.int64)
-    named: list[set[str]] = [set() for _ in split]
-    for k in sorted(block.keys):
-        if k == WINDOW:
-            grams = np.where(room[: max(0, n - GRAM + 1)] >= GRAM, one.windows(GRAM), np.uint64(0xFFFFFFFFFFFFFFFF))
-            kept = np.unique(window_minima(grams, SPAN))
-            kept = kept[_where(block.prints, grams[kept]) >= 0]
-            starts = np.unique((kept[:, None] - np.arange(SPAN)).ravel())  # the windows that hold the fingerprint
-            starts = starts[starts >= 0]
-        else:
-            starts = np.arange(n)
-        starts = starts[room[starts] >= k]
-        at = _where(block.keys[k], one.at(starts, k))
-        starts, at = starts[at >= 0], at[at >= 0]
-        if not len(starts):
-            continue
-        two = two or Roller(h, 1)
-        true = block.checks[k][at] == two.at(starts, k)
-        starts, at = starts[true], at[true]
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + k, -1)
-        for d, w in set(zip(doc[starts].tolist(), at.tolist())):
-            named[d].update(block.items[k][w])
-    hit = np.flatnonzero(np.cumsum(cover)[:n] > 0)
-    first = end - length
-    by_doc = np.searchsorted(hit, np.concatenate([first, [n]]))
-    return [((hit[by_doc[i] : by_doc[i + 1]] - first[i]).tolist(), named[i]) for i in range(len(split))]
-
-
-def _scan(shared):
+    return h, doc, end - length, end[doc] - np.arange(len(h))
+
+
+def _item_windows(batches):
+    """k, one, two, item: the windows of an item, by two hashes; k words, WINDOW or all it has."""
+    for b in (c for b in batches for c in chunks(b)):
+        h, doc, first, room = _positions(b.column(1).to_pylist())
+        size = np.bincount(doc, minlength=b.num_rows)
+        k = np.minimum(size, WINDOW)[doc]
+        one, two = Roller(h), Roller(h, 1)
+        at = np.flatnonzero(room >= k)
+        yield pa.RecordBatch.from_arrays([pa.array(k[at].astype(np.int32)), pa.array(one.at(at, k[at]).view(np.int64)), pa.array(two.at(at, k[at]).view(np.int64)), b.column(0).take(pa.array(doc[at]))], ["k", "one", "two", "item"])
+
+
+def _kept_grams(h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Winnowing: of each window of WINDOW words within a text the place of the least GRAM-word hash."""
+    grams = Roller(h).windows(GRAM)
+    grams = np.where(room[: len(grams)] >= GRAM, grams, np.uint64(0xFFFFFFFFFFFFFFFF))
+    of = window_minima(grams, SPAN)
+    return np.unique(of[room[: len(of)] >= WINDOW]) if len(h) >= WINDOW else np.zeros(0, np.int64)
+
+
+def _item_prints(batches):
+    """k, h: the fingerprints of items of WINDOW words or more (k is WINDOW); of a shorter one itself."""
+    for b in (c for b in batches for c in chunks(b)):
+        h, doc, first, room = _positions(b.column(1).to_pylist())
+        kept = _kept_grams(h, room)
+        size = np.bincount(doc, minlength=b.num_rows)
+        short = np.flatnonzero((size > 0) & (size < WINDOW))
+        k = np.concatenate([np.full(len(kept), WINDOW), size[short]]).astype(np.int32)
+        x = np.concatenate([Roller(h).at(kept, GRAM), Roller(h).at(first[short], size[short])])
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x.view(np.int64))], ["k", "h"])
+
+
+def _doc_prints(short: list[int]):
+    """id, th, k, h, at: a document's fingerprints; also all its windows of the lengths that short items
+    have (nine at most)."""
+
     def run(batches):
-        block = shared.value
-        for b in batches:
-            for c in chunks(b):
-                old_hits, old_items = c.column(2).to_pylist(), c.column(3).to_pylist()
-                got = find(c.column(1).to_pylist(), block)
-                hits = [x if not y else sorted({*x, *y}) for (x, _), y in zip(got, old_hits)]
-                items = [sorted(x | {*y}) for (_, x), y in zip(got, old_items)]
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+        for b in (c for b in batches for c in chunks(b, 2)):
+            h, doc, first, room = _positions(b.column(2).to_pylist())
+            roll = Roller(h)
+            kept = _kept_grams(h, room)
+            parts = [(WINDOW, kept, roll.at(kept, GRAM))]
+            for k in short:
+                at = np.flatnonzero(room >= k)
+                parts.append((k, at, roll.at(at, k)))
+            for k, at, x in parts:
+                of = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.full(len(at), k, np.int32)), pa.array(x.view(np.int64)), pa.array((at - first[doc[at]]).astype(np.int32))], ["id", "th", "k", "h", "at"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, hits (positions of hit words), items (ids of items with occurring windows).
+def _candidates(batches):
+    """id, th, k, one, two, at: the windows of a document around its fingerprints that an item has."""
+    for b in batches:
+        for c in chunks(b, 2):
+            h, doc, first, room = _positions(c.column(2).to_pylist())
+            if not len(h):
+                continue
+            k, at = [], []
+            for d, found in enumerate(c.column(3).to_pylist()):
+                places = np.array([(f["k"], f["at"]) for f in found], np.int64).reshape(-1, 2) + [0, first[d]]
+                for size in np.unique(places[:, 0]).tolist():
+                    own = places[places[:, 0] == size, 1]
+                    if size == WINDOW:  # the windows that hold the fingerprint
+                        own = np.unique((own[:, None] - np.arange(SPAN)).ravel())
+                        own = own[own >= first[d]]
+                    own = own[room[own] >= size]
+                    at.append(own)
+                    k.append(np.full(len(own), size))
+            if not at:
+                continue
+            k, at = np.concatenate(k), np.concatenate(at)
+            of = pa.array(doc[at])
+            yield pa.RecordBatch.from_arrays([c.column(0).take(of), c.column(1).take(of), pa.array(k.astype(np.int32)), pa.array(Roller(h).at(at, k).view(np.int64)), pa.array(Roller(h, 1).at(at, k).view(np.int64)), pa.array((at - first[doc[at]]).astype(np.int32))], ["id", "th", "k", "one", "two", "at"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, n_words, hits (positions of hit words), items (ids of items with occurring windows): one
+    row for each row of ``docs``.
 
     A window is WINDOW consecutive words of an item, or a shorter item whole.  Both sides keep the
-    least GRAM-word hash of every window, so any shared window shares a fingerprint; around equal
-    fingerprints the windows themselves are compared, by 128 bits of hash.  Shorter items are
-    compared with every window of their length.
-
-    The benchmark comes in blocks of ``block_bytes`` of text.  Each is broadcast, and the documents
-    pass through all blocks within one stage, without a shuffle; so a benchmark of any size is
-    compared whole.  A null text has no words and matches nothing; an item without an id is called
-    ``null``; repeated items count once by id; repeated documents are returned as often as they
-    come; an empty benchmark hits nothing."""
-    out = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    sc = docs.sparkSession.sparkContext
-    for block in blocks(benchmark, id_col=item_col, text_col=item_text, limit=block_bytes):
-        if block:
-            out = out.mapInArrow(_scan(sc.broadcast(block)), DDL)
-    n_words = F.regexp_count(ascii_words("text"), F.lit(r"[^ ]+"))
-    return out.select("doc_id", n_words.cast("long").alias("n_words"), "hits", "items")
+    least GRAM-word hash of every window, so any shared window shares a fingerprint.  The fingerprints
+    are joined; around those that meet the windows themselves are, by 128 bits of hash.  Items of fewer
+    words are joined with every window of their length.
+
+    The benchmark is tables throughout.  Up to ``broadcast_rows`` rows of it are broadcast, so that the
+    documents' side isn't shuffled; a larger one is joined by a shuffle.  Only documents with a
+    fingerprint in common are read again.  A null text has no words and matches nothing; rows that are
+    alike in id and text are looked up once and returned as often as they come, also where the id is
+    null; an item without an id is called ``null``; repeated items count once by id; an empty benchmark
+    hits nothing; no documents give no rows."""
+    hint = lambda df: F.broadcast(df) if small_enough(df, broadcast_rows) else df
+    src = keyed_text(docs, id_col, text_col).select("id", "th", "text")
+    items = spread(benchmark).select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
+    prints = written(items.mapInArrow(_item_prints, "k int, h long").distinct(), "bench-prints")
+    windows = written(items.mapInArrow(_item_windows, "k int, one long, two long, item string").distinct(), "bench-windows")
+    short = sorted(r.k for r in prints.select("k").distinct().collect() if r.k < WINDOW)
+    met = src.mapInArrow(_doc_prints(short), "id long, th long, k int, h long, at int").join(hint(prints), ["k", "h"], "left_semi")
+    met = written(met.groupBy("id", "th").agg(F.collect_set(F.struct("k", "at")).alias("found")), "bench-met")
+    near = only(src, met, broadcast_rows).join(met, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "found").mapInArrow(_candidates, "id long, th long, k int, one long, two long, at int")
+    near = written(near, "bench-near")
+    hit = written(near.join(hint(windows.select("k", "one", "two").distinct()), ["k", "one", "two"], "left_semi"), "bench-hit")
+    places = hit.select("id", "th", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("p"))
+    places = places.groupBy("id", "th").agg(F.array_sort(F.collect_set("p")).alias("hits"))
+    named = hit.select("id", "th", "k", "one", "two").distinct().join(hint(windows), ["k", "one", "two"]).groupBy("id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = written(places.join(named, ["id", "th"]), "bench-found")
+    forget(prints, met, near, hit, windows)
+    n_words = F.regexp_count(ascii_words("text"), F.lit(r"[^ ]+")).cast("long")
+    each = keyed_text(docs, id_col, text_col).select("id", "th", "doc_id", n_words.alias("n_words"))
+    return each.join(hint(found), ["id", "th"], "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "th")
 
 
 def ascii_words(column: str):
@@ -164,9 +149,11 @@ def ascii_words(column: str):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a hit word.  Rows that share one id stand or fall together."""
-    found = contamination(docs, benchmark).filter(F.size("hits") > 0).select(F.col("doc_id").alias("__id")).distinct()
-    return without(docs.withColumn("__id", F.col("doc_id").cast("long")), written(found, "contaminated"), ["__id"]).drop("__id")
+    """The rows without a hit word, with all their columns.  Rows are told apart by id and text, so rows
+    without an id stand or fall by their own text; rows that are alike fall together; nulls, empty
+    texts and empty tables as in :func:`contamination`."""
+    verdict = contamination(docs, benchmark).filter(F.size("hits") > 0).select("doc_id", "th", F.lit(False).alias("keep"))
+    return keep_rows(docs, written(verdict, "contaminated"))
 
 
 SQL = r"""
@@ -185,6 +172,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents against the whole benchmark; nulls, empty texts, repeated rows and empty
+    tables as in :func:`contamination`."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     n_hit = F.size("hits").cast("long")
     return contamination(read("documents"), read("benchmark")).select(
