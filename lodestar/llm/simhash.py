@@ -3,13 +3,15 @@ similarity of five-word shingles (the pipeline's stage)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, chunks, dealt_texts, forget, hashed, mix, without, written
+from .common import Roller, chunks, dealt_texts, forget, hashed, keep_rows, mix, small_enough, written
 from .graph import components
 
 SHINGLE = 3
@@ -17,7 +19,6 @@ SEED = 42
 STEP = 4  # bits from one level of the distributed trie to the next
 WORDS = 5  # of a shingle of the pipeline's stage
 BANDS, ROWS = 20, 4  # a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997
-ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -114,87 +115,76 @@ def forest(n: int, pairs) -> np.ndarray:
     return at
 
 
-def _heavy(fps: DataFrame, cap: int) -> dict[int, np.ndarray]:
-    """By depth, the prefixes under which more than ``cap`` fingerprints lie: at most the number
-    of fingerprints divided by cap at each depth."""
-    found, depth = {0: np.zeros(1, np.uint64)} if fps.count() > cap else {}, STEP
-    while found and depth < 64:
-        prefix = F.shiftrightunsigned("fp", 64 - depth)
-        here = fps
-        if depth > STEP:
-            up = [int(x) for x in found[depth - STEP].astype(np.int64)]
-            here = fps.join(F.broadcast(fps.sparkSession.createDataFrame([(x,) for x in up], "up long")), F.shiftrightunsigned("fp", 64 - depth + STEP) == F.col("up"), "left_semi")
-        rows = here.groupBy(prefix.alias("p")).count().filter(F.col("count") > cap).collect()
-        if not rows:
-            break
-        found[depth] = np.sort(np.array([r.p for r in rows], dtype=np.int64).view(np.uint64))
-        depth += STEP
-    return found
-
-
-def leaves_of(fp: np.ndarray, heavy: dict[int, np.ndarray], bits: int):
-    """depth, prefix, position, is_home: the leaves of the distributed trie that each fingerprint
-    takes part in.  A leaf is a child of a heavy node that isn't heavy.  A fingerprint goes to its
-    own leaf, and as a visitor to the leaves at most ``bits`` bits off that rank after its own
-    (deeper, or as deep with a larger prefix), so each pair of leaves meets once."""
-    n = len(fp)
-    idx, prefix, off, depth = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.int64), 0
+def _meet(bits: int):
+    """Within a leaf: a spanning forest of its own fingerprints and of those that visit it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        home = table.column("home").to_numpy(zero_copy_only=False)
+        a, b = np.sort(fp[home]), np.sort(fp[~home])
+        n = len(a)
+        every = np.concatenate([a, b])
+        between = ((i, j + n) for i, j in trie_pairs(a, b, bits))
+        root = forest(len(every), (x for part in (trie_pairs(a, None, bits), between) for x in part))
+        moved = root != np.arange(len(every))
+        return pa.table({"a": pa.array(every[moved].view(np.int64), pa.int64()), "b": pa.array(every[root[moved]].view(np.int64), pa.int64())})
+
+    return run
+
+
+def _below(nodes: DataFrame, depth: int, bits: int) -> DataFrame:
+    """The children, STEP bits further down at ``depth``, that the fingerprints of ``nodes`` (fp, prefix,
+    off) go to: their own, and as visitors those to its right that differ from their path in at most
+    ``bits`` bits.  Two leaves meet once, the left one's fingerprints visiting the right one."""
+    kid = nodes.withColumn("kid", F.explode(F.sequence(F.lit(0), F.lit((1 << STEP) - 1)).cast("array<bigint>")))
+    own = F.shiftrightunsigned("fp", 64 - depth)
+    prefix = F.shiftleft("prefix", STEP).bitwiseOR(F.col("kid"))
+    # compared as unsigned numbers; a prefix of all 64 bits may have the upper one set
+    order = (lambda c: c.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))) if depth == 64 else (lambda c: c)
+    off = F.col("off") + F.bit_count(own.bitwiseAND(F.lit((1 << STEP) - 1)).bitwiseXOR(F.col("kid")))
+    return kid.select("fp", prefix.alias("prefix"), off.alias("off"), own.alias("own")).filter((F.col("off") <= bits) & (order(F.col("prefix")) >= order(F.col("own")))).drop("own")
+
+
+def trie_leaves(fps: DataFrame, bits: int = 2, cap: int = 2_000) -> DataFrame:
+    """depth, prefix, home, fp: the leaves of a trie over the distinct fingerprints of the written table
+    ``fps``, with the fingerprints that lie in each (home) and those that visit it.
+
+    A node with more than ``cap`` fingerprints of its own is split further.  The depth to begin with
+    follows from their number; from there on level by level, only what lies under heavy nodes going
+    on.  Nodes are rows of tables throughout; a level's heavy nodes are broadcast to its rows if there
+    are few, else joined by a shuffle."""
+    total = fps.count()
+    depth, nodes = 0, fps.select("fp", F.lit(0).cast("long").alias("prefix"), F.lit(0).alias("off"))
     done = []
-    is_heavy = np.full(n, 0 in heavy)
     while True:
-        done.append((np.full((~is_heavy).sum(), depth), prefix[~is_heavy], idx[~is_heavy], off[~is_heavy] == 0))
-        idx, prefix, off = idx[is_heavy], prefix[is_heavy], off[is_heavy]
-        if not len(idx):
-            break
-        depth += STEP
-        kids = np.arange(1 << STEP, dtype=np.uint64)
-        own = (fp[idx] >> np.uint64(64 - depth)) & np.uint64((1 << STEP) - 1)
-        o = off[:, None] + ONES[(own[:, None] ^ kids).astype(np.int64)]
-        keep = o <= bits
-        p = (prefix[:, None] << np.uint64(STEP)) | kids
-        idx, prefix, off = np.broadcast_to(idx[:, None], keep.shape)[keep], p[keep], o[keep]
-        is_heavy = np.isin(prefix, heavy.get(depth, np.zeros(0, np.uint64))) if depth < 64 else np.zeros(len(idx), bool)
-    d, p, i, home = (np.concatenate(x) for x in zip(*done))
-    hd, hp = np.zeros(n, np.int64), np.zeros(n, np.uint64)
-    hd[i[home]], hp[i[home]] = d[home], p[home]
-    take = home | (d > hd[i]) | ((d == hd[i]) & (p > hp[i]))
-    return d[take], p[take], i[take], home[take]
+        if total > cap and depth < 64:
+            ahead = 1 if done or depth else max(1, int(np.log2(total / cap)) // STEP)
+            for _ in range(min(ahead, 64 // STEP)):
+                depth += STEP
+                nodes = _below(nodes, depth, bits)
+        nodes = written(nodes, f"trie-{depth}") if depth else nodes
+        home = F.col("off") == 0
+        size = written(nodes.filter(home).groupBy("prefix").agg(F.count("*").alias("n")), "trie-sizes")
+        placed = nodes.join(F.broadcast(size) if small_enough(size, 1_000_000) else size, "prefix")
+        leaf = F.lit(True) if depth in (0, 64) and (total <= cap or depth == 64) else F.col("n") <= cap
+        done.append(written(placed.filter(leaf).select(F.lit(depth).alias("depth"), "prefix", home.alias("home"), "fp"), "trie-leaves"))
+        rest = written(placed.filter(~leaf).select("fp", "prefix", "off"), "trie-heavy")
+        forget(size, *([nodes] if depth else []))
+        if rest.isEmpty():
+            forget(rest)
+            return reduce(DataFrame.unionByName, done)
+        nodes = rest
 
 
 def near_edges(fps: DataFrame, bits: int = 2, cap: int = 2_000) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints linked at ``bits`` or fewer bits: of each
     leaf a spanning forest, so their number is linear however dense a cluster is.
 
-    fps: a written table of distinct fingerprints ``fp``.  The trie's upper levels are nodes with
-    more than ``cap`` fingerprints; leaves are joined in one task each, with the visitors that come
-    within the error budget on the way down."""
-    heavy = _heavy(fps, cap)
-
-    def deal(batches):
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096]
-                d, p, i, home = leaves_of(part, heavy, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(p.view(np.int64)), pa.array(home), pa.array(part[i].view(np.int64))], ["depth", "prefix", "home", "fp"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        a, b = np.sort(fp[home]), np.sort(fp[~home])
-        n = len(a)
-        if n:
-            every = np.concatenate([a, b])
-            between = ((i, j + n) for i, j in trie_pairs(a, b, bits))
-            root = forest(len(every), (x for part in (trie_pairs(a, None, bits), between) for x in part))
-            moved = root != np.arange(len(every))
-            x, y = every[moved].view(np.int64), every[root[moved]].view(np.int64)
-        else:
-            x = y = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
-
-    dealt = fps.select("fp").mapInArrow(deal, "depth int, prefix long, home boolean, fp long")
-    return dealt.groupBy("depth", "prefix").applyInArrow(meet, "a long, b long")
+    fps: a written table of distinct fingerprints ``fp``.  A fingerprint visits more leaves the deeper
+    the trie is: with d bits of depth 1 + d + d(d - 1) / 2 at two bits of budget, half of them, and of
+    those the leaves that have fingerprints."""
+    leaves = trie_leaves(fps, bits, cap)
+    return leaves.groupBy("depth", "prefix").applyInArrow(_meet(bits), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,11 +198,12 @@ def simhash_groups(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_
     forests, never as all pairs."""
     each = written(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    stars = written(components(written(near_edges(fps, bits), "near")), "stars")
+    edges = written(near_edges(fps, bits), "near")
+    stars = written(components(edges), "stars")
     named = written(fps.join(stars, fps.fp == stars.u, "left").select("fp", "least", F.coalesce("m", "fp").alias("root")), "named")
     roots = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     of = written(named.join(roots, "root").select("fp", "component_id"), "of-fps")
-    forget(fps, stars, named, roots)
+    forget(fps, edges, stars, named, roots)
     return each.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -279,48 +270,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id for every row: component_id is the smallest doc_id that is reached over
-    pairs of texts with at least 0.8 of their five-word shingles in common (Jaccard, sets, A-Z
-    lower-cased).  Nulls and repeated rows as in :func:`simhash_groups`.
+def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node for every row (a 64-bit hash names a text), and node, root: the components.
 
     Candidates share one of BANDS keys of minima; each link is verified on the whole sets.  Texts meet
-    once however many copies they have (a 64-bit hash names a text).  First each text of a bucket
-    meets the bucket's least; then all pairs that this has left in different components, so a crowd of
-    copies doesn't make pairs of all with all."""
+    once however many copies they have.  First each text of a bucket meets the bucket's least; then all
+    pairs that this has left in different components, so a crowd of copies doesn't make pairs of all
+    with all."""
     src = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("node"))
     each = written(src.mapInArrow(_banded, "doc_id long, node long, keys array<long>"), "banded")
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = written(each.groupBy("node").agg(F.first("keys").alias("keys")), "near-nodes")
     placed = nodes.select("node", F.explode("keys").alias("k"))
     shared = placed.groupBy("k").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = written(placed.join(shared, "k"), "near-members")
     wanted = written(members.select("node").distinct(), "near-wanted")
-    texts = src.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = src.join(F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_sets, "node long, s binary"), "near-sets")
     stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_verified(stars, sets), "near-links")
-    roots = written(components(links), "near-roots")
+    first = written(_verified(stars, sets), "near-links")
+    roots = written(components(first), "near-roots")
     rooted = written(members.join(roots, members.node == roots.u, "left").select("k", "node", F.coalesce("m", "node").alias("root")), "near-rooted")
     x, y = (rooted.select("k", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
     rest = x.join(y, "k").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
-    links = written(links.unionByName(_verified(rest, sets)), "near-links")
+    links = written(first.unionByName(_verified(rest, sets)), "near-links")
     stars = written(components(links), "near-stars")
-    named = written(nodes.join(stars, nodes.node == stars.u, "left").select("node", "least", F.coalesce("m", "node").alias("root")), "near-named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(named.join(least, "root").select("node", "component_id"), "near-of")
-    forget(nodes, members, wanted, sets, roots, rooted, links, stars, named)
-    return each.join(of, "node").select("doc_id", "component_id")
+    of = written(nodes.join(stars, nodes.node == stars.u, "left").select("node", F.coalesce("m", "node").alias("root")), "near-of")
+    forget(nodes, members, wanted, sets, first, roots, rooted, links, stars)
+    return each.select("doc_id", "node"), of
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id for every row: component_id is the smallest doc_id that is reached over
+    pairs of texts with at least 0.8 of their five-word shingles in common (Jaccard, sets, A-Z
+    lower-cased).  Nulls, empty texts, repeated rows and empty tables as in :func:`simhash_groups`."""
+    each, of = _near(docs, id_col, text_col)
+    rooted = written(each.join(of, "node").select("doc_id", "root"), "near-rows")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose document gives its component of :func:`near_groups` the name; the rest of each
-    component goes.  Rows that share one id stand or fall together; rows with a null id stay only if
-    their whole component has no id."""
-    groups = near_groups(docs, id_col, text_col)
-    lost = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "near-lost")
-    return without(docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")), lost, ["__id"]).drop("__id")
+    """Of each component of :func:`near_groups` the row with the smallest doc_id, with all its columns.
+
+    Rows are told apart by id and text: a row without an id stays only if its component has none with
+    one, and then one such row stays; of rows that share the smallest id the one whose text's hash is
+    least stays, and of rows that are alike a single one.  Texts without words form one component.  An
+    empty table gives no rows."""
+    each, of = _near(docs, id_col, text_col)
+    rows = each.groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(of, "node")
+    rows = written(rows.select("doc_id", F.col("node").alias("th"), "root", "n"), "near-rows")
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("s"))
+    verdict = rows.join(stays, "root").select("doc_id", "th", "n", (F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("th") == F.col("s.th"))).alias("keep"))
+    verdict = written(verdict, "near-verdict")
+    forget(rows, of)
+    return keep_rows(docs, verdict, id_col, text_col, once=True)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, with its fingerprint in hexadecimal; nulls, ties, repeated rows and empty
+    tables as in :func:`simhash_groups`."""
     found = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
