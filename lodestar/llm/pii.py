@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forget, id_and_text, small_enough, written
@@ -19,8 +19,8 @@ PATTERNS = {
 }
 TERM = r"\p{L}++"
 
-REACH = 60  # characters to either side of an entity that count as its context
-SUPPORT = 3  # different contexts that a term must share with an entity
+REACH = 60  # characters to either side of an entity within which one text is evidence
+PRIOR = 3.0  # texts' worth of doubt in how often a term brings an entity with it
 GENERALISE, REMOVE = 0.6, 0.85  # shares of an entity's information that a term may reveal
 
 
@@ -62,21 +62,26 @@ def _passes(kind: str, v: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table row, doc_id, text, base: base holds kind, start, end, value of each match, in
-    code points; text is null where nothing was matched."""
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table row, doc_id, text: rows get a number that stays."""
     src = id_and_text(docs, id_col, text_col)
+    return written(src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "pii-texts")
+
+
+def find_base(src: DataFrame) -> DataFrame:
+    """A written table row, doc_id, text, base from numbered texts: base holds kind, start, end, value of
+    each match, in code points; text is null where nothing was matched."""
     cols = {}
     for kind, (_, _, test) in PATTERNS.items():
         may = F.col("text").contains(test) if kind == "email" else F.col("text").rlike(test)
         none = F.array().cast("array<string>")
         cols[f"{kind}_all"] = F.when(may, F.regexp_extract_all("text", F.lit(_stepped(kind)), F.lit(0))).otherwise(none)
         cols[f"{kind}_own"] = F.when(may, F.regexp_extract_all("text", F.lit(_stepped(kind)), F.lit(2))).otherwise(none)
-    raw = src.select("doc_id", "text", *(v.alias(k) for k, v in cols.items()))
+    raw = src.select("row", "doc_id", "text", *(v.alias(k) for k, v in cols.items()))
     some = F.lit(False)
     for kind in PATTERNS:
         some = some | (F.size(f"{kind}_own") > 0)
-    raw = raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(some, F.col("text")).alias("text"), *(F.transform(f"{k}_all", F.length).alias(f"{k}_all") for k in PATTERNS), *(f"{k}_own" for k in PATTERNS))
+    raw = raw.select("row", "doc_id", F.when(some, F.col("text")).alias("text"), *(F.transform(f"{k}_all", F.length).alias(f"{k}_all") for k in PATTERNS), *(f"{k}_own" for k in PATTERNS))
     raw = written(raw, "pii-raw")  # the matches are columns from here on, never evaluated anew for each element
     ends = written(raw.select("row", "doc_id", "text", *(_starts(F.col(f"{k}_all")).alias(f"{k}_end") for k in PATTERNS), *(f"{k}_own" for k in PATTERNS)), "pii-ends")
     spans = []
@@ -89,64 +94,110 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out
 
 
-def contexts(base: DataFrame) -> DataFrame:
-    """row, entity, context, term, start, end: the terms near each entity of each text.  A term is
-    a run of letters that stands in the window whole, its first character apart from the edge."""
+def entities(base: DataFrame) -> DataFrame:
+    """row, entity, near: the distinct entities of each text, e-mail addresses lower-cased, separators
+    of numbers left out; near: what stands within REACH of it, without words that the edge or the
+    entity touches."""
     e = base.filter(F.size("base") > 0).select("row", "text", F.explode("base").alias("e"))
-    entity = F.concat(F.col("e.kind"), F.lit(":"), F.when(F.col("e.kind") == "email", F.lower("e.value")).otherwise(F.regexp_replace("e.value", r"[\x20()-]", "")))
-    left_at = F.greatest(F.lit(0), F.col("e.start") - REACH)
-    e = e.select("row", entity.alias("entity"), F.col("e.end").alias("right_at"), left_at.alias("left_at"), F.substr("text", left_at + 1, F.col("e.start") - left_at).alias("left"), F.substr("text", F.col("e.end") + 1, F.lit(REACH)).alias("right"), (F.length("text") > F.col("e.end") + REACH).alias("more"))
-    e = e.withColumn("context", F.xxhash64("left", "right"))
+    name = F.concat(F.col("e.kind"), F.lit(":"), F.when(F.col("e.kind") == "email", F.lower("e.value")).otherwise(F.regexp_replace("e.value", r"[\x20()-]", "")))
+    at = F.greatest(F.lit(0), F.col("e.start") - REACH)
+    left = F.regexp_replace(F.substr("text", at + 1, F.col("e.start") - at), r"\p{L}+$", "")
+    left = F.when(at > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.regexp_replace(F.substr("text", F.col("e.end") + 1, F.lit(REACH)), r"^\p{L}+", "")
+    right = F.when(F.length("text") > F.col("e.end") + REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    return e.select("row", name.alias("entity"), F.concat(left, F.lit(" "), right).alias("near"))
+
+
+def _terms(text: str) -> Column:
+    """The distinct words of a text, lower-cased one by one."""
+    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def disclosure(c_et, c_t, c_e, n, near) -> Column:
+    """The share of an entity's information, log2(n / c_e), that a term reveals: pointwise mutual
+    information with the chance that the term brings the entity smoothed towards none at all by PRIOR
+    texts.  Within REACH one text is evidence; elsewhere in a text one more must bear it out."""
+    seen = F.when(near, c_et).otherwise(c_et - 1)
+    chance = (seen + PRIOR * c_e / n) / (c_t + PRIOR)
+    own = F.log2(n / c_e)
+    return F.when((seen > 0) & (own > 0), F.log2(chance * n / c_e) / own).otherwise(0.0)
+
+
+def revealing(src: DataFrame, base: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """row, term, d: a written table of the terms of each text that reveal an entity of that text to
+    ``generalise`` or more of its information.
+
+    Everything is counted in distinct texts: those that hold the term, the entity, both.  Terms next to
+    an entity are paired with it as they stand.  Terms anywhere else in a text are paired with its
+    entities only if both occur in two texts or more, and if the term is rare enough to reach the
+    threshold were it always to come with the entity; the rest of the pairs can't matter."""
+    first = written(src.select("row", F.xxhash64("text").alias("th")).groupBy("th").agg(F.min("row").alias("row")).select("row"), "pii-first")
+    n = F.lit(float(max(1, first.count())))
+    copies = written(src.select("row").join(first, "row", "left_anti").withColumn("copy", F.lit(True)), "pii-copies")
+    small = small_enough(copies, 1_000_000)
+    hint = F.broadcast if small else lambda df: df
+    once = src.join(hint(copies), "row", "left_anti")
+    found = written(entities(base).join(hint(copies), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "pii-entities")
+    held = found.select("row", "entity", "copy").distinct()
+    c_e = written(held.filter("NOT copy").groupBy("entity").agg(F.count("*").alias("c_e")), "pii-entity-counts")
+    c_t = once.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    words = written(base.filter(F.size("base") > 0).select("row", F.explode(_terms("text")).alias("term")), "pii-words")
+    c_t = written(c_t.join(words.select("term").distinct(), "term"), "pii-term-counts")
+    near = found.select("row", "entity", "copy", F.explode(_terms("near")).alias("term")).distinct().withColumn("near", F.lit(True))
+    far = held.join(c_e.filter("c_e > 1"), "entity").join(words.join(c_t.filter("c_t > 1"), "term"), "row")
+    far = far.filter(F.col("c_t") <= (F.col("c_e") + PRIOR) * F.pow(n / F.col("c_e"), F.lit(1 - generalise)))
+    pairs = near.unionByName(far.select("row", "entity", "copy", "term", F.lit(False).alias("near")))
+    pairs = written(pairs.groupBy("row", "entity", "term").agg(F.max("near").alias("near"), F.max("copy").alias("copy")), "pii-pairs")
+    joint = pairs.filter("NOT copy").groupBy("entity", "term").agg(F.count("*").alias("c_et"), F.max("near").alias("near"))
+    rated = joint.join(c_e, "entity").join(c_t, "term").select("entity", "term", disclosure(F.col("c_et"), F.col("c_t"), F.col("c_e"), n, F.col("near")).alias("d"))
+    rated = written(rated.filter(F.col("d") >= generalise), "pii-rated")
+    out = written(pairs.join(rated, ["entity", "term"]).groupBy("row", "term").agg(F.max("d").alias("d")), "pii-revealing")
+    forget(first, copies, found, c_e, c_t, words, pairs, rated)
+    return out
+
+
+def occurrences(base: DataFrame, rated: DataFrame) -> DataFrame:
+    """row, start, end, word, d: every occurrence of a row's rated terms in its text."""
+    texts = base.select("row", "text").join(rated.select("row").distinct(), "row", "left_semi")
     stepped = F.lit(rf"(?s)\G(|.*?\P{{L}})({TERM})")
-    side = lambda name, at: e.select("row", "entity", "context", "more", F.lit(name).alias("side"), F.col(at).alias("at"), F.length(name).alias("size"), F.transform(F.regexp_extract_all(F.col(name), stepped, F.lit(0)), F.length).alias("all"), F.regexp_extract_all(F.col(name), stepped, F.lit(2)).alias("own"))
-    both = written(side("left", "left_at").unionByName(side("right", "right_at")), "pii-windows")
-    both = both.withColumn("ends", _starts(F.col("all"))).select("row", "entity", "context", "more", "side", "at", "size", F.explode(F.arrays_zip("ends", "own")).alias("t"))
-    start = F.col("t.ends") - F.length("t.own")
-    cut = ((F.col("side") == "left") & (start == 0) & (F.col("at") > 0)) | ((F.col("side") == "right") & ((start == 0) | (F.col("more") & (F.col("t.ends") == F.col("size")))))
-    touching = (F.col("side") == "left") & (F.col("t.ends") == F.col("size"))
-    return both.filter(~cut & ~touching).select("row", "entity", "context", F.lower("t.own").alias("term"), (F.col("at") + start).alias("start"), (F.col("at") + F.col("t.ends")).alias("end"))
-
-
-def revealing(near: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure: pointwise mutual information over the entity's information,
-    log2(c(e,t) N / (c(e) c(t))) / log2(N / c(e)), 1 if the term occurs with the entity alone.
-    Copies of a context count once; pairs need ``support`` different contexts."""
-    joint = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= support)
-    joint = written(joint, "pii-joint")
-    each = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    wanted = written(joint.select("term").distinct(), "pii-terms")
-    words = docs.select(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(TERM), F.lit(0)).alias("w"))
-    total = words.agg(F.sum(F.size("w"))).first()[0] or 0
-    words = words.select(F.explode("w").alias("term"))
-    if small_enough(wanted, 1_000_000):
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    pmi = F.log2(F.col("c_et") * F.lit(float(total)) / (F.col("c_e") * F.greatest("c_t", "c_et")))
-    rated = joint.join(counts, "term").join(each, "entity")
-    return rated.select("entity", "term", F.coalesce(pmi / F.nullif(F.log2(F.lit(float(total)) / F.col("c_e")), F.lit(0.0)), F.lit(0.0)).alias("disclosure"))
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    both = F.arrays_zip(F.transform(F.regexp_extract_all("text", stepped, F.lit(0)), F.length).alias("all"), F.regexp_extract_all("text", stepped, F.lit(2)).alias("word"))
+    each = texts.select("row", F.posexplode(both).alias("nr", "x")).select("row", "nr", "x.all", "x.word")
+    end = F.sum("all").over(Window.partitionBy("row").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("end", end.cast("int")).select("row", (F.col("end") - F.length("word")).alias("start"), "end", "word", F.lower("word").alias("term"))
+    return each.join(rated, ["row", "term"]).select("row", "start", "end", "word", "d")
+
+
+def _class(word: Column) -> Column:
+    """What a word is generalised to: the class its letters show."""
+    return F.when(word.rlike(r"^\p{Lu}{2,}$"), "[ACRONYM]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, base, terms, text: one row for each row of docs.  base: kind, start, end, value of the
-    personal data found by pattern; terms: start, end, action of the words near it that reveal it.
-
-    How strongly a term reveals an entity is estimated from the corpus (:func:`revealing`); terms
-    from ``generalise`` on are to be replaced by their kind, from ``remove`` on to be left out, in
-    the windows around that entity.  ``text`` has entities replaced by their kind and this done;
-    it is null where nothing was found.  A null text is empty; copies of a document don't add
-    evidence; repeated rows and null ids are kept as they are; an empty table gives no rows."""
-    base = find_base(docs, id_col, text_col)
-    near = written(contexts(base), "pii-near")
-    rated = written(revealing(near, docs, text_col, support).filter(F.col("disclosure") >= generalise), "pii-rated")
-    found = near.join(F.broadcast(rated) if small_enough(rated, 1_000_000) else rated, ["entity", "term"])
-    terms = found.groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
-    terms = terms.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("action")))).alias("terms"))
-    out = base.join(written(terms, "pii-spans"), "row", "left")
+    personal data found by pattern; terms: start, end, action, tag of the words that reveal it.
+
+    How strongly a term reveals an entity is estimated from the corpus (:func:`revealing`); terms from
+    ``generalise`` on are replaced by their class, from ``remove`` on left out, wherever they occur in a
+    text that holds the entity.  ``text`` has entities replaced by their kind and this done; it is null
+    where nothing was found.  A null text is empty; copies of a text don't add evidence and are all
+    treated alike; repeated rows and null ids are kept as they are; a text of any length is read whole;
+    an empty table gives no rows."""
+    src = numbered(docs, id_col, text_col)
+    base = find_base(src)
+    rated = revealing(src, base, generalise)
+    found = occurrences(base, rated)
+    tag = F.when(F.col("d") >= remove, "").otherwise(_class(F.col("word")))
+    action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
+    terms = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action"), tag.alias("tag")))).alias("terms"))
+    terms = written(terms, "pii-spans")
+    out = base.join(terms, "row", "left")
+    forget(src, rated)
     own = F.filter(F.col("terms"), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = out.select("doc_id", "text", "base", F.coalesce(own, F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("terms"))
+    out = out.select("doc_id", "text", "base", F.coalesce(own, F.array().cast("array<struct<start:int,end:int,action:string,tag:string>>")).alias("terms"))
     tagged = F.concat(
         F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("tag"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("tag"))),
+        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["tag"].alias("tag"))),
     )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -160,9 +211,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: the spans, and the sanitised text where there is any (null elsewhere);
+    nulls, repeated rows and empty tables as in :func:`sanitise`."""
     found = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.transform("base", name)
     terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.col("text").alias("sanitised"))
