@@ -3,86 +3,176 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, forget, id_and_text, shared_dir, without, written
+from .common import ascii_lower, forget, id_and_text, keep_rows, shared_dir, spread, written
+
+ROWS_A_BUCKET = 2_000_000
 
 
 class DigestIndex:
-    """The digests of every text seen so far, as a Parquet table bucketed and sorted by digest.
+    """The digests of every text seen so far, as a Parquet table of batches, each bucketed and sorted by
+    digest.
 
-    ``add`` finds the new texts by a sort-merge anti-join, in which the index is read bucket by
-    bucket without a shuffle, and appends their digests.  The table lies at ``location``; any
-    later session opens it again with the same location and bucket count."""
+    A batch of new digests is one partition of the table, named by the batch.  ``commit`` replaces that
+    partition, and ``seen`` leaves it out, so a batch that is tried again, whether its first try died
+    before the commit or after it, is decided as if for the first time.  ``compact`` merges batches,
+    since every one adds a file to each bucket.  The table lies at ``location``; any later session opens
+    it again with the same location and bucket count.  Use it as a context, or ``close`` it."""
 
     def __init__(self, spark: SparkSession, location: str | None = None, buckets: int = 64):
-        self.spark = spark
+        self.spark, self.buckets = spark, buckets
         self.location = location or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
         self.table = f"digests_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.location}'")
-        self.buckets = buckets
+        spark.sql(f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT, batch STRING) USING parquet PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.location}'")
+        path, fs = self._path(self.location)
+        fs.mkdirs(path)
+        spark.sql(f"ALTER TABLE {self.table} RECOVER PARTITIONS")
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def new(self, groups: DataFrame) -> DataFrame:
-        """Of ``groups`` (digest, ...) those whose digest the index lacks."""
-        return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+    def batches(self) -> list[str]:
+        return [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()]
+
+    def seen(self, batch: str) -> DataFrame:
+        """digest, keep_id of all batches but this one."""
+        return self.rows().filter(F.col("batch") != batch).select("digest", "keep_id")
+
+    def new(self, groups: DataFrame, batch: str = "") -> DataFrame:
+        """Of ``groups`` (digest, ...) those whose digest the other batches lack, by a sort-merge
+        anti-join; the index is read bucket by bucket, without a shuffle."""
+        return groups.join(self.seen(batch).select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, fresh: DataFrame) -> None:
-        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
+    def commit(self, fresh: DataFrame, batch: str) -> None:
+        """Makes (digest, keep_id) the batch's rows, in place of any it had."""
+        view = f"fresh_{uuid.uuid4().hex}"
+        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest").createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}') SELECT digest, keep_id FROM {view}")
+        self.spark.catalog.dropTempView(view)
         self.spark.catalog.refreshTable(self.table)
 
+    def compact(self, open_batches: tuple[str, ...] = ()) -> None:
+        """Merges all batches into one but ``open_batches``, those that may still be tried again.  If it
+        dies half-way a digest is held twice, which changes no answer, and the next call mends it."""
+        old = [b for b in self.batches() if b not in open_batches]
+        if len(old) < 2:
+            return
+        merged = written(self.rows().filter(F.col("batch").isin(old)).groupBy("digest").agg(F.max("keep_id").alias("keep_id")), "digests-merged")
+        name = f"merged-{uuid.uuid4().hex}"
+        self.commit(merged, name)
+        for b in old:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (batch = '{b}')")
+            self._delete(f"{self.location}/batch={b}")
+        self.spark.catalog.refreshTable(self.table)
+        forget(merged)
+
+    def _path(self, location: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(location)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _delete(self, location: str) -> None:
+        path, fs = self._path(location)
+        fs.delete(path, True)
+
     def close(self, delete: bool = False) -> None:
         """Forgets the table's name; ``delete`` removes the files too."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         if delete:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.location)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.location)
+
 
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    digest = F.sha2(ascii_lower(F.col("text")), 256)
+    return written(spread(id_and_text(docs, id_col, text_col)).select("doc_id", F.xxhash64("text").alias("th"), digest.alias("digest")), "digests")
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Decides for every row whether it stays, and appends the new texts to ``index``.
+
+def _named(digests: DataFrame) -> str:
+    """A batch's name, the same whenever the same rows come."""
+    n, h = digests.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
+    return f"batch-{n}-{h or 0}".replace("--", "-m")
+
+
+def _entries(digests: DataFrame, index: DigestIndex, batch: str | None) -> DataFrame:
+    """digest, keep_id, group_size, is_new of each text of the batch, a written table; the new ones are
+    committed to the index."""
+    batch = batch or _named(digests)
+    groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    fresh = written(index.new(groups, batch).select("digest", "keep_id"), "fresh")
+    known = groups.select("digest").join(index.seen(batch).withColumnRenamed("keep_id", "seen_id").hint("merge"), "digest").groupBy("digest").agg(F.max("seen_id").alias("seen_id"))
+    known = known.withColumn("known", F.lit(True))
+    entries = groups.join(known, "digest", "left").select("digest", F.when(F.col("known"), F.col("seen_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.col("known").isNull().alias("is_new"))
+    entries = written(entries, "entries")
+    index.commit(fresh, batch)
+    forget(groups, fresh)
+    return entries
+
+
+def _decided(digests: DataFrame, entries: DataFrame, group_size: Column) -> DataFrame:
+    """One row for each row of ``digests``; of rows alike in id and digest the first copy can be kept."""
+    each = digests.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    kept = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return each.join(entries, "digest").withColumn("copy", copies).select("doc_id", "keep_id", group_size.alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """Decides for every row whether it stays, and commits the new texts to ``index`` as ``batch`` (by
+    default named by the rows themselves, so that the same rows tried again are the same batch).
 
     Returns doc_id, keep_id, group_size, kept, text_sha256: one row for each input row.  Texts
     are equal if their SHA-256 after lower-casing A-Z is; a null text counts as empty.  Of equal
     texts of one call the row with the largest doc_id stays (a null id ranks below all others; of
-    rows repeated with one id a single one stays), and none if the index already had the text: then
-    keep_id is the id in the index.  group_size counts the rows of this call.  An empty table gives
+    rows repeated with one id a single one stays), and none if another batch of the index has the text:
+    then keep_id is the id in the index.  group_size counts the rows of this call.  An empty table gives
     no rows.  Very many copies of a text are counted before the shuffle, and the join that tells
-    them their group is one that Spark splits."""
-    digests = written(id_and_text(docs, id_col, text_col).select("doc_id", F.sha2(ascii_lower(F.col("text")), 256).alias("digest")), "digests")
-    groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    fresh = written(index.new(groups).select("digest", "keep_id"), "fresh")
-    known = groups.join(index.rows().withColumnRenamed("keep_id", "seen_id").hint("merge"), "digest").select("digest", "seen_id")
-    known = written(known, "known")
-    index.append(fresh)
-    entries = written(groups.join(known, "digest", "left").select("digest", F.coalesce("seen_id", "keep_id").alias("keep_id"), "group_size", F.col("seen_id").isNull().alias("is_new")), "entries")
-    forget(groups, fresh, known)
-    each = digests.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
-    return (
-        each.join(entries, "digest")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        .select("doc_id", "keep_id", "group_size", (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
-    )
-
-
-def drop_exact(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    decided = written(exact_dedup(docs, index, id_col, text_col), "decided")
-    keyed = docs.withColumn("__digest", F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)).withColumn("__id", F.col(f"`{id_col}`").cast("long"))
-    rename = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")]
-    per = decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    lost = written(per.filter("NOT kept").select(*rename), "lost")
-    left = without(keyed, lost, ["__id", "__digest"])
-    again = written(per.filter("kept AND n > 1").select(*rename), "again")
-    if not again.isEmpty():
-        on = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])
-        once = left.join(again, on(left, again), "left_semi").dropDuplicates(["__id", "__digest"])
-        left = left.join(again, on(left, again), "left_anti").unionByName(once)
-    return left.drop("__digest", "__id")
+    them their group is one that Spark splits.  The result reads written tables alone, so the index may
+    be closed before it is used."""
+    digests = _digests(docs, id_col, text_col)
+    return _decided(digests, _entries(digests, index, batch), F.col("group_size"))
+
+
+def exact_dedup_batches(docs: DataFrame, index: DigestIndex, parts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`exact_dedup`, but the rows go through the index in ``parts`` batches, those with the
+    largest ids first: so every batch but the first meets an index that is filled, and of equal texts
+    the row with the largest id still stays.  group_size counts the rows of all batches.  Rows without
+    an id come last."""
+    digests = _digests(docs, id_col, text_col)
+    edges = sorted(set(digests.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.01)), reverse=True)
+    low, left, done = F.lit(False), F.lit(True), []
+    for edge in [*edges, None]:
+        own = F.lit(True) if edge is None else F.coalesce(F.col("doc_id") >= F.lit(int(edge)), low)
+        done.append(_entries(digests.filter(left & own), index, None).withColumn("part", F.lit(len(done))))
+        left = left & ~own
+    every = reduce(DataFrame.unionByName, done)
+    # the first batch with a text has decided who stays
+    merged = every.groupBy("digest").agg(F.min_by("keep_id", "part").alias("keep_id"), F.max("is_new").alias("is_new"), F.sum("group_size").alias("group_size"))
+    return _decided(digests, merged, F.col("group_size"))
+
+
+def drop_exact(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever these are
+    called.  Of rows alike in id, and in text but for the case of A-Z, one stays, that of the least
+    text hash."""
+    digests = _digests(docs, id_col, text_col)
+    entries = _entries(digests, index, batch)
+    rows = digests.groupBy("doc_id", "digest", "th").agg(F.count("*").alias("n")).join(entries, "digest")
+    stays = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    rows = written(rows.select("doc_id", "digest", "th", "n", stays.alias("stays")), "exact-rows")
+    first = rows.filter("stays").groupBy("digest").agg(F.min("th").alias("first"))
+    verdict = rows.join(first, "digest", "left").select("doc_id", "th", "n", (F.col("stays") & (F.col("th") == F.col("first"))).alias("keep"))
+    verdict = written(verdict.withColumn("keep", F.coalesce("keep", F.lit(False))), "exact-verdict")
+    forget(digests, entries, rows)
+    return keep_rows(docs, verdict, id_col, text_col, once=True)
 
 
 SQL = """
@@ -94,5 +184,11 @@ FROM d WINDOW g AS (PARTITION BY h)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents through a fresh index."""
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), DigestIndex(spark))
+    """Every row of documents through a fresh index, in three batches; nulls, repeated rows and empty
+    tables as in :func:`exact_dedup`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = DigestIndex(spark, buckets=max(8, docs.count() // ROWS_A_BUCKET))
+    try:
+        return exact_dedup_batches(docs, index)
+    finally:
+        index.close(delete=True)
