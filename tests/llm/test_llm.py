@@ -27,6 +27,12 @@ def edge(spark):
     return spark.createDataFrame([(*r, "l", "n", "i", 1, 2) for r in rows], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def clash(edge):
+    """The same with the names that operators give columns of their own."""
+    return edge.withColumns({c: F.lit(c) for c in ("copies", "copy_no", "__id", "__digest", "row_id", "row_text", "row_count", "th", "keep", "kept", "node", "Block", "nr")})
+
+
 @pytest.fixture(scope="module")
 def empty(edge):
     return edge.limit(0)
@@ -101,8 +107,38 @@ def test_lm_like_brute_force(spark, documents, edge):
         got = lm.lm_scores(df, lm.HELD).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
         assert {r.train_tokens for r in got} == {n}
-        joined = {(r.doc_id, r.n_tokens): r.score for r in lm.lm_scores(df, lm.HELD, filter_bytes=0).collect()}
-        assert all(abs(joined[(r.doc_id, r.n_tokens)] - r.score) <= 0.08 * abs(r.score) + 0.5 for r in got)  # false positives of the filter
+        assert quantised_like_brute_force(docs, held, n, v, lm.lm_scores(df, lm.HELD, bits=64).collect()) == 0  # too many bits for a false hit
+        assert quantised_like_brute_force(docs, held, n, v, got) < 0.02
+
+
+def quantised_like_brute_force(docs, held, n, v, got):
+    """How far scores are off those of exact counts, brought to their quantum, over all tokens."""
+    counts = Counter()
+    for i, t in docs:
+        if not held[i]:
+            w = lm.tokens_of(t)
+            counts.update(w)
+            counts.update(zip([lm.END, *w], w))
+    middle = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    want, tokens_ = [], 0
+    for i, t in docs:
+        w, total = lm.tokens_of(t), 0.0
+        for past, word in zip([lm.END, *w], w):
+            single = (middle(counts[word]) + 1) / (n + v + 1)
+            both = middle(counts[past, word]) / middle(counts[past]) if counts[past] else 0
+            total += math.log10(0.4 * min(1.0, both) + 0.6 * single if counts[past] else single)
+        tokens_ += len(w)
+        want.append((str(i), len(w), round(total, 6)))
+    off = [abs(a[2] - b[2]) for a, b in zip(sorted(want), sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got))]
+    return sum(x for x in off if x > 1e-5) / tokens_
+
+
+def test_lm_blocks_and_segments(documents, monkeypatch):
+    """Many small segments give what few large ones do."""
+    want = {r.doc_id: (round(r.base_score, 6), round(r.score, 6)) for r in lm.lm_scores(documents, lm.HELD, bits=64).collect()}
+    monkeypatch.setattr(lm, "SEGMENT", 3000)
+    got = lm.lm_scores(documents.repartition(7), lm.HELD, bits=64).collect()
+    assert {r.doc_id: (round(r.base_score, 6), round(r.score, 6)) for r in got} == want
 
 
 def test_lm_edges(empty):
@@ -119,7 +155,7 @@ def test_filter_counts():
     h = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
     c = rng.integers(1, 3000, len(h))
     bits, m = lm.build_segment(h, c)
-    f = lm.Filter(bits, np.array([0]), np.array([m], np.uint64))
+    f = lm.Filter(bits, m)
     q = f.levels(h)
     assert (q >= lm.level_of(c)).all() and (q == lm.level_of(c)).mean() > 0.95  # never too low
     assert (f.levels(rng.integers(2**63, 2**64 - 1, 4000, dtype=np.uint64)) == 0).mean() > 0.95
@@ -148,10 +184,38 @@ def brute_substring(docs, window):
     return sorted(out)
 
 
+def brute_longest(docs, window):
+    """The longest of window, 2 window, ... of which a window stands under another id too."""
+    split = [(common.NULL_ID if i is None else i, (t or "").encode().split()) for i, t in docs]
+    best, length = [0] * len(docs), window
+    while any(len(w) >= length for _, w in split):
+        of = {}
+        for i, w in split:
+            for s in range(len(w) - length + 1):
+                of.setdefault(tuple(w[s : s + length]), set()).add(i)
+        for n, (_, w) in enumerate(split):
+            if any(len(of[tuple(w[s : s + length])]) > 1 for s in range(len(w) - length + 1)):
+                best[n] = length
+        length *= 2
+    return Counter((str(i), len((t or "").split()), b) for (i, t), b in zip(docs, best))
+
+
 def test_substring_like_brute_force(documents, edge):
     for df, window in ((documents, 50), (edge, 50), (edge, 8), (documents, 6)):
         got = substring.remove_repeats(df, window).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substring(pairs(df), window)
+        if window >= 50 or df is edge:
+            assert Counter((str(r.doc_id), r.n_words, r.longest) for r in got if r.longest) == Counter({k: n for k, n in brute_longest([(i, (t or "").strip()) for i, t in pairs(df)], window).items() if k[2]})
+
+
+def test_rows_that_repeat(spark):
+    """Many rows alike in id and text, with and without an id, are compared as one."""
+    rows = [(5, LONG)] * 40 + [(None, LONG + " x")] * 40 + [(4, "head " + LONG), (6, "other " * 90)] + [(6, "other " * 90)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring.remove_repeats(df).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substring(rows, 50)
+    got = bytespan.remove_strings(df).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_strings(rows, 200)
 
 
 def test_substring_by_join(documents, monkeypatch):
@@ -210,12 +274,26 @@ def test_mix(spark, documents, edge, empty):
     skew = spark.createDataFrame([(i, "w " * (i % 7), "big" if i % 3 else f"s{i % 60}", *"lni", 1, 2) for i in range(900)], SCHEMA)
     check_mix(skew)
     assert mixing.mix_sources(empty).count() == 0
+    counted = [r.copies for r in mixing.mix_sources(documents, seed=3).collect()]
+    assert all(x in (math.floor(q), math.ceil(q)) for x, q in zip(counted, [r.target / r.source_size for r in mixing.mix_sources(documents, seed=3).collect()]))
     rows = mixing.mix_rows(documents)
     assert set(rows.columns) == {*documents.columns, "copies"} and rows.count() == sum(r.copies > 0 for r in mixing.mix_sources(documents).collect())
-    twice = mixing.mix_sources(edge).groupBy("doc_id", "key").agg(F.sum("copies").alias("c")).filter("c > 0")
+    twice = mixing.mix_sources(edge).groupBy("doc_id", "th").agg(F.sum("copies").alias("c")).filter("c > 0")
     assert mixing.mix_rows(edge).agg(F.sum("copies")).first()[0] == twice.agg(F.sum("c")).first()[0]
 
 
+def test_mix_is_unbiased(spark):
+    """Over many offsets a document's copies come out at its expected number."""
+    df = spark.createDataFrame([(i, "w " * (1 + i % 9), "ab"[i % 4 == 0]) for i in range(60)], "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id, r.copies, r.target / r.source_size) for r in mixing.mix_sources(df, seed=s).collect()) for s in range(24)]
+    for k in range(60):
+        mean, expected = np.mean([r[k][1] for r in runs]), runs[0][k][2]
+        assert abs(mean - expected) < 0.45
+    assert abs(np.mean([[x[1] - x[2] for x in r] for r in runs])) < 0.05
+    with pytest.raises(ValueError):
+        mixing.mix_rows(df.withColumn("Copies", F.lit(1)))
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -239,6 +317,18 @@ def test_tokens_like_brute_force(documents, edge, empty):
     assert tokens.context_limits(tokens.token_lengths(empty)).count() == 0
 
 
+def test_tokens_long_white_space(spark):
+    """Runs beyond the pattern's stack, and, at a lower limit, the tokens of the whole text."""
+    encode = tokens.encoder(open(tokens.RANKS, "rb").read())
+    rows = [(1, "a" + " " * 3_000_000 + "b"), (2, " " * 1_000_000), (3, "\n" * 5000 + "x" + "\t" * 5000), (4, None)]
+    got = {r.doc_id: r.n_tokens for r in tokens.token_lengths(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 3_000_001, 2: 1_000_000, 3: len(encode.encode_ordinary(rows[2][1])), 4: 0}
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b1", " ", "  ", "\n", "\t", "    ", "é", "'s", "!?", "\x1c", "\u2003", "\u200b"], rng.integers(0, 14)))
+        assert tokens.encoded_length(encode, text, 3) == len(encode.encode_ordinary(text))
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -284,7 +374,25 @@ def test_strings_like_brute_force(documents, edge, monkeypatch, hot):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_strings(pairs(df), window)
 
 
-def test_strings_edges(empty):
+@pytest.mark.parametrize("window", [254, 255, 256, 301, 600, 2048])
+def test_windows_of_any_length(window):
+    """Common prefixes beyond 255 symbols count too."""
+    rng = np.random.default_rng(window)
+    shared = rng.integers(0, 256, window + 40, dtype=np.uint8).tobytes()
+    parts = [rng.bytes(30) + shared + rng.bytes(50), shared + rng.bytes(20), rng.bytes(window + 100)]
+    for got, begin in zip(bytespan.repeats_in(parts, window), (30, 0, None)):
+        assert got.tolist() == ([] if begin is None else list(range(begin, begin + 41)))
+
+
+def test_strings_edges(spark, empty):
+    long = " ".join(f"n{i * i}" for i in range(500))
+    rows = [(1, "a " + long), (2, long[:2400] + " z"), (3, long[5:1000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (301, 1024):
+        got = bytespan.remove_strings(df, window).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_strings(rows, window)
+    with pytest.raises(ValueError):
+        bytespan.remove_strings(df, 20)
     assert bytespan.remove_strings(empty).count() == 0
 
 
@@ -309,14 +417,15 @@ def brute_contamination(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 200])
-def test_contamination_like_brute_force(spark, documents, edge, sf_dir, block):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_contamination_like_brute_force(spark, documents, edge, sf_dir, most):
+    """By broadcasts, and without any."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
     extra = [("x1", "one two"), ("x2", None), ("x3", " !! "), (None, "Word0X0, word1x1"), ("x1", "one two"), ("x4", " ".join(LONG.split()[30:55])), ("x5", " ".join(LONG.split()[40:50]))]
     bench = bench.unionByName(spark.createDataFrame(extra, "item_id string, text string"))
     items = [(r.item_id, r.text) for r in bench.collect()]
     for df in (edge, documents):
-        got = decontaminate.contamination(df, bench, block_bytes=block).collect()
+        got = decontaminate.contamination(df, bench, broadcast_rows=most).collect()
         assert sorted((str(r.doc_id), r.n_words, r.hits, r.items) for r in got) == brute_contamination(pairs(df), items)
 
 
@@ -325,7 +434,9 @@ def test_contamination_edges(spark, edge, empty):
     assert all(r.hits == [] for r in decontaminate.contamination(edge, none).collect())
     assert decontaminate.contamination(empty, none).count() == 0
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
-    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(edge, bench).collect()).count("3") == 0
+    kept = decontaminate.drop_contaminated(edge, bench).collect()
+    ids = sorted(str(r.doc_id) for r in kept)
+    assert ids.count("3") == 0 and ids.count("None") == 1 and [r.text for r in kept if r.doc_id is None] == [None]
 
 
 # ---------------------------------------------------------------- 7
@@ -389,7 +500,13 @@ def test_leaves_lose_no_link(spark, cap):
 def test_simhash_edges(empty, edge):
     assert simhash.simhash_groups(empty).count() == 0
     kept = [r.doc_id for r in simhash.drop_near(edge).collect()]
-    assert 4 in kept and 5 not in kept and 10 not in kept and kept.count(1) == 1 and 2 not in kept
+    assert 4 in kept and 5 not in kept and 10 not in kept and kept.count(1) == 1 and 2 not in kept and kept.count(3) == 1 and None not in kept
+
+
+def test_near_without_ids(spark):
+    rows = [(None, "unique words that stand for themselves here"), (None, LONG), (3, LONG), (None, "a b c d e f g"), (None, "a b c d e f g"), (9, "same id one text of some words"), (9, "same id another text of other words")]
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in {*rows} - {(None, LONG)})
 
 
 def model_shingles(text):
@@ -441,15 +558,50 @@ def test_quality_edges(spark, edge, empty):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
+def test_quality_without_ids(spark):
+    """Rows without an id stand or fall by their own text."""
+    good = " ".join(f"The {w} house stands by the river, and people walk there." for w in "old new big small red".split())
+    bad = "$$ buy now!!! 1111 CLICK xx " * 12
+    rows = [(i, good.replace("house", f"house{i}")) for i in range(40)] + [(100 + i, bad + str(i)) for i in range(40)] + [(None, good), (None, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i is not None], "doc_id long, quality int")
+    kept = [r.text for r in quality.drop_poor(docs, labels).collect() if r.doc_id is None]
+    assert kept == [good]
+
+
+def test_quality_words_and_vectors(documents, monkeypatch):
+    """The frequent words, and the context vectors of all words, against counting pair by pair."""
+    texts = [t for _, t in pairs(documents)][:60]
+    some = documents.filter(F.col("text").isin(texts))
+    texts = [t for _, t in pairs(some)]
+    split = [[w.lower() if quality._CAPITAL.match(w) else w for w in quality._TOKEN.findall((t or "").encode())] for t in texts]
+    digest = quality.xxhash.xxh64_intdigest
+    count = Counter(digest(w) for ws in split for w in ws)
+    vocabulary = quality.frequent_words(some, 50)
+    assert vocabulary.tolist() == sorted(sorted(count, key=lambda h: (-count[h], h - (1 << 64) * (h >> 63)))[:50])
+    size = quality.SLOTS + 50
+    row = lambda w: quality.SLOTS + int(np.searchsorted(vocabulary, digest(w))) if digest(w) in set(vocabulary.tolist()) else digest(w) % quality.SLOTS
+    own, want = quality._index_vectors(size), np.zeros((size, quality.DIM))
+    for ws in split:
+        at = [row(w) for w in ws]
+        for i in range(len(at)):
+            for j in range(max(0, i - 2), min(len(at), i + 3)):
+                if i != j:
+                    want[at[i]] += own[at[j]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.word_vectors(some, vocabulary), want, atol=1e-5)
+
+
 def test_quality_features():
     """The mean of what is alike in neighbours' index vectors, word by word, not only of repeats."""
     texts = ["the quick brown fox, the THE quick quick", None, "", "one", "5 5 6 and more words of all kinds"]
-    own = quality._index_vectors()
+    vocabulary = np.sort(np.array([quality.xxhash.xxh64_intdigest(w) for w in (b"the", b"quick")], np.uint64))
+    own = quality._index_vectors(quality.SLOTS + 2)
     assert own.shape[1] == 32 and (abs(own).sum(axis=1) == 4).all()
     vectors = np.random.default_rng(1).normal(size=own.shape).astype(np.float32)
-    got = quality.features(texts, quality.pooling_table(vectors), quality._index_masks())
+    got = quality.features(texts, quality.pooling_table(vectors), vocabulary)
     for text, x in zip(texts, got):
-        slot = quality._slotted([text])[0]
+        slot = quality._slotted([text], vocabulary)[0]
         if not len(slot):
             assert not x.any()
             continue
@@ -458,6 +610,23 @@ def test_quality_features():
         assert np.allclose(x, [*mean, *squares, self_like, alike, np.linalg.norm(mean), np.log1p(len(slot))], atol=1e-4)
 
 
+def test_calibration():
+    """Probabilities mean what they say, on rows that neither weights nor temperature saw; without the
+    temperature they are too sure."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, quality.N_FEATURES))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-2 * x[:, 0] - x[:, 1]))).astype(float)
+    net = quality.fit(x[:800], y[:800])
+
+    def error(score):
+        bins = np.minimum((score * 10).astype(int), 9)
+        return sum(abs(score[bins == b].mean() - y[800:][bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+
+    calibrated = error(net.score(x[800:]))
+    net.temperature = 1.0
+    assert calibrated < 0.12 and calibrated < error(net.score(x[800:]))
+
+
 def test_temperature_and_training():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, quality.N_FEATURES))
@@ -496,16 +665,77 @@ def test_pii_like_brute_force(spark, documents, edge):
         assert got == Counter((i, ",".join(brute_pii(t))) for i, t in pairs(df))
 
 
+def brute_revealing(texts, generalise):
+    """(text, term) -> disclosure, from the definition: everything counted in distinct texts."""
+    texts = sorted(set(texts))
+    found = [brute_entities(t) for t in texts]
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]+", t)} for t in texts]
+    n, out = len(texts), {}
+    c_e = Counter(e for f in found for e in f)
+    c_t = Counter(w for ws in words for w in ws)
+    c_et = Counter((e, w) for f, ws in zip(found, words) for e in f for w in ws)
+    near = {(e, w) for f in found for e, ws in f.items() for w in ws}
+    for t, f, ws in zip(texts, found, words):
+        for e in f:
+            for w in ws:
+                seen = c_et[e, w] if (e, w) in near else c_et[e, w] - 1
+                own = math.log2(n / c_e[e])
+                d = math.log2((seen + 3 * c_e[e] / n) / (c_t[w] + 3) * n / c_e[e]) / own if seen > 0 and own > 0 else 0
+                if d >= generalise:
+                    out[t, w] = max(out.get((t, w), 0), d)
+    return out
+
+
+def brute_entities(text):
+    """entity -> words near it."""
+    out = {}
+    for s in brute_pii(text):
+        kind, a, b = s.split(":")
+        a, b = int(a), int(b)
+        value = text[a:b]
+        name = kind + ":" + (value.lower() if kind == "email" else re.sub("[ ()-]", "", value))
+        letters = r"[^\W\d_]+"
+        left = re.sub(f"{letters}$", "", text[max(0, a - 60) : a])
+        left = re.sub(f"^{letters}", "", left) if a > 60 else left
+        right = re.sub(f"^{letters}", "", text[b : b + 60])
+        right = re.sub(f"{letters}$", "", right) if len(text) > b + 60 else right
+        out.setdefault(name, set()).update(w.lower() for w in re.findall(letters, left + " " + right))
+    return out
+
+
 def test_revealing_terms(spark):
-    rows = [(i, f"filler word{i} quiet, Smithers writes to jo@x.org about it. More text {i} here") for i in range(6)]
-    rows += [(100 + i, f"noise words {i} more of the text here, it writes to and about filler quiet") for i in range(80)]
-    rows += [(200 + i, "Smytherson asks al@y.org now") for i in range(9)]  # copies are one context
+    rows = [(i, f"filler word{i} quiet, Smithers writes to jo@x.org about it. More text {i} here" + " and so on" * 20 + " signed Doe") for i in range(6)]
+    rows += [(100 + i, f"noise words {i} more of the text here, it writes to and about filler quiet and so on") for i in range(80)]
+    rows += [(200 + i, "Smytherson asks al@y.org now") for i in range(9)]  # copies are one text
+    rows += [(300, "UNO and jo@x.org and +1 555 123 4567 or 10.1.2.3, 10.1.2.3"), (301, "Smithers alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    want = brute_revealing([t for _, t in rows], pii.GENERALISE)
+    for i, text in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_pii(text)]
+        spans = [(m.start(), m.end(), "remove" if want[text, m[0].lower()] >= pii.REMOVE else "generalise") for m in re.finditer(r"[^\W\d_]+", text) if (text, m[0].lower()) in want]
+        assert [(t.start, t.end, t.action) for t in got[i].terms] == [s for s in spans if not any(a < s[1] and s[0] < b for a, b in base)], i
     text = rows[0][1]
     named = [text[t.start : t.end] for t in got[0].terms]
-    assert "Smithers" in named and "writes" not in named and "Smithers" not in got[0].text and "[EMAIL]" in got[0].text
-    assert got[100].terms == [] and got[100].text is None and got[200].terms == [] and got[200].text == "Smytherson asks [EMAIL] now"
+    assert {"Smithers", "Doe"} <= set(named) and "writes" not in named and "Smithers" not in got[0].text and "Doe" not in got[0].text and "[EMAIL]" in got[0].text  # Doe is far from it
+    assert got[100].terms == [] and got[100].text is None and got[301].terms == []  # without the entity nothing goes
+    assert "Smytherson" not in got[200].text and got[200].text.endswith(" [EMAIL] now".replace("now", got[200].text.split()[-1]))
+    assert {got[200 + i].text for i in range(9)} == {got[200].text}
+
+
+def test_generalised_classes(spark):
+    classes = spark.createDataFrame([("Jo",), ("NASA",), ("word",), ("Ünal",), ("A",)], "w string").select(pii._class(F.col("w")).alias("c"))
+    assert [r.c for r in classes.collect()] == ["[NAME]", "[ACRONYM]", "[WORD]", "[NAME]", "[NAME]"]
+
+
+def test_pii_digests(spark, sf_dir, documents):
+    """What the query makes of the spans."""
+    got = {r.doc_id: r for r in pii.op9_pii(spark, sf_dir).collect()}
+    for i, t in pairs(documents):
+        spans = brute_pii(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [s for s in got[i].spans.split(",") if s and not s.startswith("term")] == spans
+        assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(s.startswith(k) for s in spans) for k in BASE)
 
 
 def test_pii_edges(empty, edge):
@@ -535,13 +765,72 @@ def test_exact_index(spark, edge, empty):
     reopened = exact.DigestIndex(spark, index.location, 4)
     assert reopened.rows().count() == len(groups) + 1
     plan = index.new(reopened.rows())._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan  # bucketed and sorted: read as it lies
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # bucketed: read as it lies
     assert exact.exact_dedup(empty, index).count() == 0
-    kept = exact.drop_exact(edge, exact.DigestIndex(spark, buckets=4))
+    index.compact()
+    assert len(index.batches()) == 1 and index.rows().count() == len(groups) + 1
+    plan = index.new(index.rows())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    third = {r.doc_id: r.kept for r in exact.exact_dedup(spark.createDataFrame([(60, "BRAND new"), (61, "yet another")], "doc_id long, text string"), index).collect()}
+    assert third == {60: False, 61: True}
+    with exact.DigestIndex(spark, buckets=4) as other:
+        kept = exact.drop_exact(edge, other)
     assert kept.columns == edge.columns and kept.count() == len(groups)
+    reopened.close()
     index.close(delete=True)
 
 
+def test_exact_batches(spark, documents, edge, empty):
+    """In several batches, the larger ids first, the rows are those of one."""
+    for df in (documents, edge, empty):
+        with exact.DigestIndex(spark, buckets=4) as one, exact.DigestIndex(spark, buckets=4) as many:
+            want, got = exact.exact_dedup(df, one), exact.exact_dedup_batches(df, many, 4)
+            assert Counter(got.collect()) == Counter(want.collect())
+            assert len(many.batches()) > 1 or df is empty
+            assert many.rows().count() == one.rows().count()
+
+
+def test_exact_retry(spark, monkeypatch):
+    """A batch whose caller died, before the commit or after it, keeps its texts when it is tried again."""
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "B"), (None, "c")], "doc_id long, text string")
+    want = [(1, True), (2, False), (3, True), (None, True)]
+    order = lambda got: sorted(((r.doc_id, r.kept) for r in got), key=lambda x: (x[0] is None, x[0] or 0))
+    index = exact.DigestIndex(spark, buckets=2)
+    exact.exact_dedup(rows, index)  # the result is never used
+    assert order(exact.exact_dedup(rows, index).collect()) == want
+    commit = exact.DigestIndex.commit
+    fresh = spark.createDataFrame([(7, "d"), (8, "a")], "doc_id long, text string")
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(exact.DigestIndex, "commit", die)
+    with pytest.raises(KeyboardInterrupt):
+        exact.exact_dedup(fresh, index, batch="two")
+    monkeypatch.setattr(exact.DigestIndex, "commit", commit)
+    for _ in range(2):
+        assert order(exact.exact_dedup(fresh, index, batch="two").collect()) == [(7, True), (8, False)]
+    assert order(exact.exact_dedup(fresh, index, batch="three").collect()) == [(7, False), (8, False)]
+    index.close(delete=True)
+
+
+def test_nothing_is_left_behind(spark, sf_dir):
+    """The query's index is gone from catalog and folder; a block deletes its operators' tables."""
+    before = {t.name for t in spark.catalog.listTables()}
+    exact.op10_exact_dedup(spark, sf_dir).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    known = set(common._TABLES)
+    with common.tidy(spark) as keep:
+        inner = common.written(spark.range(3), "gone")
+        stays = common.written(spark.range(3), "stays")
+        keep(stays)
+    assert set(common._TABLES) - known == {stays.table_path} and stays.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|find"):
+        inner.count()
+    common.forget(stays)
+    assert set(common._TABLES) == known
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
@@ -563,8 +852,9 @@ def test_pipeline_stages(spark, sf_dir, documents):
         last[t.lower()] = i
     assert {r.doc_id for r in exact_.collect()} == set(last.values())
     docs = pairs(exact_)
-    fp = [model_fingerprint(t) for _, t in docs]
-    at = brute_components(len(fp), [(a, b) for a in range(len(fp)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 2])
+    sets = [model_shingles(t) for _, t in docs]
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    at = brute_components(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if alike(sets[a], sets[b])])
     least = {}
     for (i, _), c in zip(docs, at):
         least[c] = min(least.get(c, i), i)
@@ -575,11 +865,63 @@ def test_pipeline_stages(spark, sf_dir, documents):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter(want)
 
 
-def test_pipeline_edges(spark, edge, empty, tmp_path):
-    import corpus_pipeline as cp
-
+@pytest.fixture
+def side_tables(spark, tmp_path):
     spark.createDataFrame([(4, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None), (2, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for df in (edge, empty):
-        for _, stage in cp.STAGES:
-            assert stage(spark, df, str(tmp_path)).count() <= 3 * df.count()
+    return str(tmp_path)
+
+
+def test_pipeline_edges(spark, edge, clash, empty, side_tables):
+    import corpus_pipeline as cp
+
+    for df in (edge, clash, empty):
+        for name, stage in cp.STAGES:
+            out = stage(spark, df, side_tables)
+            assert out.count() <= 3 * df.count()
+            if name != cp.STAGES[-1][0]:
+                assert out.columns == df.columns and out.exceptAll(df).count() == 0
+    mixed = cp.STAGES[-1][1](spark, clash, side_tables)
+    assert mixed.columns == [*clash.columns, "copy_no_"] and {r.copies for r in mixed.collect()} == {"copies"} and mixed.filter("copy_no <> 'copy_no'").count() == 0
+
+
+def test_pipeline_keeps_rows_without_ids(spark, side_tables):
+    """A row without an id isn't lost with another one that goes."""
+    import corpus_pipeline as cp
+
+    clean, hit = " ".join(f"clean{i}" for i in range(30)), "one two"
+    df = spark.createDataFrame([(None, clean, "a"), (None, hit, "a"), (1, hit, "a"), (2, LONG, "b"), (None, LONG, "b")], "doc_id long, text string, source string")
+    stage = dict(cp.STAGES)
+    left = lambda name: Counter((r.doc_id, r.text) for r in stage[name](spark, df, side_tables).collect())
+    assert left("exact dedup") == Counter([(None, clean), (1, hit), (2, LONG)]) == left("near dedup")
+    assert left("decontamination") == Counter([(None, clean), (2, LONG), (None, LONG)])
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    class C:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class N:
+                                @staticmethod
+                                def isDefined():
+                                    return False
+
+                            return N
+
+                    return C
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
