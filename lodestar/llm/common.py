@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -46,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _TABLES.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -67,6 +68,13 @@ def forget(*tables: DataFrame) -> None:
         _delete(df.sparkSession, [df.table_path] if "table_path" in vars(df) else [])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that no DataFrame refers to any more: its cleaner acts when
+    the driver's JVM collects garbage, which a driver with little to do puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def tidy(spark: SparkSession):
     """Deletes, at its end, the tables that operators have written within it and not yet deleted.  An

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, mix, spread, written
+from .common import chunks, give_back, mix, release, spread, written
 
 END = b"\n"  # no word holds one
 PROBES = 6  # hash functions of one membership
@@ -130,22 +130,24 @@ def prob(pair, past, word, n: float, v: float):
     return np.where(past > 0, LAMBDA * both + (1 - LAMBDA) * single, single)
 
 
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
 def _in_blocks(batches):
-    """Rows with the block of text they belong to and their number."""
-    part, nth, nr = TaskContext.get().partitionId(), 0, 0
+    """block, size (bytes of text), rows: a block's doc_id, held and text, packed, in one row."""
+    part, nth = TaskContext.get().partitionId(), 0
     for b in batches:
         for c in chunks(b, 2, BLOCK):
-            k = c.num_rows
-            size = pc.binary_length(c.column(2)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, (part << 32) | nth)), pa.array(np.arange(nr, nr + k)), c.column(0), c.column(1), size, c.column(2)], ["block", "nr", "doc_id", "held", "size", "text"])
-            nth, nr = nth + 1, nr + k
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, c.schema, options=_ZSTD) as out:
+                out.write_batch(c)
+            size = pc.sum(pc.binary_length(c.column(2)).cast(pa.int64())).as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | nth]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "rows"])
+            nth += 1
 
 
-def _pieces(b: pa.RecordBatch):
-    """Slices of consecutive rows of one block: whole blocks, unless a batch's end cuts one."""
-    block = b.column(0).to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
-    return (b.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if y > x)
+def _unpacked(rows: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
 class Grams:
@@ -165,14 +167,15 @@ class Grams:
 
 
 def _ask(n: int):
-    """seg, block, first, pairs, pair_counts, words, sizes, word_counts: what a piece of a block (named by
-    its first row) asks each segment, and how often its training texts have it."""
+    """seg, block, pairs, pair_counts, words, sizes, word_counts: what a block asks each segment, and how
+    often its training texts have it."""
 
     def run(batches):
         for b in batches:
-            for c in _pieces(b):
-                g = Grams(c.column(3), n)
-                train = np.repeat(~c.column(2).to_numpy(zero_copy_only=False).astype(bool), g.length)
+            for block, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                c = _unpacked(packed)
+                g = Grams(c.column(2), n)
+                train = np.repeat(~c.column(1).to_numpy(zero_copy_only=False).astype(bool), g.length)
                 word_counts = np.bincount(g.token, train, len(g.words)).astype(np.int32)
                 pair_counts = np.bincount(g.pair, train, len(g.pairs)).astype(np.int32)
                 ws, ps = g.word_seg[g.word_order], g.pair_seg[g.pair_order]
@@ -183,37 +186,42 @@ def _ask(n: int):
                 cols = [[] for _ in range(5)]
                 for i in range(len(segs)):
                     own, lo, hi = g.word_order[edges[0][i] : edges[0][i + 1]], edges[1][i], edges[1][i + 1]
-                    for col, x in zip(cols, (keys[lo:hi].tobytes(), pair_counts[lo:hi].tobytes(), *_packed(g.words, own), word_counts[own].tobytes())):
+                    for col, x in zip(cols, (_planes(keys[lo:hi]), _planes(pair_counts[lo:hi]), *_packed(g.words, own), _planes(word_counts[own]))):
                         col.append(x)
                 k = len(segs)
-                yield pa.RecordBatch.from_arrays([pa.array(segs), pa.array(np.full(k, c.column(0)[0].as_py())), pa.array(np.full(k, c.column(1)[0].as_py())), *(pa.array(x, pa.binary()) for x in cols)], ["seg", "block", "first", "pairs", "pair_counts", "words", "sizes", "word_counts"])
-            give_back()
+                yield pa.RecordBatch.from_arrays([pa.array(segs), pa.array(np.full(k, block)), *(pa.array(x, pa.binary()) for x in cols)], ["seg", "block", "pairs", "pair_counts", "words", "sizes", "word_counts"])
+                give_back()
 
     return run
 
 
 def _short(pairs: np.ndarray) -> np.ndarray:
-    """KEY bytes of each pair's hash: within a segment, whose size is bounded, two pairs have the same
-    with a chance of some 4 in a million, far below the filter's own error."""
-    return (pairs >> np.uint64(1)).view(np.uint8).reshape(-1, 8)[:, :KEY]
+    """The upper KEY bytes of each pair's hash, by column: within a segment, whose size is bounded, two
+    pairs have the same with a chance of some 4 in a million, far below the filter's own error."""
+    return (pairs >> np.uint64(64 - 8 * KEY)).view(np.uint8).reshape(-1, 8)[:, :KEY]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes, first the lowest byte of all, then the next: what is alike stands together, which
+    is what compression of shuffles needs."""
+    return (x if x.ndim == 2 else np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)).T.tobytes()
 
 
 def _joined(column: pa.ChunkedArray, kind, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in all values of a binary column, one behind the other, and how many each has."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
-    width = width or np.dtype(kind).itemsize
-    size = np.array([len(x) // width for x in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-    if width != np.dtype(kind).itemsize:
-        wide = np.zeros((len(flat) // width, np.dtype(kind).itemsize), np.uint8)
-        wide[:, :width] = flat.reshape(-1, width)
-        flat = wide.ravel()
-    return flat.view(kind), size
+    """The numbers in all values of a column of planes, one behind the other, and how many each has."""
+    full = np.dtype(kind).itemsize
+    width = width or full
+    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1) for x in column]
+    size = np.array([p.shape[1] for p in parts], np.int64)
+    out = np.zeros((int(size.sum()), full), np.uint8)
+    for p, end in zip(parts, np.cumsum(size).tolist()):
+        out[end - p.shape[1] : end, :width] = p.T
+    return out.view(kind).ravel(), size
 
 
 def _answer(each: float):
     """Builds a segment of the filter from the training counts of all blocks, probes it for what they ask,
-    and counts the words exactly.  block, first, seg, pair_levels, word_levels, word_counts; one row of
+    and counts the words exactly.  block, seg, pair_levels, word_levels, word_counts; one row of
     block -1 has the segment's distinct training words (v) and training tokens (n)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -237,12 +245,11 @@ def _answer(each: float):
         pair_levels, word_levels = model.levels(pairs)[at], model.levels(words)[token]
         exact_each = exact[token]
         p, w = np.cumsum(many), np.cumsum(words_each)
-        cut = lambda x, ends: [x[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        cut = lambda x, ends: [_planes(x[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         rows = table.num_rows
         none = pa.array([b""], pa.binary())
         made = pa.table({
             "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([-1])]) if rows else pa.array([-1]),
-            "first": pa.concat_arrays([table.column("first").combine_chunks(), pa.array([0])]),
             "seg": pa.concat_arrays([table.column("seg").combine_chunks(), table.column("seg")[:1].combine_chunks()]),
             "pair_levels": pa.concat_arrays([pa.array(cut(pair_levels, p), pa.binary()), none]),
             "word_levels": pa.concat_arrays([pa.array(cut(word_levels, w), pa.binary()), none]),
@@ -260,33 +267,23 @@ def _finish(segments: int, n: int, v: int):
     """Scores a block's rows from the segments' answers."""
     size = float(n + v + 1)
 
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = rows.sort_by("nr").combine_chunks()
-        answers = answers.sort_by([("first", "ascending"), ("seg", "ascending")])
-        nr, first = rows.column("nr").to_numpy(), answers.column("first").to_numpy()
-        starts = np.unique(first)
-        edges = np.append(np.searchsorted(nr, starts), len(nr)).tolist()
-        made = []
-        for i, start in enumerate(starts):
-            piece = rows.slice(edges[i], edges[i + 1] - edges[i])
-            lo, hi = np.searchsorted(first, start), np.searchsorted(first, start, side="right")
-            own = answers.slice(lo, hi - lo)
-            g = Grams(piece.column("text").combine_chunks(), segments)
-            pair, word, exact = np.zeros(len(g.pairs), np.uint8), np.zeros(len(g.words), np.uint8), np.zeros(len(g.words), np.int64)
-            pair[g.pair_order] = _joined(own.column("pair_levels"), np.uint8)[0]
-            word[g.word_order] = _joined(own.column("word_levels"), np.uint8)[0]
-            exact[g.word_order] = _joined(own.column("word_counts"), np.int64)[0]
-            single, at = count_of(word), np.cumsum(g.length) - g.length
-            past = np.concatenate([g.token[-1:], g.token[:-1]])  # every text ends with END, so this is right at starts
-            p = prob(count_of(pair)[g.pair], single[past], single[g.token], n, v)
-            sums = lambda x: np.add.reduceat(x, at)  # noqa: E731, B023
-            base = sums(np.log10(exact + 1.0)[g.token]) - g.length * np.log10(size)
-            made.append(pa.table({
-                "doc_id": piece.column("doc_id"), "held_out": piece.column("held"), "n_tokens": pa.array(g.length, pa.int64()), "n_known": pa.array(sums((exact > 0)[g.token].astype(np.int64))),
-                "base_score": pa.array(base), "score": pa.array(sums(np.log10(p))),
-            }))
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = _unpacked(block.column("rows")[0]), answers.sort_by("seg")
+        g = Grams(rows.column(2), segments)
+        pair, word, exact = np.zeros(len(g.pairs), np.uint8), np.zeros(len(g.words), np.uint8), np.zeros(len(g.words), np.int64)
+        pair[g.pair_order] = _joined(answers.column("pair_levels"), np.uint8)[0]
+        word[g.word_order] = _joined(answers.column("word_levels"), np.uint8)[0]
+        exact[g.word_order] = _joined(answers.column("word_counts"), np.int64)[0]
+        single, at = count_of(word), np.cumsum(g.length) - g.length
+        past = np.concatenate([g.token[-1:], g.token[:-1]])  # every text ends with END, so this is right at starts
+        p = prob(count_of(pair)[g.pair], single[past], single[g.token], n, v)
+        base = np.add.reduceat(np.log10(exact + 1.0)[g.token], at) - g.length * np.log10(size)
+        known = np.add.reduceat((exact > 0)[g.token].astype(np.int64), at)
         give_back()
-        return pa.concat_tables(made)
+        return pa.table({
+            "doc_id": rows.column(0), "held_out": rows.column(1), "n_tokens": pa.array(g.length, pa.int64()), "n_known": pa.array(known),
+            "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(p), at)),
+        })
 
     return run
 
@@ -306,15 +303,18 @@ def lm_scores(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str
 
     A null text is empty and has the end token alone; repeated rows and null ids are scored like others;
     where nothing is trained on, base_score is 0; an empty table gives no rows."""
+    spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.expr(held), F.lit(False)).alias("held"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = written(spread(src).mapInArrow(_in_blocks, "block long, nr long, doc_id long, held boolean, size long, text string"), "lm-rows")
+    rows = written(spread(src).mapInArrow(_in_blocks, "block long, size long, rows binary"), "lm-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     segments = max(16, -(-total // SEGMENT))
-    asked = rows.select("block", "nr", "held", "text").mapInArrow(_ask(segments), "seg long, block long, first long, pairs binary, pair_counts binary, words binary, sizes binary, word_counts binary")
-    answers = written(asked.groupBy("seg").applyInArrow(_answer(bits), "block long, first long, seg long, pair_levels binary, word_levels binary, word_counts binary, v long, n long"), "lm-answers")
+    asked = rows.select("block", "rows").mapInArrow(_ask(segments), "seg long, block long, pairs binary, pair_counts binary, words binary, sizes binary, word_counts binary")
+    answers = written(asked.groupBy("seg").applyInArrow(_answer(bits), "block long, seg long, pair_levels binary, word_levels binary, word_counts binary, v long, n long"), "lm-answers")
+    del asked
+    release(spark)  # what was asked takes more room than anything else here
     v, n = (x or 0 for x in answers.filter("block = -1").agg(F.sum("v"), F.sum("n")).first())
     own = answers.filter("block >= 0").drop("v", "n")
-    out = rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_finish(segments, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = rows.select("block", "rows").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_finish(segments, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -323,7 +323,7 @@ def _packed(words: pa.BinaryArray, own: np.ndarray) -> tuple[bytes, bytes]:
     picked = words.take(pa.array(own))
     _, offsets, data = picked.buffers()
     at = np.frombuffer(offsets, np.int32, len(own) + 1, 4 * picked.offset) if len(own) else np.zeros(1, np.int32)
-    return (data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(own) else b""), np.diff(at).astype(np.int32).tobytes()
+    return (data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(own) else b""), _planes(np.diff(at).astype(np.int32))
 
 
 HELD = "crc32(cast(doc_id AS string)) % 7 = 2"
