@@ -176,21 +176,21 @@ def _same(a, b) -> bool:
 
 def to_document(start: int, end: int, shard_start: int, shard_end: int) -> tuple[int, int]:
     if start < 0 or end < 0:
-        raise Failure(UNKNOWN, "Shard span bounds must be non-negative.")
+        raise Failure(UNKNOWN, "a bound is negative")
     if start > end:
-        raise Failure(UNKNOWN, "Shard span must satisfy charStart <= charEnd.")
+        raise Failure(UNKNOWN, "the bounds are out of order")
     if end > shard_end - shard_start:
-        raise Failure(UNKNOWN, "Shard span exceeds shard text bounds.")
+        raise Failure(UNKNOWN, "the span exceeds its shard")
     return shard_start + start, shard_start + end
 
 
 def check_quote(text: str, e: Extraction) -> None:
     if e.offset_mode != "utf16_code_unit":
-        raise Failure(QUOTE, "Only utf16_code_unit offsets are supported.", "UNSUPPORTED_OFFSET_MODE")
+        raise Failure(QUOTE, "offsets of another kind", "UNSUPPORTED_OFFSET_MODE")
     if e.char_start < 0 or e.char_end > js.u16_len(text):
-        raise Failure(QUOTE, "Offsets must be within document bounds.", "OFFSETS_OUT_OF_RANGE")
+        raise Failure(QUOTE, "the offsets leave the document", "OFFSETS_OUT_OF_RANGE")
     if js.u16_slice(text, e.char_start, e.char_end) != e.quote:
-        raise Failure(QUOTE, "Extraction quote does not match the document slice at span.", "QUOTE_MISMATCH")
+        raise Failure(QUOTE, "the document reads otherwise there", "QUOTE_MISMATCH")
 
 
 def ground(raws: list, text: str, shard_start: int, shard_end: int, text_start: int = 0) -> list[Extraction]:

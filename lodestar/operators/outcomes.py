@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import REPAIRABLE
@@ -44,3 +44,26 @@ def pending(shards: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataF
 def cached(shards: DataFrame, checkpoints: DataFrame, keys: list[str]) -> DataFrame:
     """Shards with one, and what it holds; they took no attempt."""
     return shards.join(checkpoints, keys).withColumns({"from_checkpoint": F.lit(True), "attempts": F.lit(0)})
+
+
+def last_attempt(attempts: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Of repeated attempts at one thing the last counts: one comparison a row, no window."""
+    last = F.max_by(F.struct(*values), F.struct(*order))
+    return attempts.groupBy(*keys).agg(last.alias("last")).select(*keys, *(f"last.{v}" for v in values))
+
+
+def first_success(candidates: DataFrame, keys: list[str], position: str, ok) -> DataFrame:
+    """keys, first_ok: the place of the first candidate that succeeds, where one does."""
+    return candidates.groupBy(*keys).agg(F.min(F.when(ok, F.col(position))).alias("first_ok")).filter("first_ok IS NOT NULL")
+
+
+def first_candidates(candidates: DataFrame, keys: list[str], position: str, most: int) -> DataFrame:
+    """The first ``most`` candidates of each thing."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(position))
+    return candidates.withColumn("nth", nth).filter(F.col("nth") <= most)
+
+
+def joined_fragments(fragments: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """keys, joined, n: the fragments of each stream in order, one behind the other."""
+    pieces = F.array_sort(F.collect_list(F.struct(order, text)))
+    return fragments.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x[text]), "").alias("joined"), F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -53,12 +53,22 @@ def shard_documents(docs: DataFrame, program_hash: str, size: int, overlap: int,
 def span_error(start, end, shard_start, shard_end) -> Column:
     """What is wrong with a span within its shard, in order of checking; null if nothing is."""
     return (
-        F.when((start < 0) | (end < 0), "Shard span bounds must be non-negative.")
-        .when(start > end, "Shard span must satisfy charStart <= charEnd.")
-        .when(end > shard_end - shard_start, "Shard span exceeds shard text bounds.")
+        F.when((start < 0) | (end < 0), "a bound is negative")
+        .when(start > end, "the bounds are out of order")
+        .when(end > shard_end - shard_start, "the span exceeds its shard")
     )
 
 
+def occurrences(text, quote) -> Column:
+    """Offsets (UTF-16 units) of every occurrence of a non-empty quote in a text, overlapping ones too: the
+    text is cut in front of each, and the lengths of the pieces are added up."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pieces = F.split(text, F.concat(F.lit("(?="), literal, F.lit(")")))
+    size = F.transform(pieces, T.u16_len)
+    ends = F.transform(F.sequence(F.lit(0), F.size(size) - 1), lambda i: F.aggregate(F.slice(size, F.lit(1), i), F.lit(0), lambda s, x: s + x))
+    return F.when(F.startswith(text, quote), ends).otherwise(F.slice(ends, F.lit(2), F.size(ends)))
+
+
 def quote_error(text, quote, offset_mode, start, end, span_mode, span_start, span_end, length=None, astral=None) -> Column:
     """Code of the first rule that an extraction breaks; null if it stands.  A code column, never a
     filter, so that no rule is evaluated ahead of its turn.  ``length`` (in UTF-16 units) and
@@ -88,6 +98,11 @@ def dedupe(extractions: DataFrame, document: list[str]) -> DataFrame:
     return filled.dropDuplicates([*document, *IDENTITY])
 
 
+def ranked(extractions: DataFrame, document: list[str]) -> DataFrame:
+    """Adds nth: the place of each extraction in its document's order, from 1."""
+    return extractions.withColumn("nth", F.row_number().over(Window.partitionBy(*document).orderBy(*order_columns())))
+
+
 def containing(shards: DataFrame, spans: DataFrame) -> DataFrame:
     """Shards with the spans of their document that lie within them."""
     s, p = shards.alias("s"), spans.alias("p")

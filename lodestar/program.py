@@ -23,8 +23,8 @@ def _need(ok: bool, message: str) -> None:
 
 
 def _filled(label: str, value) -> str:
-    _need(isinstance(value, str), f"{label} must be a string")
-    _need(bool(js.trim(value)), f"{label} must be non-empty")
+    _need(isinstance(value, str), f"{label} is no text")
+    _need(bool(js.trim(value)), f"{label} is empty")
     return js.trim(value)
 
 
@@ -46,11 +46,11 @@ class Program:
 def _examples(given) -> list:
     if given is None:
         return []
-    _need(isinstance(given, list), "examples must be an array")
+    _need(isinstance(given, list), "examples are no list")
     for i, e in enumerate(given):
-        _need(isinstance(e, dict), f"examples[{i}] must be an object")
-        _need(isinstance(e.get("input"), str), f"examples[{i}].input must be a string")
-        _need(isinstance(e.get("output"), list), f"examples[{i}].output must be an array")
+        _need(isinstance(e, dict), f"examples[{i}] is no object")
+        _need(isinstance(e.get("input"), str), f"examples[{i}].input is no text")
+        _need(isinstance(e.get("output"), list), f"examples[{i}].output is no list")
     return given
 
 
@@ -58,19 +58,19 @@ def _classes(given, examples: list) -> list:
     if not given:
         shown = [js.trim(o["extractionClass"]) for e in examples for o in e["output"] if isinstance(o.get("extractionClass"), str) and js.trim(o["extractionClass"])]
         given = [{"name": n, "allowInferred": False} for n in dict.fromkeys(shown)] or [{"name": "extraction", "allowInferred": False}]
-    _need(isinstance(given, list), "classes must contain at least one class")
+    _need(isinstance(given, list), "classes are no list")
     out, names = [], set()
     for i, c in enumerate(given):
-        _need(isinstance(c, dict), f"classes[{i}] must be an object")
+        _need(isinstance(c, dict), f"classes[{i}] is no object")
         name = _filled(f"classes[{i}].name", c.get("name"))
-        _need(name not in names, f"classes contains duplicate name: {name}")
+        _need(name not in names, f"two classes are called {name}")
         names.add(name)
         entry = {"name": name}
         if "attributesSchema" in c:
-            _need(isinstance(c["attributesSchema"], dict), f"classes[{i}].attributesSchema must be an object when provided")
+            _need(isinstance(c["attributesSchema"], dict), f"classes[{i}].attributesSchema is no schema")
             entry["attributesSchema"] = normalize_dialect(c["attributesSchema"])
         if "allowInferred" in c:
-            _need(isinstance(c["allowInferred"], bool), f"classes[{i}].allowInferred must be boolean when provided")
+            _need(isinstance(c["allowInferred"], bool), f"classes[{i}].allowInferred is neither true nor false")
             entry["allowInferred"] = c["allowInferred"]
         out.append(entry)
     return out
@@ -80,17 +80,17 @@ def _constraints(given: dict | None) -> dict:
     given = given or {}
     out = {k: True if given.get(k) is None else given[k] for k in ("requireExactQuote", "forbidOverlap")}
     for k, v in out.items():
-        _need(isinstance(v, bool), f"constraints.{k} must be boolean when provided")
+        _need(isinstance(v, bool), f"constraints.{k} is neither true nor false")
     most = given.get("maxExtractionsPerShard")
     if most is not None:
-        _need(js.is_integer(most) and most > 0, "constraints.maxExtractionsPerShard must be a positive integer when provided")
+        _need(js.is_integer(most) and most > 0, "constraints.maxExtractionsPerShard is no positive count")
         out["maxExtractionsPerShard"] = most
     return out
 
 
 def normalize_program(given: dict) -> Program:
     """Defaults filled in, everything checked, and a hash over what decides the result."""
-    _need(isinstance(given, dict), "program must be an object")
+    _need(isinstance(given, dict), "it is no object")
     instructions = _filled("instructions", given.get("instructions"))
     description = _filled("description", instructions if given.get("description") is None else given["description"])
     examples = _examples(given.get("examples"))
@@ -98,12 +98,12 @@ def normalize_program(given: dict) -> Program:
     declared = {c["name"] for c in classes}
     for i, e in enumerate(examples):
         for o in e["output"]:
-            _need(o.get("extractionClass") in declared, f"examples[{i}] output extractionClass must match a declared class: {o.get('extractionClass')}")
+            _need(o.get("extractionClass") in declared, f"examples[{i}] shows a class that isn't declared: {o.get('extractionClass')}")
     constraints, schema = _constraints(given.get("constraints")), normalize_dialect(given.get("schema"))
     parts = {"instructions": instructions, "description": description, "classes": classes, "constraints": constraints, "examples": examples, "schema": schema}
     own = hashlib.sha256(js.stable(parts).encode("utf-8", "replace")).hexdigest()
     told = given.get("programHash")
-    _need(told is None or isinstance(told, str) and re.fullmatch("[0-9a-f]{64}", told) is not None, "programHash must be a 64-char lowercase hex string when provided")
+    _need(told is None or isinstance(told, str) and re.fullmatch("[0-9a-f]{64}", told) is not None, "programHash is no SHA-256 in lower-case hexadecimal")
     key = told or own
     name = f"program-{key[:16]}" if given.get("programId") is None else _filled("programId", given["programId"])
     return Program(name, description, classes, constraints, instructions, examples, schema, key)

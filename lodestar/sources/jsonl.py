@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -39,32 +39,65 @@ KINDS = ("non_empty", "empty_by_evidence", "empty_by_failure")
 QUOTE_CHARS = 280
 
 
+EXPECTED = ("emptyResultKind", "minExtractions", "maxExtractions")
+#: A URL: of the schemes that need a host with one, of any other as it stands.
+URL = r"(?i)^\s*(?:(?:https?|wss?|ftp):[/\\]*[^/\\?#\s]|(?!(?:https?|wss?|ftp):)[a-z][a-z0-9+.-]*:)"
+
+
 def check_regression(lines: DataFrame) -> DataFrame:
-    """line, case_id, errors for each line (line, value): every rule is a predicate column; errors
-    are in a fixed order, and a line that is no JSON object has that error alone."""
+    """line, case_id, errors for each line (line, value): every rule is a column that looks at the JSON
+    type of a member before its value; errors are in a fixed order, and a line that is no JSON object
+    has that error alone.  A case id is used before if a line of smaller number has it."""
     v = F.try_parse_json("value")
-    kind = F.schema_of_variant(v)
-    part = lambda path: F.try_variant_get(v, path, "string")
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    filled = [F.when(F.coalesce(F.trim(part(f"$.{m}")) == "", F.lit(True)), F.lit(f"{m} must be a non-empty string")) for m in MEMBERS if m not in ("targetSchema", "expected")]
-    names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    unknown = F.array_sort(F.array_except(names, F.array(*map(F.lit, MEMBERS))))
-    low, high = (F.try_variant_get(v, f"$.expected.{k}", "int") for k in ("minExtractions", "maxExtractions"))
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("none"))
+    is_text = lambda path: kind(path) == "STRING"
+    words = lambda path: F.when(is_text(path), F.try_variant_get(v, path, "string"))
+    is_object = lambda path: kind(path).startswith("OBJECT")
+    number = lambda path: F.when(kind(path).rlike("INT|^DECIMAL|^DOUBLE|^FLOAT"), F.try_variant_get(v, path, "double"))
+    names = lambda path: F.when(is_object(path), F.map_keys(F.try_variant_get(v, path, "map<string,variant>")))
+    own, within = names("$"), names("$.expected")
+    has = lambda m: F.array_contains(own, m)
+    missing = lambda have, m, label: F.when(~F.array_contains(have, m), f"{label} is missing")
+
+    def strange(have, known, label):
+        more = F.array_sort(F.array_except(have, F.array(*map(F.lit, known))))
+        return F.when(F.size(more) > 0, F.concat(F.lit(label), F.array_join(more, ", ")))
+
+    def filled(m):
+        return F.when(has(m) & F.coalesce(words(f"$.{m}") == "", F.lit(True)), f"{m} is no text")
+
+    def named(m, form):
+        x = words(f"$.{m}")
+        return [filled(m), F.when((x != "") & ~form(x), f"{m} has a wrong form"), F.when(form(x) & text.has_placeholder(x), f"{m} holds a placeholder")]
+
+    def count(x, k):
+        return F.when(F.array_contains(within, k) & ~F.coalesce((x >= 0) & (x == F.floor(x)), F.lit(False)), f"expected.{k} is no count")
+
+    low, high = (number(f"$.expected.{k}") for k in EXPECTED[1:])
     rules = [
-        *filled,
-        F.when(F.coalesce(~F.schema_of_variant(F.try_variant_get(v, "$.targetSchema", "variant")).startswith("OBJECT"), F.lit(True)), "targetSchema must be an object"),
-        F.when(~F.coalesce(text.is_case_id(part("$.caseId")), F.lit(False)), "caseId has a wrong form"),
-        F.when(~F.coalesce(text.is_pack_id(part("$.packId")), F.lit(False)), "packId has a wrong form"),
-        F.when(~F.coalesce(part("$.sourceUrl").rlike(r"^https?://[^/\s]+"), F.lit(False)), "sourceUrl must be a URL"),
-        F.when(text.u16_len(part("$.sourceQuote")) > QUOTE_CHARS, f"sourceQuote must have {QUOTE_CHARS} characters at most"),
-        F.when(~F.coalesce(part("$.expected.emptyResultKind").isin(*KINDS), F.lit(False)), "expected.emptyResultKind is unknown"),
-        F.when(low.isNull() | high.isNull() | (low < 0) | (low > high), "expected bounds must be integers in order"),
-        F.when(F.size(unknown) > 0, F.concat(F.lit("unknown members: "), F.array_join(unknown, ", "))),
+        *(missing(own, m, m) for m in MEMBERS),
+        strange(own, MEMBERS, "unknown members: "),
+        *named("caseId", text.is_case_id),
+        filled("category"),
+        *(F.when(has(m) & ~is_text(f"$.{m}"), f"{m} is no string") for m in ("documentText", "instructions", "providerResponseText")),
+        F.when(has("targetSchema") & ~is_object("$.targetSchema"), "targetSchema is no object"),
+        F.when(has("sourceUrl") & ~F.coalesce(words("$.sourceUrl").rlike(URL), F.lit(False)), "sourceUrl is no URL"),
+        filled("sourceQuote"),
+        F.when(text.u16_len(words("$.sourceQuote")) > QUOTE_CHARS, f"sourceQuote has more than {QUOTE_CHARS} characters"),
+        *named("packId", text.is_pack_id),
+        F.when(has("expected") & ~is_object("$.expected"), "expected is no object"),
+        *(missing(within, k, f"expected.{k}") for k in EXPECTED),
+        strange(within, EXPECTED, "unknown members of expected: "),
+        F.when(F.array_contains(within, EXPECTED[0]) & ~F.coalesce(words("$.expected.emptyResultKind").isin(*KINDS), F.lit(False)), "expected.emptyResultKind is unknown"),
+        count(low, EXPECTED[1]),
+        count(high, EXPECTED[2]),
+        F.when((low >= 0) & (high >= 0) & (low > high), "expected bounds are out of order"),
     ]
-    rows = lines.select("line", part("$.caseId").alias("case_id"), is_object.alias("is_object"), F.array_compact(F.array(*rules)).alias("broken"))
-    again = F.row_number().over(Window.partitionBy("case_id").orderBy("line")) > 1
-    rows = rows.withColumn("again", again & F.col("case_id").isNotNull())
-    errors = F.when(~F.col("is_object"), F.array(F.lit("not a JSON object"))).otherwise(F.concat("broken", F.when(F.col("again"), F.array(F.lit("caseId is used before"))).otherwise(F.array().cast("array<string>"))))
+    rows = lines.select("line", words("$.caseId").alias("case_id"), is_object("$").alias("is_object"), F.array_compact(F.array(*rules)).alias("broken"))
+    first = rows.filter("case_id IS NOT NULL").groupBy("case_id").agg(F.min("line").alias("first"))
+    rows = rows.join(first, "case_id", "left")
+    again = F.when(F.col("line") > F.col("first"), F.array(F.lit("caseId is used before"))).otherwise(F.array().cast("array<string>"))
+    errors = F.when(F.col("is_object"), F.concat("broken", again)).otherwise(F.array(F.lit("not a JSON object")))
     return rows.select("line", "case_id", errors.alias("errors"))
 
 
