@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     forget(prints, met, near, hit, windows)
     n_words = F.regexp_count(ascii_words("text"), F.lit(r"[^ ]+")).cast("long")
     each = keyed_text(docs, id_col, text_col).select("id", "th", "doc_id", n_words.alias("n_words"))
-    return each.join(hint(found), ["id", "th"], "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "th")
+    return each.join(found, ["id", "th"], "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "th")
 
 
 def ascii_words(column: str):
