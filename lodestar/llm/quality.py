@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import chunks, dealt_texts, keep_rows, written
 
 DIM = 32  # of index and word vectors
-VOCABULARY = 1 << 16  # the most frequent words have vectors of their own
+VOCABULARY = 1 << 15  # the most frequent words have vectors of their own
 SLOTS = 1 << 15  # all other words share these, by hash, so the table's size is fixed
 REACH = 2  # words to either side that count as context
 SAMPLE = 20_000  # labelled documents fitted on, at most
@@ -54,15 +54,37 @@ def _alike(slot: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(min(1, len(slot)), np.int64), ones(plus, plus) + ones(minus, minus) - ones(plus, minus) - ones(minus, plus)])
 
 
+#: What a byte is: 0 between words, 1 a capital, 2 a small letter or part of a character beyond ASCII, 3
+#: a digit, 4 anything else, which is a word by itself.
+_KIND = np.array([0 if c <= 32 else 2 if c >= 128 or 97 <= c <= 122 else 1 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 for c in range(256)], np.uint8)
+
+
+def _split(texts: list[str | None]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts, as _TOKEN finds them, and each text's number of words.  A word begins where
+    the kind of byte changes, but small letters go on with a single capital before them; so no word
+    becomes an object of its own."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\0".join([*raw, b""]), np.uint8)
+    kind = _KIND[data]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    begins = (kind != 0) & ((kind != before) | (kind == 4))
+    single = np.flatnonzero((kind[:-1] == 1) & (before[:-1] != 1) & (kind[1:] == 2))
+    begins[single + 1] = False
+    at, kept = np.flatnonzero(begins), kind != 0
+    offsets = np.append(np.cumsum(kept, dtype=np.int32)[at] - 1, np.count_nonzero(kept)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])])
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    return words, np.diff(np.searchsorted(at, np.concatenate([[0], ends])))
+
+
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct spellings in all texts, the number of the spelling of each word, and each
     text's number of words.  Words that are only capitalised have the hash of the small ones."""
-    split = [_TOKEN.findall((t or "").encode()) for t in texts]
-    coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    words = (w.lower() if _CAPITAL.match(w) else w for w in coded.dictionary.to_pylist())
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    length = np.fromiter(map(len, split), np.int64, len(split))
-    return h, (coded.indices.to_numpy(zero_copy_only=False) if length.sum() else np.zeros(0, np.int64)), length
+    words, length = _split(texts)
+    coded = words.dictionary_encode()
+    own = (w.lower() if _CAPITAL.match(w) else w for w in coded.dictionary.to_pylist())
+    h = np.array([xxhash.xxh64_intdigest(w) for w in own], dtype=np.uint64)
+    return h, (coded.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)), length
 
 
 def _slotted(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +149,8 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id"
                     word += [left, right]
                     near += [right, left]
                 word, near = np.concatenate(word) * DIM, np.concatenate(near)
-                for sign, ends in ((1, (0, 1)), (-1, (2, 3))):
-                    total += sign * np.bincount(np.concatenate([word + places[near, j] for j in ends]), minlength=size * DIM)
+                for add, ends in ((np.add, (0, 1)), (np.subtract, (2, 3))):
+                    add(total, np.bincount(np.concatenate([word + places[near, j] for j in ends]), minlength=size * DIM), out=total)
         table = total.reshape(size, DIM)
         used = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, d], pa.int64()) for d in range(DIM))], ["slot", *names])

@@ -592,6 +592,16 @@ def test_quality_words_and_vectors(documents, monkeypatch):
     assert np.allclose(quality.word_vectors(some, vocabulary), want, atol=1e-5)
 
 
+def test_quality_words(documents):
+    """Words are what the pattern finds."""
+    rng = np.random.default_rng(2)
+    made = ["".join(rng.choice(["A", "B", "c", "d", "é", "1", "2", " ", "\n", "\0", "!", "$", "\x7f", "Z"], rng.integers(0, 30))) for _ in range(3000)]
+    for texts in (made, [t for _, t in pairs(documents)], [], [None, ""], [None, "x", ""]):
+        words, length = quality._split(texts)
+        want = [quality._TOKEN.findall((t or "").encode()) for t in texts]
+        assert words.to_pylist() == [w for ws in want for w in ws] and length.tolist() == [len(w) for w in want]
+
+
 def test_quality_features():
     """The mean of what is alike in neighbours' index vectors, word by word, not only of repeats."""
     texts = ["the quick brown fox, the THE quick quick", None, "", "one", "5 5 6 and more words of all kinds"]
