@@ -228,8 +228,11 @@ def chunks(batch: pa.RecordBatch, text_at: int = 1, limit: int = 2 << 20):
     give_back()
 
 
+_MMAP_THRESHOLD = -3  # glibc's number for the option
 try:
-    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+    _libc = ctypes.CDLL("libc.so.6")
+    _trim = _libc.malloc_trim
+    _libc.mallopt(_MMAP_THRESHOLD, 1 << 20)  # arrays of a megabyte or more go back to the system when freed
 except (OSError, AttributeError):  # another C library
     _trim = None
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dealt_texts, keep_rows, written
+from .common import chunks, dealt_texts, give_back, keep_rows, written
 
 DIM = 32  # of index and word vectors
 VOCABULARY = 1 << 15  # the most frequent words have vectors of their own
@@ -20,8 +20,9 @@ SLOTS = 1 << 15  # all other words share these, by hash, so the table's size is
 REACH = 2  # words to either side that count as context
 SAMPLE = 20_000  # labelled documents fitted on, at most
 THRESHOLD = 0.7
+CHUNK = 1 << 20  # bytes of text worked on at a time
 DECAY = 1e-3  # of the network's weights
-FLUSH = 1 << 20  # counts of distinct words a task holds before it sends them on
+FLUSH = 1 << 18  # counts of distinct words a task holds before it sends them on
 #: What counts as a word: capitalised or small letters, capitals, digits, or one other character.
 _TOKEN = re.compile(rb"[A-Z]?[a-z\x80-\xff]+|[A-Z]+|[0-9]+|[^\x00-\x20A-Za-z0-9\x80-\xff]")
 _CAPITAL = re.compile(rb"[A-Z][a-z\x80-\xff]")
@@ -112,7 +113,7 @@ def frequent_words(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
 
         for b in batches:
-            for c in chunks(b):
+            for c in chunks(b, 1, CHUNK):
                 h, spelling, _ = _words(c.column(1).to_pylist())
                 held.append((h, np.bincount(spelling, minlength=len(h))))
                 n += len(h)
@@ -121,6 +122,7 @@ def frequent_words(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_i
                     n = 0
         if held:
             yield send()
+        give_back()
 
     counts = dealt_texts(docs, id_col, text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "h").limit(size).select("h").toArrow()
@@ -139,7 +141,7 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id"
     def count(batches):
         places, total = _index_places(size), np.zeros(size * DIM, np.int64)
         for b in batches:
-            for c in chunks(b):
+            for c in chunks(b, 1, CHUNK):
                 slot, length = _slotted(c.column(1).to_pylist(), shared.value)
                 doc = np.repeat(np.arange(len(length)), length)
                 word, near = [], []
@@ -152,7 +154,7 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id"
                 for add, ends in ((np.add, (0, 1)), (np.subtract, (2, 3))):
                     add(total, np.bincount(np.concatenate([word + places[near, j] for j in ends]), minlength=size * DIM), out=total)
         table = total.reshape(size, DIM)
-        used = np.flatnonzero(table.any(axis=1))
+        used = np.flatnonzero(table.any(axis=1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(table[used, d], pa.int64()) for d in range(DIM))], ["slot", *names])
 
     names = [f"c{d}" for d in range(DIM)]
@@ -254,7 +256,7 @@ def _scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_col: str,
 
     def pool(batches):
         for b in batches:
-            for c in chunks(b):
+            for c in chunks(b, 1, CHUNK):
                 x = features(c.column(1).to_pylist(), *shared.value)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array([r.astype(np.float64).tobytes() for r in x], pa.binary()), c.column(2)], ["doc_id", "x", "y"])
 
@@ -267,7 +269,7 @@ def _scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_col: str,
 
     def score(batches):
         for b in batches:
-            for c in chunks(b):
+            for c in chunks(b, 1, CHUNK):
                 s = model.value.score(features(c.column(1).to_pylist(), *shared.value))
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(2), pa.array(s, pa.float64())], ["doc_id", "th", "score"])
 
