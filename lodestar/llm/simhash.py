@@ -158,22 +158,19 @@ def trie_leaves(fps: DataFrame, bits: int = 2, cap: int = 2_000) -> DataFrame:
     done = []
     while True:
         if total > cap and depth < 64:
-            ahead = 1 if done or depth else max(1, int(np.log2(total / cap)) // STEP)
+            ahead = 1 if depth else max(1, int(np.log2(total / cap)) // STEP)
             for _ in range(min(ahead, 64 // STEP)):
                 depth += STEP
                 nodes = _below(nodes, depth, bits)
-        nodes = written(nodes, f"trie-{depth}") if depth else nodes
+            nodes = written(nodes, f"trie-{depth}")
         home = F.col("off") == 0
         size = written(nodes.filter(home).groupBy("prefix").agg(F.count("*").alias("n")), "trie-sizes")
         placed = nodes.join(F.broadcast(size) if small_enough(size, 1_000_000) else size, "prefix")
-        leaf = F.lit(True) if depth in (0, 64) and (total <= cap or depth == 64) else F.col("n") <= cap
-        done.append(written(placed.filter(leaf).select(F.lit(depth).alias("depth"), "prefix", home.alias("home"), "fp"), "trie-leaves"))
-        rest = written(placed.filter(~leaf).select("fp", "prefix", "off"), "trie-heavy")
-        forget(size, *([nodes] if depth else []))
-        if rest.isEmpty():
-            forget(rest)
+        leaf = F.lit(True) if total <= cap or depth == 64 else F.col("n") <= cap
+        done.append(placed.filter(leaf).select(F.lit(depth).alias("depth"), "prefix", home.alias("home"), "fp"))
+        if size.filter(~leaf).isEmpty():
             return reduce(DataFrame.unionByName, done)
-        nodes = rest
+        nodes = placed.filter(~leaf).select("fp", "prefix", "off")
 
 
 def near_edges(fps: DataFrame, bits: int = 2, cap: int = 2_000) -> DataFrame:
