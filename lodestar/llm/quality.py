@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from .common import chunks, dealt_texts, give_back, keep_rows, written
 
 DIM = 32  # of index and word vectors
-VOCABULARY = 1 << 15  # the most frequent words have vectors of their own
+VOCABULARY = 1 << 16  # the most frequent words have vectors of their own
 SLOTS = 1 << 15  # all other words share these, by hash, so the table's size is fixed
 REACH = 2  # words to either side that count as context
 SAMPLE = 20_000  # labelled documents fitted on, at most
 THRESHOLD = 0.7
 CHUNK = 1 << 20  # bytes of text worked on at a time
+BLOCK = 1 << 13  # rows of a table, or words of a long text, worked on at a time
 DECAY = 1e-3  # of the network's weights
 FLUSH = 1 << 18  # counts of distinct words a task holds before it sends them on
 #: What counts as a word: capitalised or small letters, capitals, digits, or one other character.
@@ -31,8 +32,9 @@ _CAPITAL = re.compile(rb"[A-Z][a-z\x80-\xff]")
 @lru_cache(maxsize=1)
 def _index_places(n: int) -> np.ndarray:
     """n x 4: a fixed sparse ternary vector for each row of the table, +1 at the first two places, -1
-    at the others."""
-    return np.random.default_rng(20240607).random((n, DIM)).argsort(axis=1)[:, :4]
+    at the others.  Drawn in blocks, since a worker holds what is kept as long as it lives."""
+    rng = np.random.default_rng(20240607)
+    return np.concatenate([rng.random((min(BLOCK, n - at), DIM)).argsort(axis=1)[:, :4].astype(np.uint8) for at in range(0, n, BLOCK)])
 
 
 def _index_vectors(n: int) -> np.ndarray:
@@ -184,7 +186,8 @@ def features(texts: list[str | None], table: np.ndarray, vocabulary: np.ndarray)
         return out
     at = (np.cumsum(length) - length)[full]
     n = length[full][:, None]
-    mean = np.stack([table[slot[a : a + k]].sum(axis=0, dtype=np.float64) for a, k in zip(at.tolist(), length[full].tolist())]) / n
+    pooled = lambda a, k: sum(table[slot[i : min(i + BLOCK, a + k)]].sum(axis=0, dtype=np.float64) for i in range(a, a + k, BLOCK))
+    mean = np.stack([pooled(a, k) for a, k in zip(at.tolist(), length[full].tolist())]) / n
     alike = _alike(slot, _index_masks(len(table)))
     alike[at] = 0
     alike = np.add.reduceat(alike, at)[:, None] / n
