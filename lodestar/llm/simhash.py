@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Roller, chunks, dealt_texts, forget, hashed, keep_rows, mix, small_enough, written
@@ -18,6 +18,7 @@ SHINGLE = 3
 SEED = 42
 STEP = 4  # bits from one level of the distributed trie to the next
 WORDS = 5  # of a shingle of the pipeline's stage
+CROWD = 32  # texts of a bucket that may meet pair by pair
 BANDS, ROWS = 20, 4  # a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997
 
 
@@ -267,13 +268,39 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
+def _exploded(batches):
+    for b in batches:
+        for node, root, s in zip(*(c.to_pylist() for c in b.columns)):
+            h = np.frombuffer(s, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), root)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)], ["node", "root", "n", "h"])
+
+
+def _heads(sets: DataFrame, crowd: DataFrame) -> DataFrame:
+    """node, root, n, h, i: of each text of ``crowd`` the rarest fifth of its n shingles, and one more; i is
+    a shingle's place when the rare ones come first, ties by hash."""
+    each = sets.join(crowd, "node").select("node", "root", "s").mapInArrow(_exploded, "node long, root long, n long, h long")
+    each = written(each, "near-shingles")
+    rare = each.groupBy("h").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h")) - 1
+    return each.join(rare, "h").withColumn("i", place).filter("5 * i <= n").select("node", "root", "n", "h", "i")
+
+
+def _headed(heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their heads which leaves room for a
+    similarity of 0.8.  The first shingle, in their common order, that such a pair shares does: at
+    least four fifths of either set come no earlier, so none is missed."""
+    x, y = (heads.select("h", F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("root", "n", "i"))) for n in "ab")
+    room = "9 * least(a_n - a_i, b_n - b_i) >= 4 * (a_n + b_n)"
+    return x.join(y, "h").filter(f"a < b AND a_root <> b_root AND {room}").select("a", "b").distinct()
+
+
 def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, node for every row (a 64-bit hash names a text), and node, root: the components.
 
     Candidates share one of BANDS keys of minima; each link is verified on the whole sets.  Texts meet
-    once however many copies they have.  First each text of a bucket meets the bucket's least; then all
-    pairs that this has left in different components, so a crowd of copies doesn't make pairs of all
-    with all."""
+    once however many copies they have.  First each text of a bucket meets the bucket's least; then, in
+    buckets of at most CROWD texts, all pairs that this has left in different components.  Texts of larger
+    ones meet by their rarest shingles instead, so a crowd doesn't make pairs of all with all."""
     src = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("node"))
     each = written(src.mapInArrow(_banded, "doc_id long, node long, keys array<long>"), "banded")
     nodes = written(each.groupBy("node").agg(F.first("keys").alias("keys")), "near-nodes")
@@ -287,12 +314,15 @@ def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     first = written(_verified(stars, sets), "near-links")
     roots = written(components(first), "near-roots")
     rooted = written(members.join(roots, members.node == roots.u, "left").select("k", "node", F.coalesce("m", "node").alias("root")), "near-rooted")
-    x, y = (rooted.select("k", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-    rest = x.join(y, "k").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
-    links = written(first.unionByName(_verified(rest, sets)), "near-links")
+    apart = rooted.groupBy("k").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart")).filter("apart").select("k", (F.col("n") > CROWD).alias("crowd"))
+    open_ = written(rooted.join(apart, "k"), "near-open")
+    x, y = (open_.filter("NOT crowd").select("k", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
+    rest = x.join(y, "k").filter("a < b AND a_root <> b_root").select("a", "b")
+    heads = written(_heads(sets, open_.filter("crowd").select("node", "root").distinct()), "near-heads")
+    links = written(first.unionByName(_verified(rest.unionByName(_headed(heads)).distinct(), sets)), "near-links")
     stars = written(components(links), "near-stars")
     of = written(nodes.join(stars, nodes.node == stars.u, "left").select("node", F.coalesce("m", "node").alias("root")), "near-of")
-    forget(nodes, members, wanted, sets, first, roots, rooted, links, stars)
+    forget(nodes, members, wanted, sets, first, roots, rooted, open_, heads, links, stars)
     return each.select("doc_id", "node"), of
 
 

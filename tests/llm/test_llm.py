@@ -514,8 +514,10 @@ def model_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_near_like_brute_force(spark, edge):
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_near_like_brute_force(spark, edge, monkeypatch, crowd):
     """Every pair from 0.8 on is linked, none below it, with chains and crowds."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(11)
     rows = [(i, t) for i, t in pairs(edge) if i]
     for base in range(40):
