@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bytespan, decontaminate, exact, lm, mixing, pii, quality, simhash, substring, tokens
+from . import bytespan, decontaminate, exact, lm, minhash, mixing, pii, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_minhash": minhash.op11_minhash,
 }
 
 SQL = {"op6_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact.SQL}

@@ -8,17 +8,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Roller, chunks, dealt_texts, forget, hashed, keep_rows, mix, small_enough, written
+from .common import chunks, dealt_texts, forget, keep_rows, mix, small_enough, written
 from .graph import components
+from .near import crowd_pairs, open_lists, open_pairs, shingles, star_pairs, verified
 
 SHINGLE = 3
 SEED = 42
 STEP = 4  # bits from one level of the distributed trie to the next
 WORDS = 5  # of a shingle of the pipeline's stage
-CROWD = 32  # texts of a bucket that may meet pair by pair
 BANDS, ROWS = 20, 4  # a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997
 
 
@@ -205,21 +205,6 @@ def simhash_groups(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_
     return each.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of all texts, one text behind the other, and their number in
-    each.  Fewer words than a shingle: all of them; no words: none."""
-    split = [(t or "").encode().lower().split() for t in texts]
-    count = np.fromiter(map(len, split), np.int64, len(split))
-    roll = Roller(hashed([w for ws in split for w in ws])[0])
-    size = np.minimum(WORDS, count)
-    n = np.where(count > 0, count - size + 1, 0)
-    starts = np.repeat(np.cumsum(count) - count - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    size, out = np.repeat(size, n), np.empty(n.sum(), np.uint64)
-    for k in np.unique(size).tolist():
-        out[size == k] = roll.at(starts[size == k], k)
-    return out, n
-
-
 def band_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """texts x BANDS: a hash of ROWS minima of differently seeded orders of each text's shingles.
     Texts without words share all of theirs."""
@@ -241,88 +226,44 @@ def band_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _banded(batches):
     for b in (c for b in batches for c in chunks(b)):
-        keys = band_keys(*shingles(b.column(1).to_pylist())).view(np.int64)
+        keys = band_keys(*shingles(b.column(1).to_pylist(), WORDS)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel(), pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "node", "keys"])
 
 
 def _sets(batches):
     for b in (c for b in batches for c in chunks(b)):
-        h, n = shingles(b.column(1).to_pylist())
+        h, n = shingles(b.column(1).to_pylist(), WORDS)
         sets = [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "s"])
 
 
-def _alike(batches):
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(5 * both >= 4 * (len(x) + len(y) - both))  # Jaccard similarity of 0.8 or more
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
-
-
-def _exploded(batches):
-    for b in batches:
-        for node, root, s in zip(*(c.to_pylist() for c in b.columns)):
-            h = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), root)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)], ["node", "root", "n", "h"])
-
-
-def _heads(sets: DataFrame, crowd: DataFrame) -> DataFrame:
-    """node, root, n, h, i: of each text of ``crowd`` the rarest fifth of its n shingles, and one more; i is
-    a shingle's place when the rare ones come first, ties by hash."""
-    each = sets.join(crowd, "node").select("node", "root", "s").mapInArrow(_exploded, "node long, root long, n long, h long")
-    each = written(each, "near-shingles")
-    rare = each.groupBy("h").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h")) - 1
-    return each.join(rare, "h").withColumn("i", place).filter("5 * i <= n").select("node", "root", "n", "h", "i")
-
-
-def _headed(heads: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their heads which leaves room for a
-    similarity of 0.8.  The first shingle, in their common order, that such a pair shares does: at
-    least four fifths of either set come no earlier, so none is missed."""
-    x, y = (heads.select("h", F.col("node").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("root", "n", "i"))) for n in "ab")
-    room = "9 * least(a_n - a_i, b_n - b_i) >= 4 * (a_n + b_n)"
-    return x.join(y, "h").filter(f"a < b AND a_root <> b_root AND {room}").select("a", "b").distinct()
-
-
 def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, node for every row (a 64-bit hash names a text), and node, root: the components.
 
     Candidates share one of BANDS keys of minima; each link is verified on the whole sets.  Texts meet
-    once however many copies they have.  First each text of a bucket meets the bucket's least; then, in
-    buckets of at most CROWD texts, all pairs that this has left in different components.  Texts of larger
-    ones meet by their rarest shingles instead, so a crowd doesn't make pairs of all with all."""
+    once however many copies they have.  First each text of a bucket meets the bucket's centre, the text
+    that has most others in its buckets; what this leaves in different components meets pair by pair in
+    short buckets, and by its rarest shingles in long ones (:mod:`.near`)."""
     src = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("node"))
     each = written(src.mapInArrow(_banded, "doc_id long, node long, keys array<long>"), "banded")
     nodes = written(each.groupBy("node").agg(F.first("keys").alias("keys")), "near-nodes")
     placed = nodes.select("node", F.explode("keys").alias("k"))
-    shared = placed.groupBy("k").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(placed.join(shared, "k"), "near-members")
+    shared = placed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = written(placed.join(shared, "k"), "near-placed")
+    members = written(placed.join(placed.groupBy("node").agg(F.sum("n").alias("score")), "node").select("k", "node", "score"), "near-members")
     wanted = written(members.select("node").distinct(), "near-wanted")
     texts = src.join(F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_sets, "node long, s binary"), "near-sets")
-    stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    first = written(_verified(stars, sets), "near-links")
+    first = written(verified(star_pairs(members), sets), "near-links")
     roots = written(components(first), "near-roots")
-    rooted = written(members.join(roots, members.node == roots.u, "left").select("k", "node", F.coalesce("m", "node").alias("root")), "near-rooted")
-    apart = rooted.groupBy("k").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart")).filter("apart").select("k", (F.col("n") > CROWD).alias("crowd"))
-    open_ = written(rooted.join(apart, "k"), "near-open")
-    x, y = (open_.filter("NOT crowd").select("k", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-    rest = x.join(y, "k").filter("a < b AND a_root <> b_root").select("a", "b")
-    heads = written(_heads(sets, open_.filter("crowd").select("node", "root").distinct()), "near-heads")
-    links = written(first.unionByName(_verified(rest.unionByName(_headed(heads)).distinct(), sets)), "near-links")
+    open_ = written(open_lists(members, roots), "near-open")
+    crowd = open_.filter("crowd").select("node", "root").distinct()
+    rest = open_pairs(open_).unionByName(crowd_pairs(sets, crowd)).distinct()
+    links = written(first.unionByName(verified(rest, sets)), "near-links")
     stars = written(components(links), "near-stars")
     of = written(nodes.join(stars, nodes.node == stars.u, "left").select("node", F.coalesce("m", "node").alias("root")), "near-of")
-    forget(nodes, members, wanted, sets, first, roots, rooted, open_, heads, links, stars)
+    forget(nodes, placed, members, wanted, sets, first, roots, open_, links, stars)
     return each.select("doc_id", "node"), of
 
 

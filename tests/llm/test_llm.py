@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bwt, bytespan, common, decontaminate, exact, graph, lm, mixing, pii, quality, registry, simhash, substring, tokens
+from lodestar.llm import bwt, bytespan, common, decontaminate, exact, graph, lm, mixing, near, pii, quality, registry, simhash, substring, tokens
 from tests.oracle import connect, same
 
 LONG = " ".join(f"word{i % 97}x{i}" for i in range(260))
@@ -517,7 +517,7 @@ def model_shingles(text):
 @pytest.mark.parametrize("crowd", [1, 32])
 def test_near_like_brute_force(spark, edge, monkeypatch, crowd):
     """Every pair from 0.8 on is linked, none below it, with chains and crowds."""
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(near, "CROWD", crowd)
     rng = np.random.default_rng(11)
     rows = [(i, t) for i, t in pairs(edge) if i]
     for base in range(40):
