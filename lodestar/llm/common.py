@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The word separators of every contract here: space and the controls 09-0D.  ``bytes.split()``
@@ -131,6 +131,34 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str], broadcast_rows
     return docs.join(F.broadcast(dropped) if small_enough(dropped, broadcast_rows) else dropped, on, "left_anti")
 
 
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an SQL expression of ASCII text that isn't empty, in DuckDB's SQL, which has no such function."""
+    step = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)), {byte}), 4294967295)"
+
+
+def positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place from 0 on of each among those of its group by ``order`` (nulls
+    first), and ``size``, how many these are; a written table.
+
+    Rows are dealt by range of group and order, rows that are alike by their number, so that a group of any
+    size spreads over many tasks; what lies ahead of a task's rows is summed up from its counts."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order, "row_nr")]
+    numbered = written(rows.withColumn("row_nr", F.monotonically_increasing_id()), "numbered")
+    ranged = written(numbered.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()), "ranged")
+    parts = written(ranged.groupBy(group, "part").agg(F.count("*").alias("n")), "parts")
+    whole = Window.partitionBy(group)
+    ahead = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = parts.select(F.col(group).alias("p_group"), F.col("part").alias("p_part"), ahead.alias("ahead"), F.sum("n").over(whole).alias("size"))
+    nth = F.row_number().over(Window.partitionBy("part", group).orderBy(*keys[1:])) - 1
+    out = ranged.withColumn("nth", nth).join(table, (F.col("part") == F.col("p_part")) & F.col(group).eqNullSafe(F.col("p_group")))
+    out = written(out.select(*rows.columns, (F.col("ahead") + F.col("nth")).alias("pos"), "size"), "positions")
+    forget(numbered, ranged, parts)
+    return out
+
+
 # ---------------------------------------------------------------- numpy side
 
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bytespan, decontaminate, exact, lm, minhash, mixing, pii, quality, simhash, substring, tokens
+from . import bytespan, conversations, decontaminate, exact, lm, merkle, minhash, mixing, pii, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_minhash": minhash.op11_minhash,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_merkle": merkle.op13_merkle,
 }
 
-SQL = {"op6_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact.SQL}
+SQL = {"op6_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact.SQL, "op12_conversations": conversations.SQL, "op13_merkle": merkle.SQL}
