@@ -73,24 +73,24 @@ def matching(pairs: DataFrame, nodes: DataFrame, matches: int = MATCHES) -> Data
 
 
 def prefix_postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """k, node, score: each node (written table: node, keys) under the rarest of its coordinate-value
+    """k, node, score, size: each node (written table: node, keys, size) under the rarest of its coordinate-value
     pairs, as many as it takes for two nodes with ``matches`` in common to share one: all but
     ``matches`` - 1, by rising frequency and value, the same order for all.
 
     Pairs that only one node has come first in that order and lead nowhere, so they use up a prefix
     without being moved.  score, how often a node's pairs occur in all, tells who stands in the middle
     of its like."""
-    postings = nodes.select("node", F.explode("keys").alias("k"))
+    postings = nodes.select("node", "size", F.explode("keys").alias("k"))
     often = postings.groupBy("k").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = postings.join(often, "k").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "k"))).alias("ks"), F.sum("often").alias("score"))
-    return shared.filter(F.size("ks") >= matches).select("node", "score", F.explode(F.slice("ks", F.lit(1), F.size("ks") - (matches - 1))).alias("x")).select("x.k", "node", "score")
+    shared = postings.join(often, "k").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "k"))).alias("ks"), F.sum("often").alias("score"), F.first("size").alias("size"))
+    return shared.filter(F.size("ks") >= matches).select("node", "score", "size", F.explode(F.slice("ks", F.lit(1), F.size("ks") - (matches - 1))).alias("x")).select("x.k", "node", "score", "size")
 
 
 def near_links(nodes: DataFrame, texts, shingle: int = SHINGLE, matches: int = MATCHES) -> DataFrame:
     """Links (a, b) that connect exactly what pairs at 0.8 or more connect, chances of the signatures
     apart; a written table.
 
-    nodes: a written table node (long), keys.  texts(wanted) gives node, text of a written table of
+    nodes: a written table node (long), size, keys.  texts(wanted) gives node, text of a written table of
     nodes.  In each list of postings the members first meet the one with the highest score; what this
     leaves unconnected within a list meets pair by pair if the list is short, and by its rarest
     shingles, exactly, if it isn't.  A pair is compared by signature first and then on whole sets."""
@@ -125,8 +125,8 @@ def minhash_groups(docs: DataFrame, shingle: int = SHINGLE, coordinates: int = C
     is made twice."""
     src = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     each = written(src.mapInArrow(_signed(shingle, coordinates), "doc_id long, t1 long, t2 long, n long, node binary, keys array<long>"), "mh-rows")
-    named = each.filter("n > 0").groupBy(F.col("node").alias("digest")).agg(F.first(F.struct("t1", "t2", "keys")).alias("x"), F.min("doc_id").alias("least"))
-    nodes = written(named.select(F.monotonically_increasing_id().alias("node"), "digest", "x.t1", "x.t2", "x.keys", "least"), "mh-nodes")
+    named = each.filter("n > 0").groupBy(F.col("node").alias("digest")).agg(F.first(F.struct("t1", "t2", "n", "keys")).alias("x"), F.min("doc_id").alias("least"))
+    nodes = written(named.select(F.monotonically_increasing_id().alias("node"), "digest", "x.t1", "x.t2", F.col("x.n").alias("size"), "x.keys", "least"), "mh-nodes")
 
     def texts(wanted: DataFrame) -> DataFrame:
         of = nodes.select("node", "t1", "t2").join(wanted, "node", "left_semi")

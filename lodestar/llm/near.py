@@ -48,25 +48,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
+#: Sets of sizes x and y can be alike: the smaller one has four fifths of the larger at least.
+_SIZES = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
+
+
 def star_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b): each member of a list (k, node, score) with the one of the highest score."""
-    centre = members.groupBy("k").agg(F.max(F.struct("score", "node")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("k", F.col("c.node").alias("centre"))
-    met = members.join(centre, "k").filter("node <> centre")
+    """Pairs (a, b): each member of a list (k, node, score, size) with the one of the highest score, unless
+    their sizes are too far apart."""
+    centre = members.groupBy("k").agg(F.max(F.struct("score", "node", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("k", F.col("c.node").alias("centre"), F.col("c.size").alias("other"))
+    met = members.join(centre, "k").filter(f"node <> centre AND {_SIZES.format('size', 'other')}")
     return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _apart(rows: DataFrame, key: str) -> DataFrame:
-    """key, size, main: of the keys whose rows (key, root) are of different components how many rows there
+    """key, members, main: of the keys whose rows (key, root) are of different components how many rows there
     are, and the component that most of them have."""
     each = rows.groupBy(key, "root").agg(F.count("*").alias("n"))
-    return each.groupBy(key).agg(F.sum("n").alias("size"), F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    return each.groupBy(key).agg(F.sum("n").alias("members"), F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
 
 
 def open_lists(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """k, node, root, main, crowd: members of the lists that hold different components (roots: stars u, m),
+    """k, node, size, root, main, crowd: members of the lists that hold different components (roots: stars u, m),
     the list's largest component, and whether the list is too long for all its pairs."""
-    rooted = written(members.join(roots, members.node == roots.u, "left").select("k", "node", F.coalesce("m", "node").alias("root")), "near-rooted")
-    return rooted.join(_apart(rooted, "k"), "k").select("k", "node", "root", "main", (F.col("size") > CROWD).alias("crowd"))
+    rooted = written(members.join(roots, members.node == roots.u, "left").select("k", "node", "size", F.coalesce("m", "node").alias("root")), "near-rooted")
+    return rooted.join(_apart(rooted, "k"), "k").select("k", "node", "size", "root", "main", (F.col("members") > CROWD).alias("crowd"))
 
 
 def _cross(rows: DataFrame, key: str, room: str = "true") -> DataFrame:
@@ -79,8 +84,8 @@ def _cross(rows: DataFrame, key: str, room: str = "true") -> DataFrame:
 
 
 def open_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in lists that are no crowd."""
-    return _cross(open_.filter("NOT crowd").select("k", "node", "root", "main"), "k")
+    """Pairs (a, b) of different components, and of sizes near enough, in lists that are no crowd."""
+    return _cross(open_.filter("NOT crowd").select("k", "node", "size", "root", "main"), "k", _SIZES.format("x_size", "y_size"))
 
 
 def _exploded(batches):
@@ -108,5 +113,5 @@ def crowd_pairs(sets: DataFrame, crowd: DataFrame) -> DataFrame:
     ahead = alone.join(behind, "node").select("node", (F.col("all") - F.col("shared")).alias("ahead"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "h")) - 1
     heads = written(mine.withColumn("i", place).join(ahead, "node").withColumn("i", F.col("i") + F.col("ahead")).filter("5 * i <= n").select("h", "node", "root", "n", "i"), "near-heads")
-    open_ = heads.join(_apart(heads, "h").drop("size"), "h")
+    open_ = heads.join(_apart(heads, "h").drop("members"), "h")
     return _cross(open_, "h", "9 * least(x_n - x_i, y_n - y_i) >= 4 * (x_n + y_n)")

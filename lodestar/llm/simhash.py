@@ -251,7 +251,7 @@ def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     placed = nodes.select("node", F.explode("keys").alias("k"))
     shared = placed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     placed = written(placed.join(shared, "k"), "near-placed")
-    members = written(placed.join(placed.groupBy("node").agg(F.sum("n").alias("score")), "node").select("k", "node", "score"), "near-members")
+    members = written(placed.join(placed.groupBy("node").agg(F.sum("n").alias("score")), "node").select("k", "node", "score", F.lit(0).alias("size")), "near-members")  # sizes aren't known here
     wanted = written(members.select("node").distinct(), "near-wanted")
     texts = src.join(F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_sets, "node long, s binary"), "near-sets")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import common, minhash, near
 from tests.llm.test_llm import SCHEMA, brute_components, clash, edge, empty  # noqa: F401
@@ -83,7 +84,7 @@ def test_prefixes_meet(spark):
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 62, (64, 6))
     rows = [(i, [int(pool[c][rng.integers(0, 6) if i % 3 else i % 6 if rng.random() < 0.7 else rng.integers(0, 6)]) for c in range(64)]) for i in range(60)]
-    nodes = common.written(spark.createDataFrame(rows, "node long, keys array<long>"), "t")
+    nodes = common.written(spark.createDataFrame(rows, "node long, keys array<long>").withColumn("size", F.lit(1)), "t")
     lists = {}
     for r in minhash.prefix_postings(nodes, 32).collect():
         lists.setdefault(r.node, set()).add(r.k)
@@ -96,5 +97,5 @@ def test_prefixes_meet(spark):
 
 def test_a_list_of_one_component_makes_no_pairs(spark):
     """A list's largest component meets the others alone: n members of which one is apart make n - 1 pairs."""
-    members = spark.createDataFrame([(7, i, 0 if i < 500 else 500, 0, False) for i in range(501)], "k long, node long, root long, main long, crowd boolean")
+    members = spark.createDataFrame([(7, i, 10, 0 if i < 500 else 500, 0, False) for i in range(501)], "k long, node long, size long, root long, main long, crowd boolean")
     assert near.open_pairs(members).count() == 500
