@@ -19,6 +19,7 @@ PATTERNS = {
 }
 TERM = r"\p{L}++"
 
+CHUNK = 256  # code points of the pieces that texts with matches are cut to
 REACH = 60  # characters to either side of an entity within which one text is evidence
 PRIOR = 3.0  # texts' worth of doubt in how often a term brings an entity with it
 GENERALISE, REMOVE = 0.6, 0.85  # shares of an entity's information that a term may reveal
@@ -32,16 +33,6 @@ def _stepped(kind: str) -> str:
     return rf"(?s)\G({gap})({match})"
 
 
-def _starts(lens: Column) -> Column:
-    """Running sums of ``lens`` (in two levels, as arrays may be long): the end of each piece."""
-    block = 128
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    n = F.size(lens)
-    sums = F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda b: total(F.slice(lens, b * block + 1, F.lit(block))))
-    b = lambda i: F.floor(i / block).cast("int")
-    return F.transform(lens, lambda x, i: x + total(F.slice(sums, F.lit(1), b(i))) + total(F.slice(lens, b(i) * block + 1, i - b(i) * block)))
-
-
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, r"[^0-9]", "")
 
@@ -69,43 +60,59 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def find_base(src: DataFrame) -> DataFrame:
-    """A written table row, doc_id, text, base from numbered texts: base holds kind, start, end, value of
-    each match, in code points; text is null where nothing was matched."""
-    cols = {}
-    for kind, (_, _, test) in PATTERNS.items():
+    """A written table row, kind, nr, start, end, value: a row for each match in numbered texts, in code points; nr
+    orders them as the kinds are listed, then by place.
+
+    A text's matches become rows with what stands between them, and a running sum of the lengths tells
+    where each ends."""
+    found = []
+    for at, (kind, (_, _, test)) in enumerate(PATTERNS.items()):
         may = F.col("text").contains(test) if kind == "email" else F.col("text").rlike(test)
-        none = F.array().cast("array<string>")
-        cols[f"{kind}_all"] = F.when(may, F.regexp_extract_all("text", F.lit(_stepped(kind)), F.lit(0))).otherwise(none)
-        cols[f"{kind}_own"] = F.when(may, F.regexp_extract_all("text", F.lit(_stepped(kind)), F.lit(2))).otherwise(none)
-    raw = src.select("row", "doc_id", "text", *(v.alias(k) for k, v in cols.items()))
-    some = F.lit(False)
-    for kind in PATTERNS:
-        some = some | (F.size(f"{kind}_own") > 0)
-    raw = raw.select("row", "doc_id", F.when(some, F.col("text")).alias("text"), *(F.transform(f"{k}_all", F.length).alias(f"{k}_all") for k in PATTERNS), *(f"{k}_own" for k in PATTERNS))
-    raw = written(raw, "pii-raw")  # the matches are columns from here on, never evaluated anew for each element
-    ends = written(raw.select("row", "doc_id", "text", *(_starts(F.col(f"{k}_all")).alias(f"{k}_end") for k in PATTERNS), *(f"{k}_own" for k in PATTERNS)), "pii-ends")
-    spans = []
+        pieces = F.transform(F.regexp_extract_all("text", F.lit(_stepped(kind)), F.lit(0)), F.length)
+        both = F.arrays_zip(pieces.alias("n"), F.regexp_extract_all("text", F.lit(_stepped(kind)), F.lit(2)).alias("value"))
+        own = F.transform(both, lambda x, i: F.struct((F.lit(at << 32).cast("long") + i).alias("nr"), F.lit(kind).alias("kind"), x["n"].alias("n"), x["value"].alias("value")))  # noqa: B023
+        found.append(F.when(may, own).otherwise(F.array().cast("array<struct<nr:bigint,kind:string,n:int,value:string>>")))
+    each = written(src.select("row", F.explode(F.concat(*found)).alias("x")).select("row", "x.*"), "pii-raw")
+    end = F.sum("n").over(Window.partitionBy("row", "kind").orderBy("nr").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    passes = F.lit(False)
     for kind in PATTERNS:
-        own, end = F.col(f"{kind}_own"), F.col(f"{kind}_end")
-        made = F.transform(own, lambda v, i: F.struct(F.lit(kind).alias("kind"), (end[i] - F.length(v)).alias("start"), end[i].alias("end"), v.alias("value")))
-        spans.append(F.filter(made, lambda s: _passes(kind, s["value"])))
-    out = written(ends.select("row", "doc_id", "text", F.concat(*spans).alias("base")), "pii-base")
-    forget(raw, ends)
+        passes = F.when(F.col("kind") == kind, _passes(kind, F.col("value"))).otherwise(passes)
+    ended = each.withColumn("end", end).filter(passes)
+    out = written(ended.select("row", "kind", "nr", (F.col("end") - F.length("value")).alias("start"), "end", "value"), "pii-base")
+    forget(each)
+    return out
+
+
+def chunked(src: DataFrame, base: DataFrame) -> DataFrame:
+    """A written table row, chunk, piece, padded, lead, length: the texts that ``base`` has matches of, cut to
+    pieces of CHUNK code points; padded: with REACH of the neighbours', of which lead stand ahead.  What
+    lies around a place is found in one piece, without counting from the text's beginning."""
+    texts = src.join(base.select("row").distinct(), "row", "left_semi")
+    cut = texts.select("row", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("pieces"), F.length("text").alias("length"))
+    cut = written(cut, "pii-pieces")
+    around = lambda p, i: F.concat(F.right(F.coalesce(F.get("pieces", i - 1), F.lit("")), F.lit(REACH)), p, F.left(F.coalesce(F.get("pieces", i + 1), F.lit("")), F.lit(REACH)))
+    both = F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), around(p, i).alias("padded")))
+    out = cut.select("row", "length", F.posexplode(both).alias("chunk", "x"))
+    out = written(out.select("row", "chunk", "x.piece", "x.padded", F.when(F.col("chunk") > 0, REACH).otherwise(0).alias("lead"), "length"), "pii-chunks")
+    forget(cut)
     return out
 
 
-def entities(base: DataFrame) -> DataFrame:
-    """row, entity, near: the distinct entities of each text, e-mail addresses lower-cased, separators
-    of numbers left out; near: what stands within REACH of it, without words that the edge or the
-    entity touches."""
-    e = base.filter(F.size("base") > 0).select("row", "text", F.explode("base").alias("e"))
-    name = F.concat(F.col("e.kind"), F.lit(":"), F.when(F.col("e.kind") == "email", F.lower("e.value")).otherwise(F.regexp_replace("e.value", r"[\x20()-]", "")))
-    at = F.greatest(F.lit(0), F.col("e.start") - REACH)
-    left = F.regexp_replace(F.substr("text", at + 1, F.col("e.start") - at), r"\p{L}+$", "")
-    left = F.when(at > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.regexp_replace(F.substr("text", F.col("e.end") + 1, F.lit(REACH)), r"^\p{L}+", "")
-    right = F.when(F.length("text") > F.col("e.end") + REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return e.select("row", name.alias("entity"), F.concat(left, F.lit(" "), right).alias("near"))
+def entities(base: DataFrame, chunks: DataFrame) -> DataFrame:
+    """row, entity, near: the entities of each text, e-mail addresses lower-cased, separators of numbers left
+    out; near: what stands within REACH of it, without words that the edge or the entity touches."""
+    name = F.concat("kind", F.lit(":"), F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", r"[\x20()-]", "")))
+    at = lambda c: F.floor(F.col(c) / CHUNK).cast("int")
+    e = base.select("row", name.alias("entity"), "start", "end", at("start").alias("l"), at("end").alias("r"))
+    of = lambda n: chunks.select("row", F.col("chunk").alias(n), F.col("padded").alias(f"{n}_text"), F.col("lead").alias(f"{n}_lead"), *(["length"] if n == "l" else []))
+    e = e.join(of("l"), ["row", "l"]).join(of("r"), ["row", "r"], "left")
+    n = F.least(F.col("start"), F.lit(REACH))
+    left = F.regexp_replace(F.substr("l_text", F.col("l_lead") + F.col("start") - F.col("l") * CHUNK - n + 1, n), r"\p{L}+$", "")
+    left = F.when(F.col("start") > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.coalesce(F.substr("r_text", F.col("r_lead") + F.col("end") - F.col("r") * CHUNK + 1, F.lit(REACH)), F.lit(""))
+    right = F.regexp_replace(right, r"^\p{L}+", "")
+    right = F.when(F.col("length") > F.col("end") + REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    return e.select("row", "entity", F.concat(left, F.lit(" "), right).alias("near"))
 
 
 def _terms(text: str) -> Column:
@@ -124,7 +131,7 @@ def disclosure(c_et, c_t, c_e, n, near) -> Column:
     return F.when((seen > 0) & (own > 0), F.log2(chance * n / c_e) / own).otherwise(0.0)
 
 
-def revealing(src: DataFrame, base: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+def revealing(src: DataFrame, base: DataFrame, chunks: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """row, term, d: a written table of the terms of each text that reveal an entity of that text to
     ``generalise`` or more of its information.
 
@@ -138,11 +145,11 @@ def revealing(src: DataFrame, base: DataFrame, generalise: float = GENERALISE) -
     small = small_enough(copies, 1_000_000)
     hint = F.broadcast if small else lambda df: df
     once = src.join(hint(copies), "row", "left_anti")
-    found = written(entities(base).join(hint(copies), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "pii-entities")
+    found = written(entities(base, chunks).join(hint(copies), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False))), "pii-entities")
     held = found.select("row", "entity", "copy").distinct()
     c_e = written(held.filter("NOT copy").groupBy("entity").agg(F.count("*").alias("c_e")), "pii-entity-counts")
     c_t = once.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    words = written(base.filter(F.size("base") > 0).select("row", F.explode(_terms("text")).alias("term")), "pii-words")
+    words = written(src.join(base.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms("text")).alias("term")), "pii-words")
     c_t = written(c_t.join(words.select("term").distinct(), "term"), "pii-term-counts")
     near = found.select("row", "entity", "copy", F.explode(_terms("near")).alias("term")).distinct().withColumn("near", F.lit(True))
     far = held.join(c_e.filter("c_e > 1"), "entity").join(words.join(c_t.filter("c_t > 1"), "term"), "row")
@@ -157,9 +164,9 @@ def revealing(src: DataFrame, base: DataFrame, generalise: float = GENERALISE) -
     return out
 
 
-def occurrences(base: DataFrame, rated: DataFrame) -> DataFrame:
+def occurrences(src: DataFrame, rated: DataFrame) -> DataFrame:
     """row, start, end, word, d: every occurrence of a row's rated terms in its text."""
-    texts = base.select("row", "text").join(rated.select("row").distinct(), "row", "left_semi")
+    texts = src.select("row", "text").join(rated.select("row").distinct(), "row", "left_semi")
     stepped = F.lit(rf"(?s)\G(|.*?\P{{L}})({TERM})")
     both = F.arrays_zip(F.transform(F.regexp_extract_all("text", stepped, F.lit(0)), F.length).alias("all"), F.regexp_extract_all("text", stepped, F.lit(2)).alias("word"))
     each = texts.select("row", F.posexplode(both).alias("nr", "x")).select("row", "nr", "x.all", "x.word")
@@ -181,33 +188,60 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     ``generalise`` on are replaced by their class, from ``remove`` on left out, wherever they occur in a
     text that holds the entity.  ``text`` has entities replaced by their kind and this done; it is null
     where nothing was found.  A null text is empty; copies of a text don't add evidence and are all
-    treated alike; repeated rows and null ids are kept as they are; a text of any length is read whole;
-    an empty table gives no rows."""
+    treated alike; repeated rows and null ids are kept as they are; a text of any length is read whole, in time that
+    grows with its length and its matches; an empty table gives no rows."""
     src = numbered(docs, id_col, text_col)
     base = find_base(src)
-    rated = revealing(src, base, generalise)
-    found = occurrences(base, rated)
+    chunks = chunked(src, base)
+    rated = revealing(src, base, chunks, generalise)
+    found = occurrences(src, rated)
     tag = F.when(F.col("d") >= remove, "").otherwise(_class(F.col("word")))
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
-    terms = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action"), tag.alias("tag")))).alias("terms"))
-    terms = written(terms, "pii-spans")
-    out = base.join(terms, "row", "left")
-    forget(src, rated)
-    own = F.filter(F.col("terms"), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = out.select("doc_id", "text", "base", F.coalesce(own, F.array().cast("array<struct<start:int,end:int,action:string,tag:string>>")).alias("terms"))
-    tagged = F.concat(
-        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("tag"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["tag"].alias("tag"))),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        fresh = x["start"] >= s["at"]  # of overlapping entities the first is replaced, and the rest of the others left out
-        piece = F.when(fresh, F.concat(F.substr("text", s["at"] + 1, x["start"] - s["at"]), x["tag"])).otherwise(F.lit(""))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(piece)).alias("out"))
-
-    clean = F.aggregate(F.array_sort(tagged), zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr("text", s["at"] + 1, F.length("text"))))
-    return out.select("doc_id", "base", "terms", F.when(F.size("base") > 0, clean).alias("text"))
+    own = base.select("row", "start", "end", F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("tag"), F.lit(None).cast("string").alias("action"))
+    spans = own.unionByName(found.select("row", "start", "end", tag.alias("tag"), action.alias("action")))
+    spans = written(_apart_from_base(spans), "pii-spans")
+    terms = spans.filter("action IS NOT NULL").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action", "tag"))).alias("terms"))
+    matches = F.transform(F.array_sort(F.collect_list(F.struct("nr", "kind", "start", "end", "value"))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    made = base.groupBy("row").agg(matches.alias("base")).join(terms, "row", "left").join(_cleaned(chunks, spans), "row", "left")
+    made = written(made, "pii-made")
+    forget(base, chunks, rated, spans)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    out = src.select("row", "doc_id").join(made, "row", "left")
+    return out.select("doc_id", none("base", "array<struct<kind:string,start:int,end:int,value:string>>"), none("terms", "array<struct<start:int,end:int,action:string,tag:string>>"), "text")
+
+
+def _apart_from_base(spans: DataFrame) -> DataFrame:
+    """``spans`` (row, start, end, tag, action) without terms that overlap matches (action null): of those that begin no
+    later than a term the greatest end, and of the others the least beginning, tell."""
+    own = F.col("action").isNull()
+    upto = Window.partitionBy("row").orderBy("start", own.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    beyond = Window.partitionBy("row").orderBy(F.col("start").desc(), own.asc()).rowsBetween(Window.unboundedPreceding, 0)
+    s = spans.withColumns({"reached": F.max(F.when(own, F.col("end"))).over(upto), "next": F.min(F.when(own, F.col("start"))).over(beyond)})
+    apart = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return s.filter(own | apart).drop("reached", "next")
+
+
+def _cleaned(chunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """row, text: the texts with each span's tag in its place.  Of spans that overlap the first one's tag stands, and
+    what the others cover goes with it.
+
+    Spans are merged to regions by a running maximum of their ends, regions are dealt to the pieces of text that
+    they touch, and each piece is made anew alone; then pieces are joined in order."""
+    order = Window.partitionBy("row").orderBy("start", "end", "tag")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    s = spans.withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)))
+    s = s.withColumn("region", F.count_if("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    regions = s.groupBy("row", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("fresh"), F.col("tag"))).alias("tag"))
+    touched = F.sequence(F.floor(F.col("start") / CHUNK).cast("int"), F.floor((F.col("end") - 1) / CHUNK).cast("int"))
+    dealt = regions.withColumn("chunk", F.explode(touched))
+    base = F.col("chunk") * CHUNK
+    here = F.struct(F.greatest(F.col("start") - base, F.lit(0)).alias("from"), F.least(F.col("end") - base, F.lit(CHUNK)).alias("to"), F.when(F.col("start") >= base, F.col("tag")).otherwise("").alias("tag"))
+    cuts = dealt.withColumn("cut", here).groupBy("row", "chunk").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, c: F.struct(c["to"].alias("at"), F.concat(s["out"], F.substr("piece", s["at"] + 1, c["from"] - s["at"]), c["tag"]).alias("out"))
+    made = F.aggregate("cuts", zero, step, lambda s: F.concat(s["out"], F.substr("piece", s["at"] + 1, F.lit(CHUNK))))
+    pieces = chunks.select("row", "chunk", "piece").join(cuts, ["row", "chunk"], "left").select("row", F.struct("chunk", F.when(F.col("cuts").isNull(), F.col("piece")).otherwise(made).alias("piece")).alias("x"))
+    return pieces.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("text"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
