@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OFFSET_MODE = "utf16_code_unit"
@@ -99,6 +99,7 @@ def document_id(given, text) -> Column:
     return F.coalesce(given, F.concat(F.lit("doc-"), F.substring(sha256(text), 1, 16)))
 
 
+#: Fixed forms of ids, and words that stand for something yet to come.
 PACK_ID = r"^\d{4}-\d{2}-\d{2}--[a-z0-9]+(?:-[a-z0-9]+)*--[0-9a-f]{8}$"
 CASE_ID = r"^[a-z0-9]+(?:-[a-z0-9]+)*--[a-z0-9]+(?:-[a-z0-9]+)*--[0-9]+--[0-9a-f]{8}$"
 PLACEHOLDER = r"(?i)\b(?:pr[-_ ]?\d+|todo|tbd|wip)\b"
@@ -129,7 +130,7 @@ def first_format_control(x) -> Column:
     """struct(char, code_point, name) of the first format control of a text; null without one."""
     x = F.col(x) if isinstance(x, str) else x
     hit = F.get(format_controls(x), F.lit(0))
-    code = F.conv(F.hex(F.encode(hit, "UTF-32")), 16, 10).cast("int")
+    code = code_point(hit)
     names = F.create_map(*(v for c in NAMED_CONTROLS for v in (F.lit(c), F.lit(unicodedata.name(chr(c))))))
     return F.when(hit.isNotNull(), F.struct(hit.alias("char"), code.alias("code_point"), F.coalesce(F.try_element_at(names, code), F.format_string("U+%04X", code)).alias("name")))
 
@@ -138,17 +139,24 @@ def first_format_control(x) -> Column:
 FORBIDDEN = r"[\x{200B}-\x{200D}\x{2028}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]"
 
 
-def forbidden_code_points(text) -> Column:
-    """array of struct(char, byte_offset) of refused characters, offsets in UTF-8 bytes."""
-    text = F.col(text) if isinstance(text, str) else text
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)({FORBIDDEN})"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char:string,byte_offset:int>>").alias("out"))
+def code_point(char) -> Column:
+    """The number of a text's first character."""
+    return F.conv(F.hex(F.encode(F.left(char, F.lit(1)), "UTF-32")), 16, 10).cast("int")
+
 
-    def step(s, p):
-        end, char = s["at"] + F.octet_length(p), F.right(p, F.lit(1))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(char.alias("char"), (end - F.octet_length(char)).alias("byte_offset")))).alias("out"))
+def forbidden_rows(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """keys, nth (from 0), char, code_point, byte_offset: a row for each refused character of each row's text.
 
-    return F.aggregate(pieces, zero, step, lambda s: s["out"])
+    ``keys`` name a row.  The text is cut behind each hit, the pieces become rows of their own, and a
+    hit's place is the running sum of the pieces' octets: as much work as the text is long, however many hits it
+    has.  A null text has none."""
+    cut = F.split(F.col(text), f"(?<={FORBIDDEN})")
+    pieces = rows.select(*keys, F.posexplode(cut).alias("nth", "piece"))
+    upto = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    char = F.right("piece", F.lit(1))
+    ended = pieces.select(*keys, "nth", char.alias("char"), F.sum(F.octet_length("piece")).over(upto).alias("upto"))
+    hits = ended.filter(F.regexp_like("char", F.lit(FORBIDDEN)))
+    return hits.select(*keys, "nth", "char", code_point(F.col("char")).alias("code_point"), (F.col("upto") - F.octet_length("char")).alias("byte_offset"))
 
 
 def escape_html(x) -> Column:
@@ -207,12 +215,12 @@ def gold_key(cls, quote, start, end) -> Column:
 
 
 def prng_draws(seed, n: int) -> Column:
-    """The first n draws (uint32 as BIGINT) of xorshift32 seeded with the FNV-1a hash of an ASCII
-    string, as one fold over the characters and one over the draws."""
+    """The first n draws (uint32 as BIGINT) of xorshift32 seeded with the FNV-1a hash of a string's UTF-16
+    units, as one fold over the units and one over the draws."""
     seed = F.col(seed) if isinstance(seed, str) else seed
     mask = F.lit(0xFFFFFFFF).cast("long")
-    chars = F.split(seed, "")
-    fnv = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0x811C9DC5).cast("long"), lambda h, c: h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(0x01000193).cast("long") % F.lit(1 << 32).cast("long"))
+    units = F.regexp_extract_all(F.hex(F.encode(seed, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    fnv = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(0x01000193).cast("long") % F.lit(1 << 32).cast("long"))
     start = F.when(fnv == 0, F.lit(0x6D2B79F5).cast("long")).otherwise(fnv)
 
     def draw(x):

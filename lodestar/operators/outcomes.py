@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import REPAIRABLE
+from ..functions.text import OFFSET_MODE
 
 
 def empty_kind(extractions, failures) -> Column:
@@ -20,6 +21,12 @@ def repairable(kind) -> Column:
     return F.coalesce(kind.isin(*REPAIRABLE), F.lit(False))
 
 
+def valid_shape(cls, quote, mode, start, end, span_mode, span_start, span_end) -> Column:
+    """Whether an extraction has all its members, its offsets are of the one mode, and its span mirrors them."""
+    given = cls.isNotNull() & quote.isNotNull() & start.isNotNull() & end.isNotNull()
+    return given & mode.eqNullSafe(F.lit(OFFSET_MODE)) & span_mode.eqNullSafe(mode) & span_start.eqNullSafe(start) & span_end.eqNullSafe(end)
+
+
 def failure_kind(provider_error, budget, parse_ok, shape_ok, quote_ok) -> Column:
     """The kind of the first thing that went wrong, null if nothing did."""
     return F.when(budget, "budget_exhausted").when(provider_error, "provider_error").when(~parse_ok, "json_pipeline_failure").when(~shape_ok, "payload_shape_failure").when(~quote_ok, "quote_invariant_failure")

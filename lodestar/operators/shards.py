@@ -25,29 +25,38 @@ def windows(length, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("shard_index"), (i * step).alias("start"), F.least(length, i * step + size).alias("end")))
 
 
-def shard_id(program_hash: str, document_id, size: int, overlap: int, start, end, text) -> Column:
+def shard_id(program_hash: str | Column, document_id, size: int, overlap: int, start, end, text) -> Column:
     """SHA-256 over eight ``key=value`` lines that name all a shard depends on."""
-    head = F.concat(F.lit(f"programHash={program_hash}\ndocumentId="), document_id, F.lit(f"\nchunkSize={size}\noverlap={overlap}\noffsetMode={T.OFFSET_MODE}\nshardStart="))
+    program = F.lit(program_hash) if isinstance(program_hash, str) else program_hash
+    head = F.concat(F.lit("programHash="), program, F.lit("\ndocumentId="), document_id, F.lit(f"\nchunkSize={size}\noverlap={overlap}\noffsetMode={T.OFFSET_MODE}\nshardStart="))
     return F.sha2(F.concat(head, start.cast("string"), F.lit("\nshardEnd="), end.cast("string"), F.lit("\nshardText="), text), 256)
 
 
-def shard_documents(docs: DataFrame, program_hash: str, size: int, overlap: int, ids: bool = True) -> DataFrame:
-    """document_id, shard_index, shard_id, start, end, text from document_id, text (normalised).
+def shard_documents(docs: DataFrame, program_hash: str | Column, size: int, overlap: int, ids: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """document_id, shard_index, shard_id, start, end, text from document_id, text (normalised), and the
+    columns to ``carry``, of which ``program_hash`` may be one.
 
     Offsets count UTF-16 code units.  Texts without characters beyond the basic plane, where code
     units are characters, are sliced as text; the others as UTF-16, since a window may cut a
     surrogate pair.  Both ways are built-in functions of one scan."""
     check_options(size, overlap)
-    d = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("document_id", "text", T.u16_len(F.col("text")).alias("n_units"), T.has_astral(F.col("text")).alias("astral"))
-    d = d.select("document_id", "text", "astral", F.explode(windows(F.col("n_units"), size, overlap)).alias("w"))
+    d = docs.select("document_id", *carry, F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("document_id", *carry, "text", T.u16_len(F.col("text")).alias("n_units"), T.has_astral(F.col("text")).alias("astral"))
+    d = d.select("document_id", *carry, "text", "astral", F.explode(windows(F.col("n_units"), size, overlap)).alias("w"))
     a, b = F.col("w.start"), F.col("w.end")
     piece = F.when(F.col("astral"), T.u16_slice_lossy(F.col("text"), a, b)).otherwise(F.substr("text", a + 1, b - a))
-    d = d.select("document_id", "w.shard_index", a.alias("start"), b.alias("end"), piece.alias("text"))
+    d = d.select("document_id", *carry, "w.shard_index", a.alias("start"), b.alias("end"), piece.alias("text"))
     if not ids:
         return d
     key = shard_id(program_hash, F.col("document_id"), size, overlap, F.col("start"), F.col("end"), F.col("text"))
-    return d.select("document_id", "shard_index", key.alias("shard_id"), "start", "end", "text")
+    return d.select("document_id", *carry, "shard_index", key.alias("shard_id"), "start", "end", "text")
+
+
+def resolved_bound(top, inner) -> Column:
+    """struct(bound, verdict) of a bound that may be given beside a span, within it, or both: the outer one is
+    taken; verdict is missing if there is none, mismatch if they differ, else ok."""
+    bound = F.coalesce(top, inner)
+    return F.struct(bound.alias("bound"), F.when(bound.isNull(), "missing").when(top != inner, "mismatch").otherwise("ok").alias("verdict"))
 
 
 def span_error(start, end, shard_start, shard_end) -> Column:
@@ -64,9 +73,11 @@ def occurrences(text, quote) -> Column:
     text is cut in front of each, and the lengths of the pieces are added up."""
     literal = F.concat(F.lit(r"\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     pieces = F.split(text, F.concat(F.lit("(?="), literal, F.lit(")")))
-    size = F.transform(pieces, T.u16_len)
-    ends = F.transform(F.sequence(F.lit(0), F.size(size) - 1), lambda i: F.aggregate(F.slice(size, F.lit(1), i), F.lit(0), lambda s, x: s + x))
-    return F.when(F.startswith(text, quote), ends).otherwise(F.slice(ends, F.lit(2), F.size(ends)))
+    # at: where the piece begins; what is found is kept as text, since an array would be copied for each hit
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("found"))
+    step = lambda s, p: F.struct((s["at"] + T.u16_len(p)).alias("at"), F.concat(s["found"], s["at"].cast("string"), F.lit(" ")).alias("found"))
+    begins = F.aggregate(pieces, zero, step, lambda s: F.transform(F.split(F.rtrim(s["found"]), " "), lambda x: x.cast("int")))
+    return F.when(F.startswith(text, quote), begins).otherwise(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))))
 
 
 def quote_error(text, quote, offset_mode, start, end, span_mode, span_start, span_end, length=None, astral=None) -> Column:

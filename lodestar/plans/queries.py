@@ -13,6 +13,7 @@ from ..functions import schema as SC
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import outcomes as O
+from ..operators import passages as PA
 from ..operators import shards as S
 from ..operators.partitions import dealt
 from ..program import normalize_program, prompt_column, request_hash_column
@@ -68,43 +69,11 @@ def measured(d: DataFrame) -> DataFrame:
     return d.withColumn("n_units", T.u16_len(F.col("text"))).withColumn("astral", F.length("text") != F.col("n_units"))
 
 
-def _pairs(words):
-    """Neighbouring words, joined by a space."""
-    return F.when(F.size(words) >= 2, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
-
-
-def passages(t, size=2048, overlap=512, broadcast_rows=1_000_000):
-    """(document, item): every occurrence of every item, found shard by shard, in document offsets, with
-    what the overlap of shards found twice removed.  Shards overlap by the longest item at least, so
-    that each occurrence lies in one of them whole.
-
-    An item with four words or more has two neighbours within it that stand whole wherever it occurs;
-    the longest such pair is its key, and the documents' pairs are joined with the keys: broadcast up to
-    ``broadcast_rows`` items, else by a shuffle.  Items of fewer words are a query set that each document
-    is searched for, in blocks.  Only documents that have a key are cut to shards and searched."""
-    words = lambda c: F.split(c, "[ \n]")
-    items = t.benchmark.filter(F.length("text") > 0).select("item_id", F.col("text").alias("q"), words("text").alias("w"))
-    within = F.when(F.size("w") >= 4, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.array().cast("array<string>"))
-    longest = F.array_max(F.transform(_pairs(within), lambda p: F.struct(F.length(p).alias("n"), p.alias("key"))))
-    items = items.select("item_id", "q", longest["key"].alias("key"))
-    n, n_short, most = items.agg(F.count("*"), F.count_if(F.col("key").isNull()), F.max(T.u16_len(F.col("q")))).first()
-    hint = F.broadcast if n <= broadcast_rows else (lambda df: df)
-    overlap = max(overlap, most or 0)
+def passages(t, size=2048, overlap=512, broadcast_bytes=PA.BROADCAST_BYTES):
+    """(document, item): every occurrence of every item, with the rule that it breaks, if any."""
+    items = t.benchmark.filter(F.length("text") > 0).select("item_id", F.col("text").alias("q"))
     d = docs(t).withColumn("text", T.normalize_newlines("text"))
-    keys = d.select("document_id", F.explode(F.array_distinct(_pairs(words("text")))).alias("key"))
-    met = keys.join(hint(items.filter("key IS NOT NULL")), "key").select("document_id", "item_id", "q")
-    blocks = -(-n_short // 1000)
-    for block in range(blocks):
-        some = items.filter("key IS NULL").filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == block).agg(F.collect_list(F.struct("item_id", "q")).alias("some"))
-        tried = d.crossJoin(F.broadcast(some)).select("document_id", F.explode(F.filter("some", lambda x: F.contains(F.col("text"), x["q"]))).alias("x"))
-        met = met.unionByName(tried.select("document_id", "x.item_id", "x.q"))
-    met = met.distinct()
-    s = S.shard_documents(d.join(met.select("document_id").distinct(), "document_id", "left_semi"), HASH, max(size, 2 * overlap), overlap, ids=False)
-    hit = s.join(met, "document_id").filter(F.contains(F.col("text"), F.col("q")))
-    hit = hit.select("document_id", "item_id", F.col("q").alias("quote"), F.col("start").alias("shard_start"), F.explode(S.occurrences(F.col("text"), F.col("q"))).alias("local_start"))
-    a = F.col("shard_start") + F.col("local_start")
-    found = hit.select("document_id", "item_id", "quote", a.cast("int").alias("char_start"), (a + T.u16_len(F.col("quote"))).cast("int").alias("char_end"), F.lit("passage").alias("extraction_class"), F.lit(T.OFFSET_MODE).alias("offset_mode"), F.lit("explicit").alias("grounding"), F.lit(None).cast("string").alias("attributes_json"))
-    found = S.dedupe(found, ["document_id", "item_id"])
+    found = PA.find_passages(d, items, HASH, size, overlap, broadcast_bytes)
     mode = F.col("offset_mode")
     error = S.quote_error(F.col("text"), F.col("quote"), mode, F.col("char_start"), F.col("char_end"), mode, F.col("char_start"), F.col("char_end"), F.col("n_units"), F.col("astral"))
     return found.join(measured(d), "document_id").withColumn("error", error).drop("text", "n_units", "astral")
@@ -181,8 +150,8 @@ SELECT doc_id, shard_index, coalesce(top_a, in_a, -1) AS char_start, CASE WHEN c
 def span_resolve(t):
     i, a = F.col("shard_index"), F.col("a")
     g = raws(t).select("doc_id", "shard_index", F.when(i % 3 == 0, a).alias("top_a"), F.when(i % 2 == 0, a + (F.col("doc_id") % 19 == 0).cast("int")).alias("in_a"))
-    start = F.coalesce("top_a", "in_a")
-    return g.select("doc_id", "shard_index", F.coalesce(start, F.lit(-1)).alias("char_start"), F.when(start.isNull(), "missing").when(F.col("top_a") != F.col("in_a"), "mismatch").otherwise("ok").alias("verdict"))
+    r = S.resolved_bound(F.col("top_a"), F.col("in_a"))
+    return g.select("doc_id", "shard_index", F.coalesce(r["bound"], F.lit(-1)).alias("char_start"), r["verdict"].alias("verdict"))
 
 
 @query(f"""WITH {_RAW_SQL}, x AS (SELECT r.*, text, CASE WHEN doc_id % 23 = 0 THEN 'bytes' ELSE 'utf16_code_unit' END AS mode, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE substr(body, greatest(a, 0) + 1, greatest(b - a, 0)) END AS quote, s + a + CAST(doc_id % 29 = 0 AS INTEGER) AS span_a FROM r JOIN documents USING (doc_id))
@@ -244,10 +213,15 @@ def extraction_keys(t):
     return extractions(t).select("doc_id", T.suite_key(c, a, b, q).alias("suite_key"), T.gold_key(c, q, a, b).alias("bench_key"))
 
 
-@query(f"WITH {_EXT_SQL} SELECT doc_id, char_start, length(quote) > 0 AND char_start >= 0 AND char_end >= char_start AND length(extraction_class) > 0 AS shape_ok FROM x")
+@query(f"""WITH {_EXT_SQL} SELECT doc_id, char_start, char_end, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND (doc_id % 5 <> 0 OR char_start <> 0) AS shape_ok FROM x""")
 def shape_valid(t):
-    ok = (F.length("quote") > 0) & (F.col("char_start") >= 0) & (F.col("char_end") >= F.col("char_start")) & (F.length("extraction_class") > 0)
-    return extractions(t).select("doc_id", "char_start", ok.alias("shape_ok"))
+    """Offsets of another mode, spans that don't mirror them, quotes and bounds that are missing."""
+    d, a, b = F.col("doc_id"), F.col("char_start"), F.col("char_end")
+    mode = F.when(d % 7 == 0, "bytes").otherwise(T.OFFSET_MODE)
+    quote = F.when(d % 11 != 0, F.col("quote"))
+    end = F.when(d % 13 != 0, b)
+    ok = O.valid_shape(F.col("extraction_class"), quote, mode, a, end, mode, F.when((d % 5 != 0) | (a != 0), a).otherwise(a + 1), end)
+    return extractions(t).select("doc_id", "char_start", "char_end", ok.alias("shape_ok"))
 
 
 @query(f"""WITH RECURSIVE {_EXT_SQL}, k AS (SELECT doc_id, char_start, char_end, extraction_class AS cls, row_number() OVER (PARTITION BY doc_id ORDER BY char_start, char_end, extraction_class) AS nth FROM x),
@@ -547,6 +521,16 @@ def cf_scan(t):
     return t.events.select("event_id", F.coalesce(F.get(hits, F.lit(0)), F.lit("")).alias("first_hit"), (F.size(hits) > 0).alias("found"))
 
 
+_MARKED = "translate(text, 'qkz', chr(8203) || chr(8232) || chr(65279))"
+
+
+@query(f"WITH m AS (SELECT doc_id, {_MARKED} AS text FROM documents), h AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM m WHERE length(text) > 0) SELECT doc_id, CAST(ord(substr(text, i, 1)) AS INTEGER) AS code_point, octet_length(encode(left(text, i - 1))) AS byte_offset FROM h WHERE ord(substr(text, i, 1)) IN (8203, 8232, 65279)")
+def forbidden_offsets(t):
+    """Every refused code point in texts that hold three of them, with its place in UTF-8 bytes."""
+    marked = t.documents.select("doc_id", F.translate("text", "qkz", "\u200b\u2028\ufeff").alias("text"))
+    return T.forbidden_rows(dealt(marked), "doc_id").select("doc_id", "code_point", "byte_offset")
+
+
 @query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped_hash FROM pages")
 def html_escape(t):
     return t.pages.select("page_id", F.sha2(T.escape_html(F.col("html")), 256).alias("escaped_hash"))
@@ -563,12 +547,13 @@ def u16_length(t):
     return t.documents.select("doc_id", T.u16_len(F.col("text")).cast("long").alias("n_units"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT event_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('seed-' || event_id, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS x FROM events),
+@query("""WITH RECURSIVE h AS (SELECT event_id, list_reduce(list_concat([2166136261::BIGINT, 233, 55357, 56898, 45], list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS x FROM events),
 d AS (SELECT event_id, 0 AS i, CASE WHEN x = 0 THEN 1831565813 ELSE x END AS x FROM h
  UNION ALL SELECT event_id, i + 1, xor(b, (b * 32) & 4294967295) FROM (SELECT event_id, i, xor(a, a // 131072) AS b FROM (SELECT event_id, i, xor(x, (x * 8192) & 4294967295) AS a FROM d WHERE i < 3)))
 SELECT event_id, x AS draw FROM d WHERE i > 0""")
 def prng_draws(t):
-    return t.events.select("event_id", F.explode(T.prng_draws(F.concat(F.lit("seed-"), F.col("event_id").cast("string")), 3)).alias("draw"))
+    """Seeds with a character beyond the basic plane, of two UTF-16 units."""
+    return t.events.select("event_id", F.explode(T.prng_draws(F.concat(F.lit("é🙂-"), F.col("event_id").cast("string")), 3)).alias("draw"))
 
 
 def _hmac_sql(key: bytes, text: str) -> str:
@@ -661,14 +646,75 @@ def schema_validate(t):
     return v.select("event_id", SC.validate_udf(node)("j").alias("v")).select("event_id", "v.ok", F.array_join(F.transform("v.errors", lambda e: e["path"]), ",").alias("paths"))
 
 
-@query("""WITH f AS (SELECT conv_id, turn % 2 AS i, min(turn) AS first, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1, 2)
-SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS INTEGER) AS slot, CAST(i AS INTEGER) AS call_index, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, arguments FROM f""")
+def call_frames(t) -> DataFrame:
+    """stream_id, seq, frame: each turn as a frame of a streamed reply, the frames of a conversation in one of the
+    five shapes that carry tool calls."""
+    turn, text, shape = F.col("turn"), F.col("text"), F.col("conv_id") % 5
+    index, number = turn % 2, turn.cast("string")
+
+    def call(**members):
+        return F.array(F.struct(index.alias("index"), *(v.alias(k) for k, v in members.items())))
+
+    function = lambda name: F.struct(name.alias("name"), text.alias("arguments"))
+    within = lambda x, *names: within(F.struct(x.alias(names[-1])) if names[-1] not in ("choices", "candidates", "parts") else F.struct(F.array(x).alias(names[-1])), *names[:-1]) if names else F.to_json(x)
+    listed = within(call(id=F.concat(F.lit("call-"), index.cast("string")), function=function(F.concat(F.lit("f"), number))), "choices", "delta", "tool_calls")
+    whole = within(F.struct(F.concat(F.lit("g"), number).alias("name"), text.alias("args")), "candidates", "content", "parts", "functionCall")
+    event = lambda name, *more: F.to_json(F.struct(F.lit(name).alias("event"), *more))
+    place = F.lit(0).alias("output_index")
+    item = F.struct(F.lit("function_call").alias("type"), F.lit("it").alias("id"), F.lit("h").alias("name"), place, text.alias("arguments"))
+    added = event("response.output_item.added", item.alias("item"))
+    grown = event("response.function_call_arguments.delta", F.lit("it").alias("item_id"), place, text.alias("delta"))
+    piece, done = event("response.function_call_arguments.delta", place, text.alias("delta")), event("response.function_call_arguments.done", place, text.alias("arguments"))
+    put = within(call(function=function(F.lit("m"))), "message", "tool_calls")
+    frame = F.when(shape == 0, listed).when(shape == 1, whole).when(shape == 2, F.when(turn == 0, added).otherwise(grown)).when(shape == 3, F.when(turn % 2 == 1, done).otherwise(piece)).otherwise(put)
+    return t.conversations.select(F.col("conv_id").cast("string").alias("stream_id"), turn.alias("seq"), frame.alias("frame"))
+
+
+#: What the frames come to: shapes 0 and 4 have a call for even and one for odd turns, of which shape 4 keeps the last text;
+#: shape 1 has a call for each turn, shapes 2 and 3 have one, which in shape 3 begins anew at the last odd turn.
+_CALLS_SQL = """WITH c AS (SELECT conv_id, turn, text, conv_id % 5 AS shape, CASE conv_id % 5 WHEN 1 THEN turn WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE turn % 2 END AS k FROM conversations),
+f AS (SELECT conv_id, shape, k, min(turn) AS first, CASE shape WHEN 4 THEN max_by(text, turn) ELSE string_agg(text, '' ORDER BY turn) FILTER (shape <> 3 OR turn >= odd) END AS arguments
+ FROM (SELECT *, coalesce(max(turn) FILTER (turn % 2 = 1) OVER (PARTITION BY conv_id), -1) AS odd FROM c) GROUP BY 1, 2, 3),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS INTEGER) AS slot FROM f)
+SELECT CAST(conv_id AS VARCHAR) AS stream_id, slot, CASE shape WHEN 1 THEN slot ELSE CAST(k AS INTEGER) END AS call_index, CASE shape WHEN 0 THEN 'call-' || k WHEN 2 THEN 'it' END AS call_id,
+ CASE shape WHEN 0 THEN 'f' || first WHEN 1 THEN 'g' || first WHEN 2 THEN CASE WHEN first = 0 THEN 'h' END WHEN 4 THEN 'm' END AS name, arguments FROM n"""
+
+
+@query(_CALLS_SQL)
 def toolcall_assemble(t):
     from ..streaming.toolcalls import assemble_batch
 
-    c = t.conversations
-    frame = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct((F.col("turn") % 2).alias("index"), F.struct(F.col("text").alias("arguments")).alias("function"))).alias("tool_calls")).alias("delta"))).alias("choices")))
-    return assemble_batch(c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), frame.alias("frame")))
+    return assemble_batch(call_frames(t))
+
+
+class Stopped(Exception):
+    """What ends the stream of :func:`toolcall_stream` half-way."""
+
+
+@query(_CALLS_SQL)
+def toolcall_stream(t):
+    """The frames as a stream of files, in no order and one in seven twice, stopped in its second batch after that
+    is written, and taken up again."""
+    from pyspark.errors import StreamingQueryException
+
+    from ..sources.storage import work_dir
+    from ..streaming.toolcalls import assemble_folder
+
+    base, files = work_dir(t.spark, "toolcall-stream"), 4
+    once = call_frames(t)
+    twice = once.filter(F.pmod(F.xxhash64("stream_id", "seq"), F.lit(7)) == 0).withColumn("copy", F.lit(1))
+    frames = once.withColumn("copy", F.lit(0)).unionByName(twice)
+    frames.repartition(files, F.xxhash64("stream_id", "seq", "copy")).select("stream_id", F.col("seq").cast("long").alias("seq"), "frame").write.parquet(f"{base}/frames")
+
+    def stop(number):
+        if number == 1:
+            raise Stopped("after the second batch")
+
+    try:
+        assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=1, after_batch=stop)
+    except StreamingQueryException:
+        pass
+    return assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=1)
 
 
 @query("""SELECT event_id, event_id % 4 <> 0 AS valid, CASE WHEN event_id % 4 = 0 THEN 'payload_hash_mismatch' END AS reason,
@@ -719,6 +765,50 @@ def regression_check(t):
     return check_regression(t.events.select(F.col("event_id").alias("line"), value.alias("value"))).withColumn("errors", F.array_join("errors", "; "))
 
 
+def _lines_sql() -> str:
+    """Three files of events' lines, in order of id: one in eleven lines is blank, cut short, an array, or ends in a
+    carriage return."""
+    line = "CASE event_id % 11 WHEN 3 THEN '' WHEN 4 THEN left(props, 5) WHEN 5 THEN '[1]' ELSE props END"
+    return f"""l AS (SELECT event_id % 3 AS file, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line, CASE event_id % 11 WHEN 3 THEN 'blank line' WHEN 4 THEN 'no JSON' WHEN 5 THEN 'no object' END AS problem, {line} AS value FROM events)"""
+
+
+def _line_files(t) -> str:
+    """Writes those files and gives their folder."""
+    from ..sources.storage import work_dir
+
+    m, props = F.col("event_id") % 11, F.col("props")
+    value = F.when(m == 3, "").when(m == 4, F.left(props, F.lit(5))).when(m == 5, "[1]").when(m == 6, F.concat(props, F.lit("\r"))).otherwise(props)
+    base = work_dir(t.spark, "lines")
+    rows = t.events.select((F.col("event_id") % 3).alias("f"), "event_id", value.alias("value"))
+    rows.repartition("f").sortWithinPartitions("f", "event_id").select("f", "value").write.partitionBy("f").text(base)
+    return base
+
+
+def _file_number():
+    return F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("long").alias("file")
+
+
+@query(f"WITH {_lines_sql()} SELECT file, line, problem FROM l WHERE problem IS NOT NULL")
+def jsonl_violations(t):
+    from ..sources.lines import strict_violations
+
+    return strict_violations(t.spark, _line_files(t)).select(_file_number(), "line", "problem")
+
+
+@query(f"WITH {_lines_sql()} SELECT file, count(*) FILTER (problem IS NULL) AS n_objects FROM l GROUP BY file")
+def jsonl_objects(t):
+    from ..sources.lines import object_count
+
+    return object_count(t.spark, _line_files(t)).select(_file_number(), "n_objects")
+
+
+@query(f"WITH {_lines_sql()} SELECT file, line, sha256(value || CASE WHEN event_id % 11 = 6 THEN chr(13) ELSE '' END) AS line_hash FROM (SELECT l.*, event_id FROM l JOIN (SELECT event_id, event_id % 3 AS file, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line FROM events) USING (file, line))")
+def line_numbers(t):
+    from ..sources.lines import numbered_lines
+
+    return numbered_lines(t.spark, _line_files(t)).select(_file_number(), "line", T.sha256("value").alias("line_hash"))
+
+
 @query()
 def evidence_run(t):
     """The whole run: a rule answers each shard with its first word."""
@@ -729,6 +819,52 @@ def evidence_run(t):
     return made.select("document_id", F.sha2("bundle", 256).alias("bundle_hash")).join(R.diagnostics_of(out), "document_id")
 
 
+#: A case for each benchmark item and trial, by (length of the text + trial) % 6 of recorded replies: 0 first word found; 1 found twice;
+#: 2 a wrong quote, mended by the repair pass; 3 no JSON in either pass; 4 nothing found; 5 a wrong quote in both passes.
+_CASES_SQL = """WITH i AS (SELECT item_id, split_part(text, ' ', 1) AS w, length(text) AS nr FROM benchmark), c AS (SELECT item_id, trial, w, (nr + trial) % 6 AS m, nr % 2 = 0 AS gold FROM i, (SELECT unnest(range(3)) AS trial)),
+s AS (SELECT trial, item_id AS case_id, CASE WHEN m IN (3, 4, 5) THEN 0 WHEN m = 1 AND length(w) > 1 THEN 2 ELSE 1 END AS n, m NOT IN (3, 5) AS ok, CASE WHEN NOT gold THEN 1.0 WHEN m IN (0, 1, 2) THEN 1.0 ELSE 0.0 END AS coverage FROM c),
+t AS (SELECT trial, avg(CAST(ok AS INTEGER)) AS success_rate, avg(coverage) AS coverage_rate, sum(n) AS n FROM s GROUP BY trial),
+d AS (SELECT avg(CAST(kinds > 1 AS INTEGER)) AS drift FROM (SELECT case_id, count(DISTINCT (ok, n)) AS kinds FROM s GROUP BY case_id)),
+r AS (SELECT avg(success_rate) AS success_rate, 1.0 AS schema_validity_rate, 1.0 AS quote_invariant_pass_rate, avg(coverage_rate) AS coverage_rate, var_pop(n) AS extraction_count_variance, stddev_pop(success_rate) AS success_rate_std_dev, (SELECT drift FROM d) AS case_outcome_drift_rate, (SELECT count(DISTINCT case_id) FROM s) AS total_case_count FROM t)"""
+_GATES = [("success_rate", 1.0, ">="), ("schema_validity_rate", 1.0, ">="), ("quote_invariant_pass_rate", 1.0, ">="), ("coverage_rate", 1.0, ">="), ("total_case_count", 1.0, ">="), ("extraction_count_variance", 0.25, "<="), ("success_rate_std_dev", 0.05, "<="), ("case_outcome_drift_rate", 0.05, "<=")]
+
+
+def trial_cases(t) -> DataFrame:
+    word = F.substring_index("text", " ", 1)
+    n = T.u16_len(F.col("w"))
+    c = t.benchmark.select("item_id", "text", word.alias("w"), F.length("text").alias("nr")).withColumn("trial", F.explode(F.array(*map(F.lit, range(3))))).withColumns({"m": (F.col("nr") + F.col("trial")) % 6, "n": n})
+    one = lambda cls, quote, end: F.struct(F.lit(cls).alias("extractionClass"), quote.alias("quote"), F.lit(0).alias("charStart"), end.alias("charEnd"))
+    told = lambda *xs: F.to_json(F.struct(F.array(*xs).alias("extractions")))
+    good, wrong = one("word", F.col("w"), F.col("n")), one("word", F.concat("w", F.lit("?")), F.col("n"))
+    letter = one("letter", F.left("w", F.lit(1)), T.u16_len(F.left("w", F.lit(1))))
+    script = lambda draft, repair: F.to_json(F.struct(F.lit("multi_pass_v1").alias("kind"), draft.alias("draft"), repair.alias("repair")))
+    m = F.col("m")
+    reply = F.when(m == 0, told(good)).when(m == 1, F.when(F.length("w") > 1, told(good, letter)).otherwise(told(good))).when(m == 2, script(told(wrong), told(good))).when(m == 3, script(F.lit("I can't say."), F.lit("Still not.")))
+    reply = reply.when(m == 4, F.lit('{"extractions":[]}')).otherwise(told(wrong))
+    span = F.struct(F.lit("word").alias("extractionClass"), F.col("w").alias("quote"), F.lit(0).alias("charStart"), F.col("n").alias("charEnd"))
+    gold = F.when(F.col("nr") % 2 == 0, F.array(span)).otherwise(F.array().cast("array<struct<extractionClass:string,quote:string,charStart:int,charEnd:int>>"))
+    return c.select(F.col("item_id").cast("string").alias("caseId"), F.col("text").alias("documentText"), F.concat(F.lit("Find item "), F.col("item_id").cast("string")).alias("instructions"), F.lit('{"type":"object"}').alias("targetSchema"), reply.alias("providerResponseText"), gold.alias("goldSpans"), "trial")
+
+
+def _trial_scores(t) -> DataFrame:
+    from . import run as R
+    from .trial import run_trials
+
+    return run_trials([trial_cases(t)], R.Options("bench", PROGRAM), 3)
+
+
+@query(_CASES_SQL + " SELECT CAST(trial AS INTEGER) AS trial, CAST(case_id AS VARCHAR) AS case_id, CAST(n AS BIGINT) AS extraction_count, ok AS success, CAST(coverage AS DOUBLE) AS coverage_rate FROM s")
+def trial_scores(t):
+    return _trial_scores(t).select("trial", "case_id", F.col("extraction_count").cast("long").alias("extraction_count"), "success", "coverage_rate")
+
+
+@query(_CASES_SQL + " " + " UNION ALL ".join(f"SELECT '{k}' AS gate, CAST({k} AS DOUBLE) AS value, CAST({v} AS DOUBLE) AS \"limit\", {k} {op} {v} AS passed FROM r" for k, v, op in _GATES))
+def trial_gates(t):
+    from .trial import summary
+
+    return M.gates(summary(_trial_scores(t)))
+
+
 def _first_word(request: dict) -> str:
     import json
 

@@ -21,6 +21,7 @@ from ..functions.salvage import Budget
 from ..operators import outcomes as O
 from ..operators import shards as S
 from ..sources.providers import Provider, is_transient
+from ..sources.storage import work_dir
 
 
 @dataclass(frozen=True)
@@ -138,13 +139,18 @@ class ShardRun:
         return {"status": "failure", "failure_kind": kind, "failure_message": message, "error_name": name, "retryable": retryable, "final_pass": final, "extractions": [], "stages": stages, "repair": envelope.flat_log(log)}
 
 
-def _attempt(o: Options, provider: Provider, attempt: int, layout: pa.Schema):
+#: Makes of a shard, and of what ``carry`` names beside it, the run's id, the attempt and the shard's own row.
+Runner = Callable[..., tuple[str, ShardRun, Shard]]
+
+
+def _attempt(attempt: int, layout: pa.Schema, runner: Runner, carry: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             rows = []
-            for shard in map(Shard._make, zip(*(batch.column(f).to_pylist() for f in Shard._fields))):
-                base = {"run_id": o.run_id, "from_checkpoint": False, "attempts": attempt, "max_passes": o.max_passes}
-                rows.append(base | {k: v for k, v in shard._asdict().items() if k != "text"} | ShardRun(o, provider)(shard))
+            for values in zip(*(batch.column(f).to_pylist() for f in (*Shard._fields, *carry))):
+                run_id, one, shard = runner(Shard._make(values[: len(Shard._fields)]), *values[len(Shard._fields) :])
+                base = {"run_id": run_id, "from_checkpoint": False, "attempts": attempt, "max_passes": one.options.max_passes}
+                rows.append(base | {k: v for k, v in shard._asdict().items() if k != "text"} | one(shard))
             yield pa.RecordBatch.from_pylist(rows, layout)
 
     return run
@@ -178,7 +184,7 @@ def execute(docs: DataFrame, o: Options, provider: Provider) -> DataFrame:
     to the next wave, after the policy's delay.  Successes are appended to the checkpoints, which
     are a Parquet table partitioned by run, so that a later run of the same id resumes."""
     spark = docs.sparkSession
-    base = o.work_dir or _default_dir(spark)
+    base = o.work_dir or work_dir(spark)
     shards = S.shard_documents(docs.select("document_id", "text"), o.program.program_hash, o.chunk_size, o.overlap)
     shards = shards.withColumn("prompt_hash", F.sha2(P.prompt_column(o.program, F.col("shard_id"), F.col("start"), F.col("end"), F.col("text")), 256))
     done = checkpoints(spark, o)
@@ -187,15 +193,22 @@ def execute(docs: DataFrame, o: Options, provider: Provider) -> DataFrame:
     if done is not None:
         known = shards.select("document_id", "shard_id", "shard_index", "start", "end", "prompt_hash").join(done.drop("document_id", "shard_index", "start", "end", "prompt_hash"), "shard_id")
         parts.append(fill(known.withColumns({"from_checkpoint": F.lit(True), "attempts": F.lit(0)})))
+    todo = todo.repartition(o.partitions) if o.partitions else todo
+    return waves(todo, o, lambda shard: (o.run_id, ShardRun(o, provider), shard), base, parts)
+
+
+def waves(todo: DataFrame, o: Options, runner: Runner, base: str, parts: list[DataFrame] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Outcomes of ``todo`` (the fields of Shard, and ``carry``: shard_id tells rows apart), behind ``parts``, in as
+    many waves as there are attempts to be made."""
+    spark, parts = todo.sparkSession, parts or []
     layout = to_arrow_schema(spark.createDataFrame([], schemas.OUTCOME).schema)
     began, attempt = o.clock_ms(), 0
-    todo = todo.repartition(o.partitions) if o.partitions else todo
     while True:
         if o.time_budget_ms is not None and o.clock_ms() - began >= o.time_budget_ms:
             parts.append(_out_of_time(o, todo, attempt))
             break
         attempt += 1
-        wave = _store(todo.mapInArrow(_attempt(o, provider, attempt, layout), schemas.OUTCOME), f"{base}/wave-{uuid.uuid4().hex}")
+        wave = _store(todo.mapInArrow(_attempt(attempt, layout, runner, carry), schemas.OUTCOME), f"{base}/wave-{uuid.uuid4().hex}")
         if o.checkpoints:
             fill(wave.filter("status = 'success'")).write.mode("append").partitionBy("run_id").parquet(o.checkpoints)
         last = attempt >= o.retry.attempts
@@ -225,15 +238,6 @@ def checkpoints(spark, o: Options) -> DataFrame | None:
     return spark.read.schema(layout).parquet(o.checkpoints).filter(F.col("run_id") == o.run_id).dropDuplicates(["shard_id"])
 
 
-def _default_dir(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-run-")
-    return found
-
-
 # ---------------------------------------------------------------- roll-ups
 
 
@@ -295,7 +299,7 @@ def bundles(docs: DataFrame, outcomes: DataFrame, o: Options) -> DataFrame:
 def run_with_evidence(docs: DataFrame, o: Options, provider: Provider) -> tuple[DataFrame, DataFrame]:
     """Outcomes and bundles of documents (document_id, text)."""
     ready = prepare(docs, o)
-    out = _store(execute(ready, o, provider), f"{o.work_dir or _default_dir(docs.sparkSession)}/outcomes-{uuid.uuid4().hex}")
+    out = _store(execute(ready, o, provider), f"{o.work_dir or work_dir(docs.sparkSession)}/outcomes-{uuid.uuid4().hex}")
     return out, bundles(ready, out, o)
 
 

@@ -1,4 +1,4 @@
-"""JSON Lines: bundles, evaluation datasets, strict checks of files."""
+"""JSON Lines: bundles and evaluation datasets.  Strict checks of files are in :mod:`.lines`."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import envelope, text
+from ..functions import text
+from .lines import numbered_lines
 
 
 def read_bundles(spark: SparkSession, path: str, schema: str = schemas.BUNDLE) -> DataFrame:
@@ -108,24 +109,3 @@ def read_regression(spark: SparkSession, path: str) -> DataFrame:
     if bad:
         raise ValueError("; ".join(f"line {r.line}: {', '.join(r.errors)}" for r in bad))
     return spark.read.schema(schemas.REGRESSION).json(path)
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1), value: the lines of one file."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
-
-
-def strict_violations(files: DataFrame) -> DataFrame:
-    """file, line, problem from (file, value: the whole text): a file ends in a line feed, has no
-    blank line within, and each line is an object."""
-    lines = files.select("file", "value", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "own"))
-    problem = F.when(F.trim("own") == "", "blank line").when(~envelope.json_strict(F.col("own"))["ok"], "no JSON").when(~F.ltrim("own").startswith("{"), "no object")
-    per_line = lines.select("file", (F.col("at") + 1).alias("line"), problem.alias("problem")).filter("problem IS NOT NULL")
-    ending = files.filter(~F.col("value").endswith("\n")).select("file", F.size(F.split("value", "\n")).alias("line"), F.lit("no line feed at the end").alias("problem"))
-    return per_line.unionByName(ending)
-
-
-def object_count(files: DataFrame) -> DataFrame:
-    """file, n_objects."""
-    return files.select("file", F.size(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n_objects"))

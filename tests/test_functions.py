@@ -226,7 +226,8 @@ def test_columns(spark):
     assert one(T.u16_len(F.lit("a🙂"))) == 3
     assert one(T.u16_slice_lossy(F.lit("a🙂b"), F.lit(1), F.lit(2))) == "\ufffd"
     assert one(T.slice_equals(F.lit("a🙂b"), F.lit(1), F.lit(3), F.lit("🙂")))
-    assert [(r.char, r.byte_offset) for r in one(T.forbidden_code_points(F.lit("ü\u200bx\u2028")))] == [("\u200b", 2), ("\u2028", 6)]
+    hits = T.forbidden_rows(spark.createDataFrame([(1, "ü\u200bx\u2028"), (2, None), (3, "\ufeff\ufeff"), (4, "plain")], "id int, text string"), "id")
+    assert sorted((r.id, r.nth, r.char, r.code_point, r.byte_offset) for r in hits.collect()) == [(1, 0, "\u200b", 0x200B, 2), (1, 1, "\u2028", 0x2028, 6), (3, 0, "\ufeff", 0xFEFF, 0), (3, 1, "\ufeff", 0xFEFF, 3)]
     assert [one(T.backoff_ms(F.lit(a), 10, 80)) for a in (1, 2, 10)] == [10, 20, 80]
     assert one(T.jitter_ms(F.lit(20.0), 0.5, F.lit(0.2))) == 2 and one(T.delay_ms(F.lit(2), F.lit(0.2), 10, 80, 0.25)) == 21
     key = b"k" * 70
