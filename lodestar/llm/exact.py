@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
@@ -17,10 +18,11 @@ class DigestIndex:
     """The digests of every text seen so far, as a Parquet table of batches, each bucketed and sorted by
     digest.
 
-    A batch of new digests is one partition of the table, named by the batch.  ``commit`` replaces that
-    partition, and ``seen`` leaves it out, so a batch that is tried again, whether its first try died
-    before the commit or after it, is decided as if for the first time.  ``compact`` merges batches,
-    since every one adds a file to each bucket.  The table lies at ``location``; any later session opens
+    A batch of new digests is one partition of the table, under a hash of the batch's name, which may be any
+    text.  ``commit`` replaces that partition, and ``seen`` leaves it out, so a batch that is tried again,
+    whether its first try died before the commit or after it, is decided as if for the first time.  The
+    name tells the tries of one delivery from another one: a new name for the same rows is a second
+    delivery, of which nothing is new.  ``compact`` merges batches, since every one adds a file to each bucket.  The table lies at ``location``; any later session opens
     it again with the same location and bucket count.  Use it as a context, or ``close`` it."""
 
     def __init__(self, spark: SparkSession, location: str | None = None, buckets: int = 64):
@@ -41,35 +43,41 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    @staticmethod
+    def key(batch: str) -> str:
+        """What stands for a batch's name in the table and in its paths."""
+        return hashlib.sha256(batch.encode()).hexdigest()[:32]
+
     def batches(self) -> list[str]:
+        """The keys of the batches."""
         return [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()]
 
-    def seen(self, batch: str) -> DataFrame:
-        """digest, keep_id of all batches but this one."""
-        return self.rows().filter(F.col("batch") != batch).select("digest", "keep_id")
+    def seen(self, *batches: str) -> DataFrame:
+        """digest, keep_id of all batches but these."""
+        return self.rows().filter(~F.col("batch").isin(*map(self.key, batches)) if batches else F.lit(True)).select("digest", "keep_id")
 
-    def new(self, groups: DataFrame, batch: str = "") -> DataFrame:
-        """Of ``groups`` (digest, ...) those whose digest the other batches lack, by a sort-merge
+    def new(self, groups: DataFrame, *batches: str) -> DataFrame:
+        """Of ``groups`` (digest, ...) those whose digest batches other than these lack, by a sort-merge
         anti-join; the index is read bucket by bucket, without a shuffle."""
-        return groups.join(self.seen(batch).select("digest").hint("merge"), "digest", "left_anti")
+        return groups.join(self.seen(*batches).select("digest").hint("merge"), "digest", "left_anti")
 
     def commit(self, fresh: DataFrame, batch: str) -> None:
         """Makes (digest, keep_id) the batch's rows, in place of any it had."""
         view = f"fresh_{uuid.uuid4().hex}"
         fresh.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest").createOrReplaceTempView(view)
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{batch}') SELECT digest, keep_id FROM {view}")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = '{self.key(batch)}') SELECT digest, keep_id FROM {view}")
         self.spark.catalog.dropTempView(view)
         self.spark.catalog.refreshTable(self.table)
 
     def compact(self, open_batches: tuple[str, ...] = ()) -> None:
         """Merges all batches into one but ``open_batches``, those that may still be tried again.  If it
         dies half-way a digest is held twice, which changes no answer, and the next call mends it."""
-        old = [b for b in self.batches() if b not in open_batches]
+        kept = set(map(self.key, open_batches))
+        old = [b for b in self.batches() if b not in kept]
         if len(old) < 2:
             return
         merged = written(self.rows().filter(F.col("batch").isin(old)).groupBy("digest").agg(F.max("keep_id").alias("keep_id")), "digests-merged")
-        name = f"merged-{uuid.uuid4().hex}"
-        self.commit(merged, name)
+        self.commit(merged, f"merged-{uuid.uuid4().hex}")
         for b in old:
             self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (batch = '{b}')")
             self._delete(f"{self.location}/batch={b}")
@@ -96,19 +104,13 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(spread(id_and_text(docs, id_col, text_col)).select("doc_id", F.xxhash64("text").alias("th"), digest.alias("digest")), "digests")
 
 
-def _named(digests: DataFrame) -> str:
-    """A batch's name, the same whenever the same rows come."""
-    n, h = digests.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
-    return f"batch-{n}-{h or 0}".replace("--", "-m")
-
-
-def _entries(digests: DataFrame, index: DigestIndex, batch: str | None) -> DataFrame:
+def _entries(digests: DataFrame, index: DigestIndex, batch: str, later: tuple[str, ...] = ()) -> DataFrame:
     """digest, keep_id, group_size, is_new of each text of the batch, a written table; the new ones are
-    committed to the index."""
-    batch = batch or _named(digests)
+    committed to the index.  ``later``: batches of the same delivery whose turn has not come; what an earlier
+    try has left of them counts for nothing."""
     groups = written(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    fresh = written(index.new(groups, batch).select("digest", "keep_id"), "fresh")
-    known = groups.select("digest").join(index.seen(batch).withColumnRenamed("keep_id", "seen_id").hint("merge"), "digest").groupBy("digest").agg(F.max("seen_id").alias("seen_id"))
+    fresh = written(index.new(groups, batch, *later).select("digest", "keep_id"), "fresh")
+    known = groups.select("digest").join(index.seen(batch, *later).withColumnRenamed("keep_id", "seen_id").hint("merge"), "digest").groupBy("digest").agg(F.max("seen_id").alias("seen_id"))
     known = known.withColumn("known", F.lit(True))
     entries = groups.join(known, "digest", "left").select("digest", F.when(F.col("known"), F.col("seen_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.col("known").isNull().alias("is_new"))
     entries = written(entries, "entries")
@@ -125,9 +127,9 @@ def _decided(digests: DataFrame, entries: DataFrame, group_size: Column) -> Data
     return each.join(entries, "digest").withColumn("copy", copies).select("doc_id", "keep_id", group_size.alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-    """Decides for every row whether it stays, and commits the new texts to ``index`` as ``batch`` (by
-    default named by the rows themselves, so that the same rows tried again are the same batch).
+def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Decides for every row whether it stays, and commits the new texts to ``index`` as ``batch``, the
+    delivery's name: tried again under it, the same rows stay; under another one, none does.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256: one row for each input row.  Texts
     are equal if their SHA-256 after lower-casing A-Z is; a null text counts as empty.  Of equal
@@ -141,17 +143,20 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return _decided(digests, _entries(digests, index, batch), F.col("group_size"))
 
 
-def exact_dedup_batches(docs: DataFrame, index: DigestIndex, parts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup_batches(docs: DataFrame, index: DigestIndex, batch: str, parts: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`exact_dedup`, but the rows go through the index in ``parts`` batches, those with the
     largest ids first: so every batch but the first meets an index that is filled, and of equal texts
     the row with the largest id still stays.  group_size counts the rows of all batches.  Rows without
-    an id come last."""
+    an id come last.  Where the ids are parted may differ from try to try, so a part takes no notice of what an
+    earlier try has left of it and of the parts after it."""
+    names = [f"{batch}/{i}" for i in range(parts)]
     digests = _digests(docs, id_col, text_col)
     edges = sorted(set(digests.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.01)), reverse=True)
     low, left, done = F.lit(False), F.lit(True), []
     for edge in [*edges, None]:
         own = F.lit(True) if edge is None else F.coalesce(F.col("doc_id") >= F.lit(int(edge)), low)
-        done.append(_entries(digests.filter(left & own), index, None).withColumn("part", F.lit(len(done))))
+        i = len(done)
+        done.append(_entries(digests.filter(left & own), index, names[i], tuple(names[i + 1 :])).withColumn("part", F.lit(i)))
         left = left & ~own
     every = reduce(DataFrame.unionByName, done)
     # the first batch with a text has decided who stays
@@ -159,7 +164,7 @@ def exact_dedup_batches(docs: DataFrame, index: DigestIndex, parts: int = 3, id_
     return _decided(digests, merged, F.col("group_size"))
 
 
-def drop_exact(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+def drop_exact(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever these are
     called.  Of rows alike in id, and in text but for the case of A-Z, one stays, that of the least
     text hash."""
@@ -189,6 +194,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, buckets=max(8, docs.count() // ROWS_A_BUCKET))
     try:
-        return exact_dedup_batches(docs, index)
+        return exact_dedup_batches(docs, index, "documents")
     finally:
         index.close(delete=True)

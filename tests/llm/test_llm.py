@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameStatFunctions
 from pyspark.sql import functions as F
 
 from lodestar.llm import bwt, bytespan, common, decontaminate, exact, graph, lm, mixing, near, pii, quality, registry, simhash, substring, tokens
@@ -760,7 +761,7 @@ def test_pii_edges(empty, edge):
 
 def test_exact_index(spark, edge, empty):
     index = exact.DigestIndex(spark, buckets=4)
-    got = exact.exact_dedup(edge, index).collect()
+    got = exact.exact_dedup(edge, index, "first").collect()
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     groups = {}
     for i, t in pairs(edge):
@@ -772,21 +773,21 @@ def test_exact_index(spark, edge, empty):
         assert r.group_size == len(ids) and r.keep_id == (max(known) if known else None)
     assert Counter(r.text_sha256 for r in got if r.kept) == Counter(groups.keys())
     more = spark.createDataFrame([(50, "one two"), (51, "brand new"), (52, "Brand NEW")], "doc_id long, text string")
-    again = {r.doc_id: r for r in exact.exact_dedup(more, index).collect()}
+    again = {r.doc_id: r for r in exact.exact_dedup(more, index, "o'clock 12:30/b=%").collect()}
     assert not again[50].kept and again[50].keep_id == 3 and again[52].kept and not again[51].kept
     reopened = exact.DigestIndex(spark, index.location, 4)
     assert reopened.rows().count() == len(groups) + 1
     plan = index.new(reopened.rows())._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan  # bucketed: read as it lies
-    assert exact.exact_dedup(empty, index).count() == 0
+    assert exact.exact_dedup(empty, index, "none").count() == 0
     index.compact()
     assert len(index.batches()) == 1 and index.rows().count() == len(groups) + 1
     plan = index.new(index.rows())._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
-    third = {r.doc_id: r.kept for r in exact.exact_dedup(spark.createDataFrame([(60, "BRAND new"), (61, "yet another")], "doc_id long, text string"), index).collect()}
+    third = {r.doc_id: r.kept for r in exact.exact_dedup(spark.createDataFrame([(60, "BRAND new"), (61, "yet another")], "doc_id long, text string"), index, "third").collect()}
     assert third == {60: False, 61: True}
     with exact.DigestIndex(spark, buckets=4) as other:
-        kept = exact.drop_exact(edge, other)
+        kept = exact.drop_exact(edge, other, "one")
     assert kept.columns == edge.columns and kept.count() == len(groups)
     reopened.close()
     index.close(delete=True)
@@ -796,20 +797,38 @@ def test_exact_batches(spark, documents, edge, empty):
     """In several batches, the larger ids first, the rows are those of one."""
     for df in (documents, edge, empty):
         with exact.DigestIndex(spark, buckets=4) as one, exact.DigestIndex(spark, buckets=4) as many:
-            want, got = exact.exact_dedup(df, one), exact.exact_dedup_batches(df, many, 4)
+            want, got = exact.exact_dedup(df, one, "d"), exact.exact_dedup_batches(df, many, "d", 4)
             assert Counter(got.collect()) == Counter(want.collect())
             assert len(many.batches()) > 1 or df is empty
             assert many.rows().count() == one.rows().count()
 
 
+def test_exact_batches_tried_again(spark, monkeypatch):
+    """A delivery that died between its parts, tried again with other bounds, keeps what it would have; sent again
+    under another name it keeps nothing."""
+    rows = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string")
+    kept = lambda df: sorted(r.doc_id for r in df.collect() if r.kept)
+    with exact.DigestIndex(spark, buckets=2) as index:
+        quantiles = DataFrameStatFunctions.approxQuantile
+        monkeypatch.setattr(DataFrameStatFunctions, "approxQuantile", lambda *_: [5.0, 20.0])
+        assert kept(exact.exact_dedup_batches(rows, index, "d: 1/2")) == list(range(33, 40))
+        for edges in ([30.0, 38.0], [2.0, 35.0]):
+            monkeypatch.setattr(DataFrameStatFunctions, "approxQuantile", lambda *_, e=edges: e)
+            assert kept(exact.exact_dedup_batches(rows, index, "d: 1/2")) == list(range(33, 40))
+            assert index.rows().count() == 7
+        monkeypatch.setattr(DataFrameStatFunctions, "approxQuantile", quantiles)
+        assert kept(exact.exact_dedup_batches(rows, index, "second")) == []
+
+
 def test_exact_retry(spark, monkeypatch):
     """A batch whose caller died, before the commit or after it, keeps its texts when it is tried again."""
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "B"), (None, "c")], "doc_id long, text string")
     want = [(1, True), (2, False), (3, True), (None, True)]
     order = lambda got: sorted(((r.doc_id, r.kept) for r in got), key=lambda x: (x[0] is None, x[0] or 0))
     index = exact.DigestIndex(spark, buckets=2)
-    exact.exact_dedup(rows, index)  # the result is never used
-    assert order(exact.exact_dedup(rows, index).collect()) == want
+    exact.exact_dedup(rows, index, "one")  # the result is never used
+    assert order(exact.exact_dedup(rows, index, "one").collect()) == want
+    assert not any(kept for _, kept in order(exact.exact_dedup(rows, index, "one again").collect()))
     commit = exact.DigestIndex.commit
     fresh = spark.createDataFrame([(7, "d"), (8, "a")], "doc_id long, text string")
 
