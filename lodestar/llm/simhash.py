@@ -117,7 +117,8 @@ def forest(n: int, pairs) -> np.ndarray:
 
 
 def _meet(bits: int):
-    """Within a leaf: a spanning forest of its own fingerprints and of those that visit it."""
+    """Within a block of a leaf: a spanning forest of its own fingerprints and of those that visit it; its own
+    ones meet each other in the first block alone."""
 
     def run(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -126,7 +127,8 @@ def _meet(bits: int):
         n = len(a)
         every = np.concatenate([a, b])
         between = ((i, j + n) for i, j in trie_pairs(a, b, bits))
-        root = forest(len(every), (x for part in (trie_pairs(a, None, bits), between) for x in part))
+        own = trie_pairs(a, None, bits) if table.column("block")[0].as_py() == 0 else ()
+        root = forest(len(every), (x for part in (own, between) for x in part))
         moved = root != np.arange(len(every))
         return pa.table({"a": pa.array(every[moved].view(np.int64), pa.int64()), "b": pa.array(every[root[moved]].view(np.int64), pa.int64())})
 
@@ -174,15 +176,27 @@ def trie_leaves(fps: DataFrame, bits: int = 2, cap: int = 2_000) -> DataFrame:
         nodes = placed.filter(~leaf).select("fp", "prefix", "off")
 
 
+def leaf_blocks(leaves: DataFrame, cap: int) -> DataFrame:
+    """depth, prefix, block, home, fp: ``leaves`` with the visitors of each dealt to blocks of ``cap`` on
+    average, and its own fingerprints, ``cap`` at most, put into all of its blocks.  However many
+    visit a leaf, a block has little more than twice ``cap`` rows."""
+    of = ["depth", "prefix"]
+    visitors = leaves.filter("NOT home").groupBy(*of).agg(F.ceil(F.count("*") / F.lit(float(cap))).cast("int").alias("blocks"))
+    r = leaves.join(visitors, of, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    one = F.array(F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks")).cast("int"))
+    return r.select(*of, F.explode(F.when(F.col("home"), every).otherwise(one)).alias("block"), "home", "fp")
+
+
 def near_edges(fps: DataFrame, bits: int = 2, cap: int = 2_000) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints linked at ``bits`` or fewer bits: of each
-    leaf a spanning forest, so their number is linear however dense a cluster is.
+    block of a leaf a spanning forest, so their number is linear however dense a cluster is.
 
     fps: a written table of distinct fingerprints ``fp``.  A fingerprint visits more leaves the deeper
     the trie is: with d bits of depth 1 + d + d(d - 1) / 2 at two bits of budget, half of them, and of
     those the leaves that have fingerprints."""
-    leaves = trie_leaves(fps, bits, cap)
-    return leaves.groupBy("depth", "prefix").applyInArrow(_meet(bits), "a long, b long")
+    blocks = leaf_blocks(trie_leaves(fps, bits, cap), cap)
+    return blocks.groupBy("depth", "prefix", "block").applyInArrow(_meet(bits), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -498,6 +498,18 @@ def test_leaves_lose_no_link(spark, cap):
     assert all(int(fp[at[a]] ^ fp[at[b]]).bit_count() >= 1 for a, b in edges)
 
 
+def test_leaves_that_many_visit(spark):
+    """Sixty thousand fingerprints under one prefix visit leaves that have few of their own."""
+    rng = np.random.default_rng(6)
+    crowded = (np.uint64(0b1010) << np.uint64(60)) | rng.integers(0, 2**60, 60_000).astype(np.uint64)
+    others = rng.integers(0, 2**63, 6_000).astype(np.uint64)
+    fp = np.unique(np.concatenate([crowded, others, others[:2]]))
+    df = common.written(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), "t")
+    blocks = simhash.leaf_blocks(simhash.trie_leaves(df, 2, 2_000), 2_000)
+    sizes = blocks.groupBy("depth", "prefix", "block").agg(F.count("*").alias("n"), F.count_if("home").alias("own")).agg(F.max("n"), F.max("own"), F.max("block")).first()
+    assert sizes[0] <= 3 * 2_000 and sizes[1] <= 2_000 and sizes[2] >= 2
+
+
 def test_simhash_edges(empty, edge):
     assert simhash.simhash_groups(empty).count() == 0
     kept = [r.doc_id for r in simhash.drop_near(edge).collect()]
