@@ -54,22 +54,12 @@ def _sets(shingle: int):
     return run
 
 
-def _enough(matches: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (b.column(i).flatten().to_numpy().reshape(b.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= matches))
-
-    return run
-
-
 def matching(pairs: DataFrame, nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """Of ``pairs`` (a, b) those with at least ``matches`` coordinates in common.  The long lists, which
     the prefixes leave out, are skipped rather than merged: what they would add to a pair's count is
     read off its two signatures."""
     x, y = (nodes.select(F.col("node").alias(n), F.col("keys").alias(f"{n}_keys")) for n in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_enough(matches), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("a_keys", "b_keys")) >= matches).select("a", "b")
 
 
 def prefix_postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Roller, hashed, written
+from .common import Roller, give_back, hashed, written
 
 CROWD = 32  # members of a list that may meet pair by pair
 
@@ -40,6 +40,7 @@ def _alike(batches):
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(5 * both >= 4 * (len(x) + len(y) - both))  # Jaccard similarity of 0.8 or more
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -94,6 +95,7 @@ def _exploded(batches):
         h = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
         columns = [np.repeat(x, size) for x in (b.column(0).to_numpy(), b.column(1).to_numpy(), size.astype(np.int64))]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(h)], ["node", "root", "n", "h"])
+    give_back()
 
 
 def crowd_pairs(sets: DataFrame, crowd: DataFrame) -> DataFrame:
