@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -233,12 +234,28 @@ def viz_greedy(t):
     return e.select("doc_id", F.explode(S.greedy_spans(F.col("spans"))).alias("x")).select("doc_id", "x.char_start", "x.char_end", "x.cls")
 
 
-@query()
+def _viz_sql() -> str:
+    """Sections by a fold over each document's sorted spans, as the greedy rule is told: a span that begins within the
+    last marked one is left out."""
+    esc = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+    mark = f"""'<mark class="viz-mark" data-start="' || s.a || '" data-end="' || s.b || '" data-class="' || {esc('s.cls')} || '">' || {esc('s.marked')} || '</mark>'"""
+    item = f"""'<li data-class="' || {esc('cls')} || '"><strong>' || {esc('cls')} || '</strong> [' || a || ', ' || b || ') <code>' || {esc('quote')} || '</code></li>'"""
+    return f"""WITH {_EXT_SQL}, k AS (SELECT x.doc_id, char_start AS a, char_end AS b, extraction_class AS cls, quote, text FROM x JOIN documents d ON d.doc_id = x.doc_id WHERE extraction_class = 'name'),
+l AS (SELECT doc_id, string_agg({item}, '' ORDER BY a, b, quote) AS items FROM k GROUP BY doc_id),
+g AS (SELECT doc_id, any_value(text) AS text, list({{'a': a, 'b': b, 'cls': cls, 'marked': substr(text, a + 1, b - a)}} ORDER BY a, b, quote) AS spans FROM k WHERE a >= 0 AND b >= a AND b <= length(text) GROUP BY doc_id),
+m AS (SELECT doc_id, text, list_reduce(spans, lambda st, s: CASE WHEN s.a >= st.at THEN {{'at': s.b, 'out': st.out || {esc("substr(st.text, st.at + 1, s.a - st.at)")} || {mark}, 'text': st.text}} ELSE st END, {{'at': 0, 'out': '', 'text': text}}) AS st FROM g),
+h AS (SELECT d.doc_id, d.text, coalesce(st.out || {esc("substr(d.text, st.at + 1)")}, {esc("d.text")}) AS body FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id),
+s AS (SELECT h.doc_id, '<section class="viz-bundle" data-document-id="' || h.doc_id || '"><h2>' || h.doc_id || '</h2>' || CASE WHEN coalesce(h.text, '') = '' THEN '<p class="viz-empty">Document text not provided for this document.</p>' ELSE '<pre class="viz-document">' || body || '</pre>' END
+ || '<ul class="viz-list">' || coalesce(items, '<li class="viz-empty">No extractions for this filter.</li>') || '</ul></section>' AS html FROM h LEFT JOIN l ON l.doc_id = h.doc_id)
+SELECT doc_id, sha256(html) AS html_hash, length(html) AS n_chars FROM s"""
+
+
+@query(_viz_sql())
 def viz_sections(t):
     from ..viz import sections
 
     e = extractions(t).withColumn("document_id", F.col("doc_id").cast("string")).withColumn("nth", F.lit(0))
-    return sections(e, docs(t), "name").select(F.col("document_id").cast("long").alias("doc_id"), F.sha2("html", 256).alias("html_hash"), F.length("html").alias("n_chars"))
+    return sections(e, docs(t), "name").select(F.col("document_id").cast("long").alias("doc_id"), F.sha2("html", 256).alias("html_hash"), F.length("html").cast("long").alias("n_chars"))
 
 
 # ---------------------------------------------------------------- outcomes and joins
@@ -363,7 +380,7 @@ def case_signature(t):
 @query(f"WITH {_TRIALS}, {_SIG} SELECT round(avg(CAST(k > 1 AS DOUBLE)), 9) AS drift_rate FROM (SELECT case_id, count(DISTINCT signature) + CAST(count(*) < 4 AS INTEGER) AS k FROM s WHERE (case_id + run) % 10 <> 0 GROUP BY case_id)")
 def drift_rate(t):
     k, c, runs = trials(t)
-    seen = M.case_signatures(k, c).filter((F.col("case_id") + F.col("run")) % 10 != 0)
+    seen = M.case_fingerprints(k, c).filter((F.col("case_id") + F.col("run")) % 10 != 0)
     return M.drift(seen, runs).withColumn("drift_rate", F.round("drift_rate", 9))
 
 
@@ -809,14 +826,71 @@ def line_numbers(t):
     return numbered_lines(t.spark, _line_files(t)).select(_file_number(), "line", T.sha256("value").alias("line_hash"))
 
 
-@query()
-def evidence_run(t):
-    """The whole run: a rule answers each shard with its first word."""
+_FIRST_WORDS_SQL = f"""n AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents), {shards_sql(2048, 256, table="n")},
+f AS (SELECT doc_id, shard_index, s AS char_start, s + length(split_part(body, ' ', 1)) AS char_end, split_part(body, ' ', 1) AS quote FROM w)"""
+
+
+def _first_words(t, **more):
     from . import run as R
 
-    o = R.Options("run-1", PROGRAM, chunk_size=2048, overlap=256, created_at="2025-01-01T00:00:00.000Z")
-    out, made = R.run_with_evidence(docs(t), o, PR.RuleProvider(_first_word))
-    return made.select("document_id", F.sha2("bundle", 256).alias("bundle_hash")).join(R.diagnostics_of(out), "document_id")
+    o = R.Options("run-1", PROGRAM, chunk_size=2048, overlap=256, created_at="2025-01-01T00:00:00.000Z", **more)
+    return R.run_with_evidence(docs(t), o, PR.RuleProvider(_first_word))
+
+
+@query(f"""WITH {_FIRST_WORDS_SQL}, k AS (SELECT DISTINCT doc_id, char_start, char_end, quote FROM f),
+e AS (SELECT doc_id, count(*) AS n_extractions, sha256(string_agg(char_start || '-' || char_end || ':' || quote, chr(10) ORDER BY char_start, char_end)) AS quotes_hash FROM k GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS n_shards FROM w GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS document_id, sha256(d.text) AS text_hash, n_shards AS total_shards, n_shards AS ok_shards, CAST(0 AS BIGINT) AS failed_shards, 'non_empty' AS empty_kind, 'complete_success' AS completeness, n_extractions, quotes_hash, d.text <> n.text AS lossy
+FROM documents d JOIN n USING (doc_id) JOIN e USING (doc_id) JOIN h USING (doc_id)""")
+def evidence_run(t):
+    """The whole run: a rule answers each shard with its first word.  What is returned is read out of the bundles."""
+    _, made = _first_words(t)
+    extraction = "array<struct<quote:string,charStart:int,charEnd:int>>"
+    counts = "empty_kind:string,completeness:string,total_shards:bigint,ok_shards:bigint,failed_shards:bigint"
+    b = made.select("document_id", F.from_json("bundle", f"extractions {extraction}, provenance struct<text_hash:string>, normalizationLedger array<struct<lossy:boolean>>, diagnostics struct<{counts}>").alias("b"))
+    lines = F.array_join(F.transform("b.extractions", lambda x: F.concat(x["charStart"].cast("string"), F.lit("-"), x["charEnd"].cast("string"), F.lit(":"), x["quote"])), "\n")
+    return b.select(
+        "document_id", "b.provenance.text_hash", *(f"b.diagnostics.{c.split(':')[0]}" for c in counts.split(",")), F.size("b.extractions").cast("long").alias("n_extractions"), T.sha256(lines).alias("quotes_hash"),
+        F.exists("b.normalizationLedger", lambda x: x["lossy"]).alias("lossy"),
+    )
+
+
+@query(f"WITH {_FIRST_WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS document_id, shard_index, 'success' AS status, quote, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end FROM f")
+def resumed_run(t):
+    """A run that dies behind the second of four commits, and is run again: half of its shards are taken from the
+    checkpoints."""
+    from ..sources.storage import work_dir
+
+    base = work_dir(t.spark, "resumed")
+
+    def die(version):
+        if version == 2:
+            raise Stopped("after the second commit")
+
+    try:
+        _first_words(t, checkpoints=f"{base}/store", commits=4, after_commit=die)
+    except Stopped:
+        pass
+    out, _ = _first_words(t, checkpoints=f"{base}/store", commits=4)
+    if not 0 < out.filter("from_checkpoint").count() < out.count():
+        raise AssertionError("the run has not resumed where it died")
+    e = F.col("extractions")[0]
+    return out.select("document_id", "shard_index", "status", e["quote"].alias("quote"), e["char_start"].alias("char_start"), e["char_end"].alias("char_end"))
+
+
+@query("""SELECT 'c' || o_custkey || '/' || o_orderkey AS key, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS BIGINT) AS value, o_orderpriority AS note FROM orders WHERE o_orderkey % 7 <> 0 AND ('c' || o_custkey || '/') LIKE 'c1%'""")
+def checkpoint_list(t):
+    """A store of three versions: all orders, every third one anew, every seventh deleted; what lies under a prefix."""
+    from ..sources.checkpoints import CheckpointStore
+    from ..sources.storage import work_dir
+
+    k = F.col("o_orderkey")
+    rows = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("/"), k.cast("string")).alias("key"), k.cast("long").alias("value"), F.col("o_orderpriority").alias("note"))
+    store = CheckpointStore(t.spark, work_dir(t.spark, "store"), "value long, note string")
+    store.commit(rows)
+    store.commit(rows.filter("value % 3 = 0").withColumn("value", F.col("value") + 1))
+    store.delete(rows.filter("value % 7 = 0"))
+    return store.list("c1")
 
 
 #: A case for each benchmark item and trial, by (length of the text + trial) % 6 of recorded replies: 0 first word found; 1 found twice;
@@ -866,20 +940,47 @@ def trial_gates(t):
 
 
 def _first_word(request: dict) -> str:
-    import json
-
     body = request["prompt"].split("BEGIN_UNTRUSTED_DOCUMENT\n", 1)[1].split("\nEND_UNTRUSTED_DOCUMENT", 1)[0]
     word = body.split(" ", 1)[0] if body else ""
     return json.dumps({"extractions": [{"extractionClass": "passage", "quote": word, "charStart": 0, "charEnd": len(word)}]}, ensure_ascii=False)
 
 
-@query("""WITH k AS (SELECT count(DISTINCT split_part(text, ' ', 1)) AS n FROM benchmark)
-SELECT CAST(1 AS DOUBLE) AS stability, CAST(0 AS DOUBLE) AS drift_rate, n AS min_extractions, n AS max_extractions, CAST(n AS DOUBLE) AS mean_extractions, CAST(0 AS DOUBLE) AS extraction_count_variance, CAST(0 AS DOUBLE) AS extraction_count_std_dev,
- CAST(1 AS DOUBLE) AS success_rate, CAST(2 AS BIGINT) AS provider_breadth, CAST(2 AS BIGINT) AS prompt_variant_breadth, CAST(2 AS BIGINT) AS seed_breadth FROM k""")
+def _first_letter(request: dict) -> str:
+    """As :func:`_first_word`, but with the word's first letter where the text's length is a multiple of three."""
+    body = request["prompt"].split("BEGIN_UNTRUSTED_DOCUMENT\n", 1)[1].rsplit("\nEND_UNTRUSTED_DOCUMENT", 1)[0]
+    if len(body) % 3:
+        return _first_word(request)
+    return json.dumps({"extractions": [{"extractionClass": "passage", "quote": body[:1], "charStart": 0, "charEnd": 1}]}, ensure_ascii=False)
+
+
+@query("""WITH k AS (SELECT item_id, split_part(text, ' ', 1) AS w, length(text) % 3 = 0 AS odd FROM benchmark), r AS (SELECT 0 AS run, item_id, w AS q FROM k UNION ALL SELECT 1, item_id, CASE WHEN odd THEN left(w, 1) ELSE w END FROM k),
+d AS (SELECT DISTINCT run, q FROM r), n AS (SELECT run, count(*) AS n FROM d GROUP BY run), j AS (SELECT CAST(count(*) FILTER (c = 2) AS DOUBLE) / count(*) AS stability FROM (SELECT q, count(*) AS c FROM d GROUP BY q)), f AS (SELECT avg(CAST(a <> b AS INTEGER)) AS drift FROM (SELECT item_id, min(q) AS a, max(q) AS b FROM r GROUP BY item_id))
+SELECT any_value(stability) AS stability, any_value(drift) AS drift_rate, min(n) AS min_extractions, max(n) AS max_extractions, avg(n) AS mean_extractions, var_pop(n) AS extraction_count_variance, stddev_pop(n) AS extraction_count_std_dev,
+ CAST(1 AS DOUBLE) AS success_rate, CAST(2 AS BIGINT) AS provider_breadth, CAST(2 AS BIGINT) AS prompt_variant_breadth, CAST(2 AS BIGINT) AS seed_breadth FROM n, j, f""")
 def eval_suite(t):
+    """Two runs whose providers don't agree on all cases."""
     from . import run as R
     from .suite import run_suite
 
     o = R.Options("suite", PROGRAM, chunk_size=8192, overlap=0)
     cases = t.benchmark.select(F.col("item_id").cast("string").alias("document_id"), "text")
-    return run_suite(cases, o, PR.RuleProvider(_first_word), 2, {"prompt_variant": ["base", "compact"]})["report"]
+    providers = [PR.RuleProvider(_first_word), PR.RuleProvider(_first_letter)]
+    return run_suite(cases, o, providers, 2, {"prompt_variant": ["base", "compact"]})["report"]
+
+
+@query("""SELECT event_id, array_to_string(list_sort(list_filter(list_concat(json_keys(props), CASE event_id % 4 WHEN 0 THEN ['zeta', 'alpha'] WHEN 1 THEN ['name'] ELSE [] END), lambda k: k NOT IN ('k', 'name'))), ',') AS unexpected FROM events""")
+def unexpected_keys(t):
+    """Members that a closed object schema doesn't declare."""
+    node = SC.cue.object({"k": SC.cue.number(), "name": SC.cue.optional(SC.cue.string())})
+    m = F.col("event_id") % 4
+    more = F.when(m == 0, '"zeta":1,"alpha":{"k":2},').when(m == 1, '"name":"n",').otherwise("")
+    v = t.events.select("event_id", F.concat(F.lit("{"), more, F.substr("props", F.lit(2))).alias("j"))
+    return v.select("event_id", F.array_join(SC.undeclared("j", node), ",").alias("unexpected"))
+
+
+@query("""SELECT event_id, '2025-01-02--p' || event_id % 5 || '--0a1b2c3d' AS pack_id FROM events WHERE event_id % 5 = 3""")
+def pack_rows(t):
+    from ..sources.jsonl import of_pack
+
+    records = t.events.select("event_id", F.concat(F.lit("2025-01-02--p"), (F.col("event_id") % 5).cast("string"), F.lit("--0a1b2c3d")).alias("packId"))
+    return of_pack(records, "2025-01-02--p3--0a1b2c3d").withColumnRenamed("packId", "pack_id")

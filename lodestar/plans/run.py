@@ -20,6 +20,7 @@ from ..functions.envelope import Failure
 from ..functions.salvage import Budget
 from ..operators import outcomes as O
 from ..operators import shards as S
+from ..sources.checkpoints import CheckpointStore
 from ..sources.providers import Provider, is_transient
 from ..sources.storage import work_dir
 
@@ -44,7 +45,11 @@ class Retry:
 class Options:
     """chunk_size and overlap in UTF-16 units.  time_budget_ms is checked before each wave of
     attempts; a shard that no wave reached fails as budget_exhausted.  all_or_nothing raises after
-    the wave in which a shard failed.  legacy: neither normalise nor order and dedupe."""
+    the wave in which a shard failed.  legacy: neither normalise nor order and dedupe.
+
+    checkpoints: folder of a store of outcomes (:class:`CheckpointStore`); a wave is run and committed in
+    ``commits`` parts, and a run that dies resumes behind the last of them.  after_commit gets the number of each
+    version."""
 
     run_id: str
     program: P.Program
@@ -59,6 +64,8 @@ class Options:
     trim: bool = False
     legacy: bool = False
     checkpoints: str | None = None
+    commits: int = 1
+    after_commit: Callable[[int], None] | None = None
     work_dir: str | None = None
     random: Callable[[], float] = lambda: 0.0
     sleep: Callable[[float], None] = time.sleep
@@ -68,6 +75,8 @@ class Options:
 
     def __post_init__(self):
         S.check_options(self.chunk_size, self.overlap)
+        if self.commits < 1:
+            raise ValueError("commits must be a positive integer")
         if self.max_passes < 1:
             raise ValueError("max_passes must be a positive integer")
         if self.time_budget_ms is not None and self.time_budget_ms < 0:
@@ -181,8 +190,8 @@ def execute(docs: DataFrame, o: Options, provider: Provider) -> DataFrame:
 
     Checkpointed shards are taken as they are.  The others go through waves of attempts: a wave runs
     all pending shards in parallel and is written once; shards that failed for a passing reason go
-    to the next wave, after the policy's delay.  Successes are appended to the checkpoints, which
-    are a Parquet table partitioned by run, so that a later run of the same id resumes."""
+    to the next wave, after the policy's delay.  Successes are committed to the checkpoints, under keys
+    that begin with the run's id, so that a later run of the same id resumes."""
     spark = docs.sparkSession
     base = o.work_dir or work_dir(spark)
     shards = S.shard_documents(docs.select("document_id", "text"), o.program.program_hash, o.chunk_size, o.overlap)
@@ -208,9 +217,15 @@ def waves(todo: DataFrame, o: Options, runner: Runner, base: str, parts: list[Da
             parts.append(_out_of_time(o, todo, attempt))
             break
         attempt += 1
-        wave = _store(todo.mapInArrow(_attempt(attempt, layout, runner, carry), schemas.OUTCOME), f"{base}/wave-{uuid.uuid4().hex}")
-        if o.checkpoints:
-            fill(wave.filter("status = 'success'")).write.mode("append").partitionBy("run_id").parquet(o.checkpoints)
+        path, parts_of_wave = f"{base}/wave-{uuid.uuid4().hex}", o.commits if o.checkpoints else 1
+        for part in range(parts_of_wave):
+            some = todo if parts_of_wave == 1 else todo.filter(F.pmod(F.xxhash64("shard_id"), F.lit(parts_of_wave)) == part)
+            wave = _store(some.mapInArrow(_attempt(attempt, layout, runner, carry), schemas.OUTCOME), f"{path}/part={part}")
+            if o.checkpoints:
+                version = store(spark, o).commit(wave.filter("status = 'success'").withColumn("key", checkpoint_key(F.col("run_id"), F.col("shard_id"))))
+                if o.after_commit:
+                    o.after_commit(version)
+        wave = spark.read.schema(schemas.OUTCOME).parquet(path).drop("part")
         last = attempt >= o.retry.attempts
         parts.append(wave if last else wave.filter("NOT retryable OR status = 'success'"))
         again = wave.filter("status = 'failure' AND retryable")
@@ -227,15 +242,13 @@ def waves(todo: DataFrame, o: Options, runner: Runner, base: str, parts: list[Da
     return out
 
 
+def store(spark, o: Options) -> CheckpointStore:
+    return CheckpointStore(spark, o.checkpoints, schemas.OUTCOME)
+
+
 def checkpoints(spark, o: Options) -> DataFrame | None:
     """Checkpointed outcomes of this run, one for each shard; None without a store."""
-    if not o.checkpoints:
-        return None
-    path = spark._jvm.org.apache.hadoop.fs.Path(o.checkpoints)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schemas.OUTCOME)
-    layout = spark.createDataFrame([], schemas.OUTCOME).schema
-    return spark.read.schema(layout).parquet(o.checkpoints).filter(F.col("run_id") == o.run_id).dropDuplicates(["shard_id"])
+    return store(spark, o).list(f"ckpt:v1:{o.run_id}:").drop("key") if o.checkpoints else None
 
 
 # ---------------------------------------------------------------- roll-ups

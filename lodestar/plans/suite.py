@@ -38,17 +38,17 @@ def scripted(reply: str) -> dict:
     return {"draft": reply, "repair": reply}
 
 
-def run_suite(cases: DataFrame, options: R.Options, provider: Provider, runs: int, labels: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+def run_suite(cases: DataFrame, options: R.Options, provider: Provider | list[Provider], runs: int, labels: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """``runs`` runs over cases (document_id, text).  Returns keys (run, case_id, key), cases (run,
     case_id, failed), runs with their labels, and report (one row).
 
-    A run of a suite is the legacy run: texts as given, extractions as they come.  Labels name runs
+    ``provider``: one for all runs, or a list of which each run takes one in turn.  A run of a suite is the legacy run: texts as given, extractions as they come.  Labels name runs
     in turn; they don't reach the provider."""
     spark = cases.sparkSession
     keys = failed = None
     for i in range(runs):
         o = replace(options, run_id=f"{options.run_id}-{i}", legacy=True)
-        out, _ = R.run_with_evidence(cases, o, provider)
+        out, _ = R.run_with_evidence(cases, o, provider[i % len(provider)] if isinstance(provider, list) else provider)
         n = F.lit(i).alias("run")
         e = R.extractions_of(out, legacy=True).select(n, F.col("document_id").alias("case_id"), F.concat_ws("|", "extraction_class", F.col("char_start").cast("string"), F.col("char_end").cast("string"), "quote").alias("key"))
         f = out.groupBy(F.col("document_id").alias("case_id")).agg(F.max(F.col("status") == "failure").alias("failed")).select(n, "case_id", "failed")
@@ -60,7 +60,7 @@ def run_suite(cases: DataFrame, options: R.Options, provider: Provider, runs: in
     sizes = M.run_keys(good, runs_df)
     report = (
         M.stability(M.pairwise_jaccard(good, runs_df))
-        .crossJoin(M.drift(M.case_signatures(good, failed), runs_df))
+        .crossJoin(M.drift(M.case_fingerprints(good, failed), runs_df))
         .crossJoin(sizes.agg(F.min("n").alias("min_extractions"), F.max("n").alias("max_extractions"), F.avg("n").alias("mean_extractions"), F.var_pop("n").alias("extraction_count_variance"), F.stddev_pop("n").alias("extraction_count_std_dev")))
         .crossJoin(failed.agg(M.rate(F.count_if(~F.col("failed")), F.count("*")).alias("success_rate")))
         .crossJoin(M.breadth(table, ["provider", "prompt_variant", "seed"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,10 @@ def read_regression(spark: SparkSession, path: str) -> DataFrame:
     if bad:
         raise ValueError("; ".join(f"line {r.line}: {', '.join(r.errors)}" for r in bad))
     return spark.read.schema(schemas.REGRESSION).json(path)
+
+
+def of_pack(records: DataFrame, pack_id: str) -> DataFrame:
+    """The records (packId, ...) of one pack; raises if the name is none that a pack may have."""
+    if not re.fullmatch(text.PACK_ID.replace("$", ""), pack_id):
+        raise ValueError(f"{pack_id!r} is no pack id")
+    return records.filter(F.col("packId") == pack_id)

@@ -85,6 +85,16 @@ def page(made: DataFrame, classes: list[str], title: str = "Extractions", filter
     return _PAGE % {"title": html.escape(title), "options": options, "sections": "\n".join(r.html for r in rows), "data": payload}
 
 
+def write_report(made: DataFrame, path: str, classes: list[str], title: str = "Extractions", data: object = None) -> None:
+    """The page as a folder of text files: in order of their names they are the page.  Sections are sorted and written by
+    as many tasks as they need; nothing is fetched."""
+    mark = '<main id="viz-bundles">'
+    head, tail = page(made.limit(0), classes, title, data=data).split(mark, 1)
+    ends = made.sparkSession.createDataFrame([(0, "", head + mark), (2, "", tail.strip("\n"))], "place int, document_id string, html string")
+    rows = made.select(F.lit(1).alias("place"), "document_id", "html").unionByName(ends)
+    rows.orderBy("place", "document_id").select("html").write.text(path)
+
+
 def write_text(df_spark, path: str, content: str) -> None:
     """Writes a text file through Hadoop's file systems, so any path Spark knows will do."""
     jvm = df_spark._jvm

@@ -1,6 +1,7 @@
 """Shards, runs, suites, sources, streaming and reports, end to end."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,10 +248,20 @@ def test_report(spark, tmp_path):
     assert viz.NO_TEXT in r["d1"] and viz.NOTHING in r["d1"]
     html = viz.page(made, ["k"], "T", data={"x": "</script>"})
     assert "\\u003c/script" in html and html.count("<section") == 2
+    viz.write_report(made, f"file://{tmp_path}/report", ["k"], "T", data={"x": "</script>"})
+    parts = sorted(n for n in os.listdir(f"{tmp_path}/report") if n.startswith("part-"))
+    assert "".join((tmp_path / "report" / n).read_text() for n in parts) == html
     viz.write_text(spark, f"file://{tmp_path}/r.html", html)
     assert (tmp_path / "r.html").read_text() == html
 
 
+def test_fingerprints_tell_what_signatures_tell(spark):
+    rows = [(0, "a", "x"), (0, "a", "y"), (1, "a", "y"), (1, "a", "x"), (0, "b", "x"), (1, "b", "x"), (1, "b", "x"), (0, "c", "z")]
+    e, c = spark.createDataFrame(rows, "run int, case_id string, key string"), spark.createDataFrame([(r, k, k == "d" and r == 1) for r in (0, 1) for k in "abcd"], "run int, case_id string, failed boolean")
+    same = lambda df: {k: len({r.signature for r in df.collect() if r.case_id == k}) for k in "abcd"}
+    assert same(M.case_fingerprints(e, c)) == same(M.case_signatures(e, c)) == {"a": 1, "b": 2, "c": 2, "d": 2}
+
+
 def test_trials(spark, tmp_path):
     from lodestar import schemas
     from lodestar.plans import trial
