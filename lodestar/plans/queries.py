@@ -656,11 +656,24 @@ def canonical_json(t):
     return dealt(t.events).select("event_id", E.stable_json(mixed).alias("canonical"))
 
 
-@query("SELECT event_id, event_id % 3 <> 0 AS ok, CASE WHEN event_id % 3 = 0 THEN '/k,/extra' ELSE '' END AS paths FROM events")
+#: By event_id % 9 a value and what is wrong with it; fixed values.
+_VALUES = [
+    ('{"k":"x","extra":1}', "type_mismatch@/k,unexpected_property@/extra"), ('{"name":"n"}', "required@/k"), ('{"k":1,"kind":"b"}', "literal_mismatch@/kind"), ('{"k":1,"level":3}', "enum_mismatch@/level"),
+    ('{"k":1,"tags":["a",2]}', "type_mismatch@/tags/1"), ('{"k":1,"u":true}', "union_no_match@/u"), ('{"k":1,"deep":[[1]]}', "max_depth@/deep/0/0"), ('{"k":', None), ('{"k":1,"a/b":2}', "unexpected_property@/a~1b"),
+]
+
+
+@query(f"""WITH v(i, found) AS (VALUES {', '.join(f'({i}, {_LIT(found) if found is not None else "NULL"})' for i, (_, found) in enumerate(_VALUES))})
+SELECT event_id, event_id % 2 = 0 OR found IS NOT NULL AS parsed, event_id % 2 = 0 AS ok, CASE WHEN event_id % 2 = 0 THEN '' ELSE coalesce(found, '') END AS found FROM events JOIN v ON i = event_id % 9""")
 def schema_validate(t):
-    node = SC.cue.object({"k": SC.cue.number(), "name": SC.cue.optional(SC.cue.string())})
-    v = t.events.select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit('{"k":"x","extra":1}')).otherwise(F.col("props")).alias("j"))
-    return v.select("event_id", SC.validate_udf(node)("j").alias("v")).select("event_id", "v.ok", F.array_join(F.transform("v.errors", lambda e: e["path"]), ",").alias("paths"))
+    """Every code of error, and props as they are."""
+    c = SC.cue
+    shape = {"k": c.number(), "name": c.optional(c.string()), "kind": c.optional(c.literal("a")), "level": c.optional(c.enum(1, 2)), "tags": c.optional(c.array(c.string())), "u": c.optional(c.union(c.string(), c.number())), "deep": c.optional(c.array(c.array(c.number())))}
+    value = F.col("props")
+    for i, (bad, _) in enumerate(_VALUES):
+        value = F.when((F.col("event_id") % 2 == 1) & (F.col("event_id") % 9 == i), F.lit(bad)).otherwise(value)
+    v = dealt(t.events).select("event_id", SC.validate_udf(c.object(shape), max_depth=3)(value).alias("v"))
+    return v.select("event_id", "v.parsed", "v.ok", F.array_join(F.transform("v.errors", lambda e: F.concat(e["code"], F.lit("@"), e["path"])), ",").alias("found"))
 
 
 def call_frames(t) -> DataFrame:
@@ -734,14 +747,20 @@ def toolcall_stream(t):
     return assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=1)
 
 
-@query("""SELECT event_id, event_id % 4 <> 0 AS valid, CASE WHEN event_id % 4 = 0 THEN 'payload_hash_mismatch' END AS reason,
- sha256('{"bundleVersion":"1","event_id":' || event_id || ',"event_type":"' || CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END || event_type || '","props":' || CAST(to_json(props) AS VARCHAR) || '}') AS payload_hash FROM events""")
+@query("""WITH h AS (SELECT event_id, event_id % 8 AS m, sha256('{"bundleVersion":"1","event_id":' || event_id || ',"event_type":"' || CASE WHEN event_id % 8 = 1 THEN 'x' ELSE '' END || event_type || '","props":' || CAST(to_json(props) AS VARCHAR) || '}') AS payload_hash FROM events)
+SELECT event_id, m IN (0, 7) AS valid, CASE m WHEN 1 THEN 'payload_hash_mismatch' WHEN 2 THEN 'missing_attestation' WHEN 3 THEN 'unsupported_attestation_version' WHEN 4 THEN 'unsupported_canonicalization' WHEN 5 THEN 'unsupported_algorithm' WHEN 6 THEN 'invalid_signature' END AS reason,
+ CASE WHEN m <> 2 THEN 'k1' END AS key_id, CASE WHEN m <> 2 THEN payload_hash END AS payload_hash FROM h""")
 def attest_verify(t):
+    """Every reason for which an attestation is refused, in the order of checking."""
     key = {"kty": "oct", "k": "bG9kZXN0YXIgdGVzdCBrZXk"}
     b = dealt(t.events).select("event_id", F.to_json(F.struct(F.lit("1").alias("bundleVersion"), "event_id", "event_type", "props")).alias("bundle"))
-    signed = b.select("event_id", A.attest_udf(key, "k1", "2025-01-01T00:00:00.000Z")("bundle").alias("signed"))
-    broken = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("signed", '"event_type":"', '"event_type":"x')).otherwise(F.col("signed"))
-    return signed.select("event_id", A.verify_udf(key)(broken).alias("v")).select("event_id", "v.valid", "v.reason", "v.payload_hash")
+    signed = b.select("event_id", "bundle", A.attest_udf(key, "k1", "2025-01-01T00:00:00.000Z")("bundle").alias("signed"))
+    m = F.col("event_id") % 8
+    more = lambda member, what: F.regexp_replace("signed", f'"{member}":"', f'"{member}":"{what}')
+    sent = F.when(m == 2, F.col("bundle")).otherwise(F.col("signed"))
+    for i, member, what in ((1, "event_type", "x"), (3, "version", "x"), (4, "canonicalization", "x"), (5, "algorithm", "x"), (6, "signature", "AAAA")):
+        sent = F.when(m == i, more(member, what)).otherwise(sent)
+    return signed.select("event_id", A.verify_udf(key)(sent).alias("v")).select("event_id", "v.valid", "v.reason", "v.key_id", "v.payload_hash")
 
 
 #: A record that breaks no rule, and by event_id % 28 what is put in place of what, with the error that it makes.
