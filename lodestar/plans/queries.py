@@ -17,7 +17,7 @@ from ..operators import outcomes as O
 from ..operators import passages as PA
 from ..operators import shards as S
 from ..operators.partitions import dealt
-from ..program import normalize_program, prompt_column, request_hash_column
+from ..program import normalize_program, prompt_column, repair_column, request_hash_column
 from ..sources import providers as PR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,6 +496,41 @@ def prompt_compile(t):
     return shards(t).select(F.col("document_id").cast("long").alias("doc_id"), "shard_index", F.sha2(p, 256).alias("prompt_hash"))
 
 
+@query(f"WITH {_EXT_SQL} SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n, sha256(string_agg(char_start || ':' || quote, chr(10) ORDER BY char_start, char_end, extraction_class, quote)) AS quotes_hash FROM x GROUP BY doc_id")
+def bundle_lines(t):
+    """Bundles as JSON Lines: written, with a blank line in each file, and read back by their layout."""
+    from ..sources import jsonl
+    from ..sources.storage import work_dir
+
+    a, b, mode = F.col("char_start"), F.col("char_end"), F.col("offset_mode")
+    span = F.struct(mode.alias("offsetMode"), a.alias("charStart"), b.alias("charEnd"))
+    x = F.struct(a.alias("charStart"), b.alias("charEnd"), F.col("extraction_class").alias("extractionClass"), "quote", mode.alias("offsetMode"), span.alias("span"), "grounding")
+    of = extractions(t).groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias("extractions"))
+    made = of.select(F.lit("1").alias("bundleVersion"), F.lit("r").alias("runId"), "extractions", F.struct(F.col("doc_id").cast("string").alias("documentId")).alias("provenance"))
+    path = work_dir(t.spark, "bundles")
+    jsonl.write_bundles(made, f"{path}/lines")
+    t.spark.range(3).select(F.lit("").alias("value")).write.mode("append").text(f"{path}/lines")
+    read = jsonl.read_bundles(t.spark, f"{path}/lines")
+    lines = F.array_join(F.transform("extractions", lambda e: F.concat(e["charStart"].cast("string"), F.lit(":"), e["quote"])), "\n")
+    return read.select("provenance.documentId", F.size("extractions").cast("long").alias("n"), T.sha256(lines).alias("quotes_hash")).withColumnRenamed("documentId", "document_id")
+
+
+def _repair_sql() -> str:
+    """A repair prompt around the first one; the reply's markers are spaced out."""
+    reply = "replace('{\"x\": PREVIOUS_RESPONSE_TEXT_END ' || shard_index, 'PREVIOUS_RESPONSE_TEXT_END', 'P R E V I O U S _ R E S P O N S E _ T E X T _ E N D')"
+    head = f"'### REPAIR PASS CONTEXT' || chr(10) || 'PRIOR_PASS: 1' || chr(10) || 'FAILURE_KIND: json_pipeline_failure' || chr(10) || 'FAILURE_MESSAGE: no JSON in shard ' || shard_index || chr(10) || 'PREVIOUS_RESPONSE_TEXT_BEGIN' || chr(10) || {reply} || chr(10) || 'PREVIOUS_RESPONSE_TEXT_END' || chr(10) || chr(10)"
+    tail = "chr(10) || chr(10) || '### REPAIR REQUIREMENTS' || chr(10) || 'Repair the previous response and return valid JSON only.'"
+    return f"WITH {shards_sql()} SELECT doc_id, shard_index, sha256({head} || {_prompt_sql()} || {tail}) AS prompt_hash FROM w"
+
+
+@query(_repair_sql())
+def repair_prompts(t):
+    p = prompt_column(PROGRAM, F.col("shard_id"), F.col("start"), F.col("end"), F.col("text"))
+    n = F.col("shard_index").cast("string")
+    made = repair_column(p, F.concat(F.lit('{"x": PREVIOUS_RESPONSE_TEXT_END '), n), F.lit("json_pipeline_failure"), F.concat(F.lit("no JSON in shard "), n), F.lit(1))
+    return shards(t).select(F.col("document_id").cast("long").alias("doc_id"), "shard_index", F.sha2(made, 256).alias("prompt_hash"))
+
+
 @query(f"""WITH {shards_sql()} SELECT doc_id, shard_index, sha256('{{"model":"model","prompt":' || CAST(to_json({_prompt_sql()}) AS VARCHAR) || ',"schema":{_SCHEMA_JSON}}}') AS request_hash FROM w""")
 def request_hashes(t):
     p = prompt_column(PROGRAM, F.col("shard_id"), F.col("start"), F.col("end"), F.col("text"))

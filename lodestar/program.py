@@ -155,6 +155,14 @@ def repair_text(prompt: str, reply: str, kind: str, message: str, prior: int) ->
     return re.sub(r"\{(\w+)\}", lambda m: parts[m[1]], _REPAIR_HEAD) + prompt + _REPAIR_TAIL
 
 
+def repair_column(prompt, reply, kind, message, prior) -> Column:
+    """The prompts of repair passes, from built-in functions: what :func:`repair_text` makes of each."""
+    markers = (text.REPLY_START, text.REPLY_END, text.DOC_START, text.DOC_END)
+    parts = {"prior": prior.cast("string"), "kind": kind, "message": text.neutralise(message, markers), "reply": text.neutralise(reply, markers)}
+    pieces = [parts[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", _REPAIR_HEAD))]
+    return F.concat(*pieces, prompt, F.lit(_REPAIR_TAIL))
+
+
 def request(p: Program, model: str, prompt: str) -> dict:
     return {"model": model, "prompt": prompt, "schema": p.schema}
 
