@@ -136,3 +136,17 @@ def minhash_groups(docs: DataFrame, shingle: int = SHINGLE, coordinates: int = C
 def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents; nulls, ties, repeated rows and empty tables as in :func:`minhash_groups`."""
     return minhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every pair that shares a shingle, so for small tables: its rows grow with the square of a shingle's texts.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS own FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(own) AS n, unnest(own) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 80 * (an + bn - shared)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id WHERE r.c < u.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(own) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON m.doc_id = s.doc_id
+"""
