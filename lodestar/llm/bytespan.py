@@ -299,3 +299,17 @@ def remove_strings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 def op5_bytespan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents; nulls, repeated rows and empty tables as in :func:`remove_strings`."""
     return remove_strings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: Every 200-byte string of every text by its hash, so for small tables.  Texts are written in hexadecimal, two digits a byte.
+SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, CAST(length(x) // 2 AS BIGINT) - 199)) AS i FROM d WHERE length(x) >= 400)),
+s AS MATERIALIZED (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s)),
+p AS MATERIALIZED (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+k AS (SELECT d.r, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept, max(b) AS last FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_ FROM p) q JOIN d ON d.r = q.r GROUP BY d.r),
+n AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM p GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.r IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op13_merkle": merkle.op13_merkle,
 }
 
-SQL = {"op6_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact.SQL, "op11_minhash": minhash.SQL, "op12_conversations": conversations.SQL, "op13_merkle": merkle.SQL}
+SQL = {"op5_bytespan": bytespan.SQL, "op6_decontaminate": decontaminate.SQL, "op10_exact_dedup": exact.SQL, "op11_minhash": minhash.SQL, "op12_conversations": conversations.SQL, "op13_merkle": merkle.SQL}
