@@ -105,8 +105,9 @@ def crowd_pairs(sets: DataFrame, crowd: DataFrame) -> DataFrame:
     A head is the rarest fifth of a set's n shingles and one more, rare ones first, by counts among
     these nodes, ties by hash.  The first shingle, in this order, that two alike sets share lies in the
     heads of both, and at least four fifths of either set come no earlier; so none is missed."""
-    cores = sets.sparkSession.sparkContext.defaultParallelism
-    dealt = sets.join(crowd, "node").select("node", "root", "s").repartition(2 * cores)  # sets lie where their texts did
+    spark = sets.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    dealt = sets.join(crowd, "node").select("node", "root", "s").repartition(tasks)  # sets lie where their texts did
     each = written(dealt.mapInArrow(_exploded, "node long, root long, n long, h long"), "near-shingles")
     rare = each.groupBy("h").agg(F.count("*").alias("often")).filter("often > 1")
     # shingles of one text alone come first in any order, and lead nowhere
