@@ -34,7 +34,7 @@ class CheckpointStore:
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         done = [n for n in names if n.startswith("version=") and fs.exists(self._path(f"{n}/_SUCCESS")[0])]
-        numbers = sorted(int(n.split("=")[1].split("-")[0]) for n in done)
+        numbers = sorted({int(n.split("=")[1].split("-")[0]) for n in done})
         merged = [int(n.split("=")[1].split("-")[0]) for n in done if n.endswith("-merged")]
         return [n for n in numbers if n >= max(merged, default=0)]
 

@@ -1,6 +1,7 @@
 """The checkpoint store: latest values, versions that never came to their end, prefixes that prune files."""
 
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -34,7 +35,13 @@ def test_versions(spark, tmp_path):
     store.compact()
     assert rows(store.read()) == before and store.versions() == [4] and len([n for n in os.listdir(f"{tmp_path}/store") if n.startswith("version")]) == 1
     assert store.commit(put(("a/1", 100))) == 5
+    # a compaction that died behind its mark: the old versions lie there still
+    shutil.copytree(f"{tmp_path}/store/version=000000005", f"{tmp_path}/kept")
     store.compact()
+    shutil.copytree(f"{tmp_path}/kept", f"{tmp_path}/store/version=000000005")
+    assert store.versions() == [5] and len(rows(store.read())) == len(before)
+    store.compact()
+    assert len([n for n in os.listdir(f"{tmp_path}/store") if n.startswith("version")]) == 1
     assert rows(CheckpointStore(spark, at, "v int").read()) == sorted([r for r in before if r[0] != "a/1"] + [("a/1", 100)])
 
 
