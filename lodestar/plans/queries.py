@@ -496,9 +496,11 @@ def prompt_compile(t):
     return shards(t).select(F.col("document_id").cast("long").alias("doc_id"), "shard_index", F.sha2(p, 256).alias("prompt_hash"))
 
 
-@query(f"WITH {_EXT_SQL} SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n, sha256(string_agg(char_start || ':' || quote, chr(10) ORDER BY char_start, char_end, extraction_class, quote)) AS quotes_hash FROM x GROUP BY doc_id")
-def bundle_lines(t):
-    """Bundles as JSON Lines: written, with a blank line in each file, and read back by their layout."""
+_BUNDLES_SQL = f"WITH {_EXT_SQL} SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n, sha256(string_agg(char_start || ':' || quote, chr(10) ORDER BY char_start, char_end, extraction_class, quote)) AS quotes_hash FROM x GROUP BY doc_id"
+
+
+def _bundle_files(t) -> str:
+    """Writes bundles as JSON Lines, with files that hold a blank line alone, and gives their folder."""
     from ..sources import jsonl
     from ..sources.storage import work_dir
 
@@ -507,12 +509,35 @@ def bundle_lines(t):
     x = F.struct(a.alias("charStart"), b.alias("charEnd"), F.col("extraction_class").alias("extractionClass"), "quote", mode.alias("offsetMode"), span.alias("span"), "grounding")
     of = extractions(t).groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias("extractions"))
     made = of.select(F.lit("1").alias("bundleVersion"), F.lit("r").alias("runId"), "extractions", F.struct(F.col("doc_id").cast("string").alias("documentId")).alias("provenance"))
-    path = work_dir(t.spark, "bundles")
-    jsonl.write_bundles(made, f"{path}/lines")
-    t.spark.range(3).select(F.lit("").alias("value")).write.mode("append").text(f"{path}/lines")
-    read = jsonl.read_bundles(t.spark, f"{path}/lines")
+    path = f"{work_dir(t.spark, 'bundles')}/lines"
+    jsonl.write_bundles(made, path)
+    t.spark.range(3).select(F.lit("").alias("value")).write.mode("append").text(path)
+    return path
+
+
+def _told(bundles: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform("extractions", lambda e: F.concat(e["charStart"].cast("string"), F.lit(":"), e["quote"])), "\n")
-    return read.select("provenance.documentId", F.size("extractions").cast("long").alias("n"), T.sha256(lines).alias("quotes_hash")).withColumnRenamed("documentId", "document_id")
+    return bundles.select(F.col("provenance.documentId").alias("document_id"), F.size("extractions").cast("long").alias("n"), T.sha256(lines).alias("quotes_hash"))
+
+
+@query(_BUNDLES_SQL)
+def bundle_lines(t):
+    """Bundles as JSON Lines, read back by their layout."""
+    from ..sources import jsonl
+
+    return _told(jsonl.read_bundles(t.spark, _bundle_files(t)))
+
+
+@query(_BUNDLES_SQL)
+def bundle_stream(t):
+    """The same files as a stream, whose rows are written as they come."""
+    from ..sources import jsonl
+    from ..sources.storage import work_dir
+
+    base = work_dir(t.spark, "bundle-stream")
+    told = _told(jsonl.stream_bundles(t.spark, _bundle_files(t)).filter("runId IS NOT NULL"))
+    told.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return t.spark.read.schema(told.schema).parquet(f"{base}/out")
 
 
 def _repair_sql() -> str:
