@@ -83,11 +83,18 @@ def find_base(src: DataFrame) -> DataFrame:
     return out
 
 
+def _of(src: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of ``src`` that ``rows`` names: up to a million numbers are broadcast, so that texts stay where they
+    are; more are joined by a shuffle."""
+    names = written(rows.select("row").distinct(), "pii-named")
+    return src.join(F.broadcast(names) if small_enough(names, 1_000_000) else names, "row", "left_semi")
+
+
 def chunked(src: DataFrame, base: DataFrame) -> DataFrame:
     """A written table row, chunk, piece, padded, lead, length: the texts that ``base`` has matches of, cut to
     pieces of CHUNK code points; padded: with REACH of the neighbours', of which lead stand ahead.  What
     lies around a place is found in one piece, without counting from the text's beginning."""
-    texts = src.join(base.select("row").distinct(), "row", "left_semi")
+    texts = _of(src, base)
     cut = texts.select("row", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("pieces"), F.length("text").alias("length"))
     cut = written(cut, "pii-pieces")
     around = lambda p, i: F.concat(F.right(F.coalesce(F.get("pieces", i - 1), F.lit("")), F.lit(REACH)), p, F.left(F.coalesce(F.get("pieces", i + 1), F.lit("")), F.lit(REACH)))
@@ -149,7 +156,7 @@ def revealing(src: DataFrame, base: DataFrame, chunks: DataFrame, generalise: fl
     held = found.select("row", "entity", "copy").distinct()
     c_e = written(held.filter("NOT copy").groupBy("entity").agg(F.count("*").alias("c_e")), "pii-entity-counts")
     c_t = once.select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    words = written(src.join(base.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms("text")).alias("term")), "pii-words")
+    words = written(_of(src, base).select("row", F.explode(_terms("text")).alias("term")), "pii-words")
     c_t = written(c_t.join(words.select("term").distinct(), "term"), "pii-term-counts")
     near = found.select("row", "entity", "copy", F.explode(_terms("near")).alias("term")).distinct().withColumn("near", F.lit(True))
     far = held.join(c_e.filter("c_e > 1"), "entity").join(words.join(c_t.filter("c_t > 1"), "term"), "row")
@@ -166,7 +173,7 @@ def revealing(src: DataFrame, base: DataFrame, chunks: DataFrame, generalise: fl
 
 def occurrences(src: DataFrame, rated: DataFrame) -> DataFrame:
     """row, start, end, word, d: every occurrence of a row's rated terms in its text."""
-    texts = src.select("row", "text").join(rated.select("row").distinct(), "row", "left_semi")
+    texts = _of(src.select("row", "text"), rated)
     stepped = F.lit(rf"(?s)\G(|.*?\P{{L}})({TERM})")
     both = F.arrays_zip(F.transform(F.regexp_extract_all("text", stepped, F.lit(0)), F.length).alias("all"), F.regexp_extract_all("text", stepped, F.lit(2)).alias("word"))
     each = texts.select("row", F.posexplode(both).alias("nr", "x")).select("row", "nr", "x.all", "x.word")
