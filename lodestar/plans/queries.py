@@ -858,7 +858,7 @@ def regression_check(t):
         if old:
             value = F.when(m == i, F.replace(record, F.lit(old), F.lit(new))).otherwise(value)
     value = F.when(m == 26, F.concat(F.lit("["), record, F.lit("]"))).otherwise(value)
-    return check_regression(t.events.select(F.col("event_id").alias("line"), value.alias("value"))).withColumn("errors", F.array_join("errors", "; "))
+    return check_regression(dealt(t.events).select(F.col("event_id").alias("line"), value.alias("value"))).withColumn("errors", F.array_join("errors", "; "))
 
 
 def _lines_sql() -> str:

@@ -224,6 +224,15 @@ def test_regression_rules(spark, tmp_path):
         jsonl.read_regression(spark, f"file://{path}")
 
 
+def test_regression_plan(spark):
+    """A line is parsed once for its rules and once for its case id, whatever it is made of, and no rule leaves compiled code."""
+    lines = spark.range(3).select(F.col("id").alias("line"), F.when(F.col("id") == 1, F.concat(F.lit("["), F.lit(json.dumps(RECORD)), F.lit("]"))).otherwise(F.lit(json.dumps(RECORD))).alias("value"))
+    checked = jsonl.check_regression(lines)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2 and "lambda" not in plan
+    assert {r.line: r.errors for r in checked.collect()} == {0: [], 1: ["not a JSON object"], 2: ["caseId is used before"]}
+
+
 def test_stream_like_batch(spark, tmp_path):
     def frame(index, arguments):
         return json.dumps({"choices": [{"delta": {"tool_calls": [{"index": index, "function": {"arguments": arguments}}]}}]})
