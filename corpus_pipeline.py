@@ -30,8 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (0.8 of their five-word shingles in common, and chains of such
-    pairs) the smallest doc_id stays, a row without an id only in a group without any; texts without
+    """Of each group of near duplicates (SimHash fingerprints at most two bits apart, by operator 7's trie, or 0.8
+    of their five-word shingles in common, and chains of such pairs) the smallest doc_id stays, a row without an id only in a group without any; texts without
     words, null ones too, are one group; an empty table stays empty."""
     return drop_near(docs)
 

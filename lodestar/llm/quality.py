@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dealt_texts, give_back, keep_rows, written
+from .common import chunks, dealt_texts, give_back, keep_rows, release, written
 
 DIM = 32  # of index and word vectors
 VOCABULARY = 1 << 16  # the most frequent words have vectors of their own
@@ -269,6 +269,9 @@ def _scored(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_col: str,
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(-1, N_FEATURES)
     net = fit(x, np.array([r.y for r in rows], dtype=np.float64))
     model = spark.sparkContext.broadcast(net)
+    del vectors, rows, x
+    give_back()  # the driver's share
+    release(spark)
 
     def score(batches):
         for b in batches:

@@ -1,5 +1,5 @@
-"""SimHash near-duplicates by a binary-trie self-join (operator 7); near copies by verified Jaccard
-similarity of five-word shingles (the pipeline's stage)."""
+"""SimHash near-duplicates by a binary-trie self-join (operator 7); with them, in the pipeline's stage, near copies
+by verified Jaccard similarity of five-word shingles."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dealt_texts, forget, keep_rows, mix, small_enough, written
+from .common import chunks, dealt_texts, forget, keep_rows, mix, release, small_enough, written
 from .graph import components
 from .near import crowd_pairs, open_lists, open_pairs, shingles, star_pairs, verified
 
@@ -238,11 +238,18 @@ def band_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _banded(batches):
-    for b in (c for b in batches for c in chunks(b)):
-        keys = band_keys(*shingles(b.column(1).to_pylist(), WORDS)).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "node", "keys"])
+def _banded(fingerprinted: bool):
+    """doc_id, node, fp (null unless wanted), keys."""
+
+    def run(batches):
+        for b in (c for b in batches for c in chunks(b)):
+            texts = b.column(1).to_pylist()
+            keys = band_keys(*shingles(texts, WORDS)).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            fps = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)) if fingerprinted else pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps, lists], ["doc_id", "node", "fp", "keys"])
+
+    return run
 
 
 def _sets(batches):
@@ -252,16 +259,32 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "s"])
 
 
-def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def fingerprint_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes (written table: node, fp) that operator 7 connects: each
+    node with the least of its component of fingerprints; a written table."""
+    fps = written(nodes.select("fp").distinct(), "near-fps")
+    edges = written(near_edges(fps, bits), "near-fp-edges")
+    stars = written(components(edges), "near-fp-stars")
+    rooted = written(nodes.join(stars, nodes.fp == stars.u, "left").select("node", F.coalesce("m", "fp").alias("root")), "near-fp-roots")
+    least = rooted.groupBy("root").agg(F.min("node").alias("a"))
+    links = written(rooted.join(least, "root").filter("node <> a").select("a", F.col("node").alias("b")), "near-fp-links")
+    forget(fps, edges, stars, rooted)
+    return links
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """doc_id, node for every row (a 64-bit hash names a text), and node, root: the components.
 
-    Candidates share one of BANDS keys of minima; each link is verified on the whole sets.  Texts meet
+    ``bits``: first the texts whose fingerprints the binary trie links are linked; the similarity of sets then links
+    what that has left in different components.  Candidates share one of BANDS keys of minima; each link is verified on the whole sets.  Texts meet
     once however many copies they have.  First each text of a bucket meets the bucket's centre, the text
     that has most others in its buckets; what this leaves in different components meets pair by pair in
     short buckets, and by its rarest shingles in long ones (:mod:`.near`)."""
     src = dealt_texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("node"))
-    each = written(src.mapInArrow(_banded, "doc_id long, node long, keys array<long>"), "banded")
-    nodes = written(each.groupBy("node").agg(F.first("keys").alias("keys")), "near-nodes")
+    each = written(src.mapInArrow(_banded(bits is not None), "doc_id long, node long, fp long, keys array<long>"), "banded")
+    nodes = written(each.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-nodes")
+    linked = [] if bits is None else [fingerprint_links(nodes, bits)]
+    release(docs.sparkSession)
     placed = nodes.select("node", F.explode("keys").alias("k"))
     shared = placed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     placed = written(placed.join(shared, "k"), "near-placed")
@@ -269,15 +292,20 @@ def _near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     wanted = written(members.select("node").distinct(), "near-wanted")
     texts = src.join(F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_sets, "node long, s binary"), "near-sets")
-    first = written(verified(star_pairs(members), sets), "near-links")
+    pairs = star_pairs(members)
+    for known in linked:  # a star's pairs need no check
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
+    first = written(reduce(DataFrame.unionByName, [verified(pairs, sets), *linked]), "near-links")
     roots = written(components(first), "near-roots")
+    release(docs.sparkSession)
     open_ = written(open_lists(members, roots), "near-open")
     crowd = open_.filter("crowd").select("node", "root").distinct()
     rest = open_pairs(open_).unionByName(crowd_pairs(sets, crowd)).distinct()
     links = written(first.unionByName(verified(rest, sets)), "near-links")
+    release(docs.sparkSession)
     stars = written(components(links), "near-stars")
     of = written(nodes.join(stars, nodes.node == stars.u, "left").select("node", F.coalesce("m", "node").alias("root")), "near-of")
-    forget(nodes, placed, members, wanted, sets, first, roots, open_, links, stars)
+    forget(nodes, placed, members, wanted, sets, first, roots, open_, links, stars, *linked)
     return each.select("doc_id", "node"), of
 
 
@@ -291,14 +319,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rooted.join(least, "root").select("doc_id", "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of :func:`near_groups` the row with the smallest doc_id, with all its columns.
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
+    """Of each component the row with the smallest doc_id, with all its columns.  Texts are linked by fingerprints
+    at most ``bits`` bits apart (:func:`simhash_groups`) and by 0.8 of their shingles in common (:func:`near_groups`).
 
     Rows are told apart by id and text: a row without an id stays only if its component has none with
     one, and then one such row stays; of rows that share the smallest id the one whose text's hash is
     least stays, and of rows that are alike a single one.  Texts without words form one component.  An
     empty table gives no rows."""
-    each, of = _near(docs, id_col, text_col)
+    each, of = _near(docs, id_col, text_col, bits)
     rows = each.groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(of, "node")
     rows = written(rows.select("doc_id", F.col("node").alias("th"), "root", "n"), "near-rows")
     stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("s"))

@@ -552,6 +552,20 @@ def test_near_like_brute_force(spark, edge, monkeypatch, crowd):
     assert got == {(i, least[c]) for (i, _), c in zip(rows, at)}
 
 
+def test_near_stage_links_fingerprints(spark, documents):
+    """What operator 7 links is linked by the pipeline's stage, though the sets have less than 0.8 in common."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, "x " * 60 + " ".join(words)), (2, "x " * 60 + " ".join(words[:20] + ["v"] + words[21:])), (3, " ".join(f"u{i}" for i in range(90)))]
+    a, b, _ = (model_shingles(t) for _, t in rows)
+    fp = [model_fingerprint(t) for _, t in rows]
+    assert 5 * len(a & b) < 4 * len(a | b) and (fp[0] ^ fp[1]).bit_count() <= 2 < (fp[0] ^ fp[2]).bit_count()
+    kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 3}
+    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(documents).collect()}
+    kept = {r.doc_id for r in simhash.drop_near(documents).collect()}
+    assert all(groups[i] == i for i in kept)
+
+
 # ---------------------------------------------------------------- 8
 
 
