@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import program as P
 from .. import schemas
@@ -218,8 +219,12 @@ def waves(todo: DataFrame, o: Options, runner: Runner, base: str, parts: list[Da
             break
         attempt += 1
         path, parts_of_wave = f"{base}/wave-{uuid.uuid4().hex}", o.commits if o.checkpoints else 1
+        if parts_of_wave > 1:  # shards are made once, not once for each part
+            todo.withColumn("part", F.pmod(F.xxhash64("shard_id"), F.lit(parts_of_wave)).cast("int")).write.partitionBy("part").parquet(f"{path}-todo")
+            dealt = spark.read.schema(StructType([*todo.schema, StructField("part", IntegerType())])).parquet(f"{path}-todo")
+            todo = dealt.drop("part")
         for part in range(parts_of_wave):
-            some = todo if parts_of_wave == 1 else todo.filter(F.pmod(F.xxhash64("shard_id"), F.lit(parts_of_wave)) == part)
+            some = todo if parts_of_wave == 1 else dealt.filter(F.col("part") == part).drop("part")
             wave = _store(some.mapInArrow(_attempt(attempt, layout, runner, carry), schemas.OUTCOME), f"{path}/part={part}")
             if o.checkpoints:
                 version = store(spark, o).commit(wave.filter("status = 'success'").withColumn("key", checkpoint_key(F.col("run_id"), F.col("shard_id"))))

@@ -78,3 +78,25 @@ def test_a_run_that_dies_resumes(spark, tmp_path):
     assert pick(out) == pick(whole)
     third, _ = R.run_with_evidence(docs, options(), PR.RuleProvider(_first_word))
     assert third.filter("NOT from_checkpoint").count() == 0
+
+
+def test_shards_are_made_once(spark, tmp_path):
+    """A wave committed in parts reads its shards from a table: what makes them is not worked through for each part."""
+    from pyspark.sql import functions as F
+
+    from lodestar.plans import run as R
+    from lodestar.program import normalize_program
+    from lodestar.sources import providers as PR
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        made.add(1)
+        return text
+
+    program = normalize_program({"instructions": "x", "schema": {"type": "object"}, "classes": [{"name": "w"}]})
+    o = R.Options("r", program, chunk_size=64, overlap=0, checkpoints=f"file://{tmp_path}/store", commits=4, work_dir=f"file://{tmp_path}/work", created_at="t")
+    docs = spark.createDataFrame([(str(i), f"word{i} " * 20) for i in range(20)], "document_id string, text string").withColumn("text", seen("text"))
+    out, _ = R.run_with_evidence(docs, o, PR.RuleProvider(lambda request: '{"extractions":[]}'))
+    assert out.select("document_id").distinct().count() == 20 and made.value <= 3 * 20
