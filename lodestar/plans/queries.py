@@ -790,7 +790,8 @@ def toolcall_stream(t):
     from ..sources.storage import work_dir
     from ..streaming.toolcalls import assemble_folder
 
-    base, files = work_dir(t.spark, "toolcall-stream"), 4
+    base, batches = work_dir(t.spark, "toolcall-stream"), 4
+    files = batches * max(1, t.spark.sparkContext.defaultParallelism)  # a batch keeps all cores busy, however large it is
     once = call_frames(t)
     twice = once.filter(F.pmod(F.xxhash64("stream_id", "seq"), F.lit(7)) == 0).withColumn("copy", F.lit(1))
     frames = once.withColumn("copy", F.lit(0)).unionByName(twice)
@@ -801,10 +802,10 @@ def toolcall_stream(t):
             raise Stopped("after the second batch")
 
     try:
-        assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=1, after_batch=stop)
+        assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=files // batches, after_batch=stop)
     except StreamingQueryException:
         pass
-    return assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=1)
+    return assemble_folder(t.spark, f"{base}/frames", f"{base}/work", files_per_batch=files // batches)
 
 
 @query("""WITH h AS (SELECT event_id, event_id % 8 AS m, sha256('{"bundleVersion":"1","event_id":' || event_id || ',"event_type":"' || CASE WHEN event_id % 8 = 1 THEN 'x' ELSE '' END || event_type || '","props":' || CAST(to_json(props) AS VARCHAR) || '}') AS payload_hash FROM events)
